@@ -215,3 +215,151 @@ SELECT repo, CAST(length(text) AS INTEGER) AS text_chars, md5(text) AS text_md5
 def q_context_text(spark, sf_dir):
     t = ctx.context_text(_packed(spark, sf_dir))
     return t.select("repo", F.length("text").cast("int").alias("text_chars"), F.md5("text").alias("text_md5"))
+
+
+# ------------------------------------------------------- vulnerabilities ----
+# Python sources are synthesised from order columns by one SQL expression that
+# Spark and DuckDB both evaluate; the oracle derives the expected findings from
+# the same columns without any parser.
+
+ORDER_SRC_SQL = """
+'import os' || chr(10) ||
+'def handle_' || CAST(o_orderkey AS STRING) || '(x, cursor):' || chr(10) ||
+'    ' || CASE o_orderpriority
+   WHEN '1-URGENT' THEN 'eval(x)'
+   WHEN '2-HIGH' THEN 'os.system("echo " + x)'
+   WHEN '3-MEDIUM' THEN 'subprocess.run(x, shell=True)'
+   WHEN '4-NOT SPECIFIED' THEN 'cursor.execute(f"SELECT * FROM t WHERE id = {x}")'
+   ELSE 'yaml.load(x, Loader=yaml.SafeLoader)' END || chr(10) ||
+'    ' || CASE o_orderstatus
+   WHEN 'F' THEN 'data = pickle.loads(x)'
+   WHEN 'O' THEN 'subprocess.run(x, shell=1)'
+   ELSE 'SECRET_KEY = "sk-' || CAST(o_orderkey AS STRING) || '-' || CAST(o_custkey AS STRING) || '"' END || chr(10) ||
+'    return x' || chr(10)
+"""
+ORDER_FILES_SQL = ("SELECT 'cust_' || CAST(o_custkey AS STRING) AS repo, "
+                   "'svc/order_' || CAST(o_orderkey AS STRING) || '.py' AS path, "
+                   f"{ORDER_SRC_SQL} AS content, o_orderkey, o_custkey, o_orderpriority, o_orderstatus FROM orders")
+
+
+def order_files(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spread(spark.sql(ORDER_FILES_SQL))
+
+
+def _expected_findings_sql() -> str:
+    r = {row[0]: row for row in rules.CWE_RULES}
+
+    def branch(where, line, rule, code, callee):
+        _, _, cwe, vuln, sev, tmpl = r[rule]
+        desc = O.q(tmpl.replace("%s", callee))
+        return (f"SELECT repo, path, {line} AS line, {O.q(cwe)} AS cwe, {O.q(vuln)} AS vulnerability, "
+                f"{O.q(sev)} AS severity, {code} AS code, {desc} AS description FROM ofiles WHERE {where}")
+    cwe, vuln, sev, tmpl = rules.CRED_RULE
+    lit = "('sk-' || CAST(o_orderkey AS STRING) || '-' || CAST(o_custkey AS STRING))"
+    cred = (f"SELECT repo, path, 4 AS line, {O.q(cwe)}, {O.q(vuln)}, {O.q(sev)}, "
+            f"'SECRET_KEY = \"' || {lit} || '\"', "
+            f"'Variable ''SECRET_KEY'' assigned a hardcoded secret literal of length ' || CAST(length({lit}) AS STRING) || '.' "
+            f"FROM ofiles WHERE o_orderstatus NOT IN ('F', 'O') AND length({lit}) > 8")
+    parts = [
+        branch("o_orderpriority = '1-URGENT'", 3, 1, "'eval(x)'", "eval"),
+        branch("o_orderpriority = '2-HIGH'", 3, 2, "'os.system(\"echo \" + x)'", "os.system"),
+        branch("o_orderpriority = '3-MEDIUM'", 3, 3, "'subprocess.run(x, shell=True)'", "subprocess.run"),
+        branch("o_orderpriority = '4-NOT SPECIFIED'", 3, 6,
+               "'cursor.execute(f\"SELECT * FROM t WHERE id = {x}\")'", "cursor.execute"),
+        branch("o_orderstatus = 'F'", 4, 4, "'data = pickle.loads(x)'", "pickle.loads"),
+        cred,
+    ]
+    return f"ofiles AS ({ORDER_FILES_SQL}),\nexp AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
+
+
+def _order_findings(spark, sf_dir):
+    from corpuslens.operators import vuln
+    files = vuln.ast_path_skip(order_files(spark, sf_dir))
+    return vuln.findings(vuln.python_facts(files))
+
+
+@query("ast_findings", f"""
+WITH {_expected_findings_sql()}
+SELECT repo, path, CAST(line AS INTEGER) AS line, cwe, vulnerability, severity, code, description FROM exp
+""")
+def q_ast_findings(spark, sf_dir):
+    return _order_findings(spark, sf_dir).select("repo", "path", "line", "cwe", "vulnerability", "severity",
+                                                 "code", "description")
+
+
+@query("findings_rollup", f"""
+WITH {_expected_findings_sql()}
+SELECT repo, severity, cwe, CAST(count(*) AS BIGINT) AS n_findings FROM exp GROUP BY ROLLUP (repo, severity, cwe)
+""")
+def q_findings_rollup(spark, sf_dir):
+    from corpuslens.operators import vuln
+    return vuln.findings_rollup(_order_findings(spark, sf_dir))
+
+
+def _report_sql() -> str:
+    item = ("CAST(idx AS STRING) || '. **[' || severity || '] ' || vulnerability || ' (' || cwe || ')**' || chr(10) || "
+            "'   - **Location**: `' || path || '` (Line ' || CAST(line AS STRING) || ')' || chr(10) || "
+            "'   - **Snippet**: `' || code || '`' || chr(10) || '   - **Description**: ' || description || chr(10) || chr(10)")
+    return f"""{_expected_findings_sql()},
+num AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line) AS idx FROM exp),
+per AS (SELECT repo, count(*) AS n, string_agg({item}, '' ORDER BY idx) AS items FROM num GROUP BY repo),
+rep AS (
+  SELECT r.repo, CAST(coalesce(p.n, 0) AS BIGINT) AS n_findings,
+         CASE WHEN p.n IS NULL THEN {O.q(rules.CLEAN_REPORT_TEXT)}
+              ELSE {O.q(rules.REPORT_HEADER)} || 'Detected **' || CAST(p.n AS STRING) || '** security vulnerabilities:'
+                   || chr(10) || chr(10) || p.items END AS report
+  FROM (SELECT DISTINCT repo FROM ofiles) r LEFT JOIN per p ON r.repo = p.repo
+)"""
+
+
+@query("findings_report", f"""
+WITH {_report_sql()}
+SELECT repo, n_findings, CAST(length(report) AS INTEGER) AS report_chars, md5(report) AS report_md5 FROM rep
+""")
+def q_findings_report(spark, sf_dir):
+    from corpuslens.operators import vuln
+    files = order_files(spark, sf_dir)
+    rep = vuln.findings_report(_order_findings(spark, sf_dir), files)
+    return rep.select("repo", "n_findings", F.length("report").cast("int").alias("report_chars"),
+                      F.md5("report").alias("report_md5"))
+
+
+@query("clean_repos", f"""
+WITH {_expected_findings_sql()}
+SELECT DISTINCT repo FROM ofiles WHERE repo NOT IN (SELECT repo FROM exp)
+""")
+def q_clean_repos(spark, sf_dir):
+    from corpuslens.operators import vuln
+    return vuln.clean_repos(_order_findings(spark, sf_dir), order_files(spark, sf_dir))
+
+
+CUST_SRC_SQL = """
+CASE c_mktsegment
+  WHEN 'AUTOMOBILE' THEN 'API_KEY = "your_key_here_' || c_name || '"'
+  WHEN 'BUILDING' THEN 'DB_PASSWORD = "' || c_name || '"'
+  WHEN 'FURNITURE' THEN 'SECRET = "' || left(c_name, 8) || '"'
+  WHEN 'HOUSEHOLD' THEN 'auth_token: str = "' || c_name || '"'
+  ELSE 'alias = AUTH_TOKEN = "' || c_name || '"' END || chr(10) ||
+'passwd_hint = os.environ.get("P", "' || c_name || '")' || chr(10)
+"""
+
+
+@query("cred_findings", f"""
+WITH c AS (SELECT 'seg_' || c_mktsegment AS repo, 'cfg/cust_' || CAST(c_custkey AS STRING) || '.py' AS path, * FROM customer)
+SELECT repo, path, 1 AS line, 'CWE-798' AS cwe,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'DB_PASSWORD' ELSE 'AUTH_TOKEN' END AS target,
+       CAST(length(c_name) AS INTEGER) AS value_len
+FROM c WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD') AND length(c_name) > 8
+""")
+def q_cred_findings(spark, sf_dir):
+    from corpuslens.operators import vuln
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    files = spread(spark.sql(
+        "SELECT 'seg_' || c_mktsegment AS repo, 'cfg/cust_' || CAST(c_custkey AS STRING) || '.py' AS path, "
+        f"{CUST_SRC_SQL} AS content FROM customer"))
+    facts = vuln.python_facts(files)
+    found = vuln.findings(facts).where(F.col("cwe") == "CWE-798")
+    target = F.regexp_extract(F.col("description"), r"^Variable '([^']*)'", 1)
+    vlen = F.regexp_extract(F.col("description"), r"length (\d+)\.$", 1).cast("int")
+    return found.select("repo", "path", "line", "cwe", target.alias("target"), vlen.alias("value_len"))
