@@ -123,8 +123,8 @@ def literal_replace_first(text, search, replacement) -> Column:
 
 
 def regex_quote(token: Column) -> Column:
-    """Backslash-escape every character of a token that holds no ASCII letters or digits."""
-    return F.regexp_replace(token, r"(?s)(.)", r"\\$1")
+    """Backslash-escape the regex metacharacters of a literal token."""
+    return F.regexp_replace(token, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
 
 
 def fuzzy_pattern(search) -> Column:

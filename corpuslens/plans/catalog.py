@@ -363,3 +363,170 @@ def q_cred_findings(spark, sf_dir):
     target = F.regexp_extract(F.col("description"), r"^Variable '([^']*)'", 1)
     vlen = F.regexp_extract(F.col("description"), r"length (\d+)\.$", 1).cast("int")
     return found.select("repo", "path", "line", "cwe", target.alias("target"), vlen.alias("value_len"))
+
+
+# --------------------------------------------------------------- patches ----
+# One patch per order file; the chunk kind depends on the priority, the target
+# on the status (traversal for 'P', a missing file for low-priority open orders).
+
+PATCH_SEARCH = {
+    "1-URGENT": [("eval(x)", "ast.literal_eval(x)")],
+    "2-HIGH": [('os.system("echo "   +   x)', 'subprocess.run(["echo", x])')],
+    "3-MEDIUM": [("subprocess.run(x, shell=True)", "subprocess.run(x, shell=False)"),
+                 ("shell=False)", "shell=False, check=True)")],
+    "4-NOT SPECIFIED": [("cursor.execute(query)", "cursor.execute(query, params)")],
+    "5-LOW": [("yaml.load(x, Loader=yaml.SafeLoader)", "yaml.safe_load(x)  # costs $1 \\1")],
+}
+
+
+def _chunk_sql(search: str, replace: str) -> str:
+    nl = " || chr(10) || "
+    return nl.join(["'<<<<<<< SEARCH'", O.q(search), "'======='", O.q(replace), "'>>>>>>> REPLACE'"])
+
+
+PATCH_TARGET_SQL = ("CASE WHEN o_orderstatus = 'P' THEN '../' || path "
+                    "WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' "
+                    "THEN 'svc/missing_' || CAST(o_orderkey AS STRING) || '.py' ELSE path END")
+PATCH_TEXT_SQL = ("'Proposed fix for order ' || CAST(o_orderkey AS STRING) || chr(10) || 'FILE: ' || "
+                  + PATCH_TARGET_SQL + " || chr(10) || CASE o_orderpriority "
+                  + " ".join(f"WHEN {O.q(k)} THEN " + " || chr(10) || ".join(_chunk_sql(s, r) for s, r in v)
+                             for k, v in PATCH_SEARCH.items())
+                  + " END || chr(10)")
+PATCH_TEXTS_SQL = (f"SELECT repo, o_orderkey AS patch_id, {PATCH_TEXT_SQL} AS text FROM ({ORDER_FILES_SQL}) f")
+
+
+def _patch_rows(spark, sf_dir):
+    from corpuslens.operators import patching
+    order_files(spark, sf_dir)
+    texts = spark.sql(PATCH_TEXTS_SQL)
+    return patching.parse_patch(texts)
+
+
+@query("patch_parse", f"""
+WITH ofiles AS ({ORDER_FILES_SQL}),
+chunks AS (
+""" + "\nUNION ALL\n".join(
+    f"SELECT repo, o_orderkey AS patch_id, 0 AS file_ord, {PATCH_TARGET_SQL} AS path, {i} AS chunk_ord, "
+    f"{O.q(s)} AS search, {O.q(r)} AS replace FROM ofiles WHERE o_orderpriority = {O.q(k)}"
+    for k, v in PATCH_SEARCH.items() for i, (s, r) in enumerate(v)) + """
+)
+SELECT repo, patch_id, CAST(file_ord AS INTEGER) AS file_ord, path, CAST(chunk_ord AS INTEGER) AS chunk_ord,
+       search, replace FROM chunks
+""")
+def q_patch_parse(spark, sf_dir):
+    return _patch_rows(spark, sf_dir).drop("parse_warning")
+
+
+def _applied(spark, sf_dir):
+    from corpuslens.operators import patching
+    files = order_files(spark, sf_dir).select("repo", "path", "content")
+    return patching.apply_patches(files, _patch_rows(spark, sf_dir))
+
+
+def _expected_patch_sql() -> str:
+    nl = "chr(10)"
+    fuzzy_old = f"':' || {nl} || '    os.system(\"echo \" + x)' || {nl} || '    '"
+    new = (
+        "CASE o_orderpriority "
+        "WHEN '1-URGENT' THEN replace(content, 'eval(x)', 'ast.literal_eval(x)') "
+        f"WHEN '2-HIGH' THEN replace(content, {fuzzy_old}, ':subprocess.run([\"echo\", x])') "
+        "WHEN '3-MEDIUM' THEN replace(content, 'subprocess.run(x, shell=True)', 'subprocess.run(x, shell=False, check=True)') "
+        f"WHEN '5-LOW' THEN replace(content, 'yaml.load(x, Loader=yaml.SafeLoader)', {O.q('yaml.safe_load(x)  # costs $1 ' + chr(92) + '1')}) "
+        "ELSE content END")
+    status = ("CASE WHEN o_orderstatus = 'P' THEN 'PATH_TRAVERSAL' "
+              "WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN 'FILE_NOT_FOUND' "
+              "WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'SEARCH_NOT_FOUND' ELSE 'APPLIED' END")
+    applied = ("CASE WHEN o_orderstatus = 'P' OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'O') "
+               "OR o_orderpriority = '4-NOT SPECIFIED' THEN 0 "
+               "WHEN o_orderpriority = '3-MEDIUM' THEN 2 ELSE 1 END")
+    return f"""ofiles AS ({ORDER_FILES_SQL}),
+pexp AS (
+  SELECT repo, o_orderkey AS patch_id, {PATCH_TARGET_SQL} AS path, {status} AS status,
+         CAST({applied} AS INTEGER) AS chunks_applied,
+         CASE WHEN {status} = 'APPLIED' THEN {new} ELSE content END AS new_content, content
+  FROM ofiles
+)"""
+
+
+@query("patch_status", f"""
+WITH {_expected_patch_sql()}
+SELECT repo, patch_id, path, status, chunks_applied FROM pexp
+""")
+def q_patch_status(spark, sf_dir):
+    return _applied(spark, sf_dir).select("repo", "patch_id", "path", "status", "chunks_applied")
+
+
+@query("patch_fold", f"""
+WITH {_expected_patch_sql()}
+SELECT repo, patch_id, path, CAST(length(new_content) AS INTEGER) AS new_chars, md5(new_content) AS new_md5
+FROM pexp WHERE status = 'APPLIED'
+""")
+def q_patch_fold(spark, sf_dir):
+    a = _applied(spark, sf_dir).where(F.col("status") == "APPLIED")
+    return a.select("repo", "patch_id", "path", F.length("new_content").cast("int").alias("new_chars"),
+                    F.md5("new_content").alias("new_md5"))
+
+
+@query("patch_apply_exact", f"""
+WITH {_expected_patch_sql()}
+SELECT repo, patch_id, path, new_content FROM pexp
+WHERE status = 'APPLIED' AND patch_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW'))
+""")
+def q_patch_apply_exact(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM", "5-LOW"))
+    a = _applied(spark, sf_dir).where(F.col("status") == "APPLIED")
+    return a.join(o.select(F.col("o_orderkey").alias("patch_id")), "patch_id", "left_semi") \
+            .select("repo", "patch_id", "path", "new_content")
+
+
+@query("patch_apply_fuzzy", f"""
+WITH {_expected_patch_sql()}
+SELECT repo, patch_id, path, new_content FROM pexp
+WHERE status = 'APPLIED' AND patch_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH')
+""")
+def q_patch_apply_fuzzy(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "2-HIGH")
+    a = _applied(spark, sf_dir).where(F.col("status") == "APPLIED")
+    return a.join(o.select(F.col("o_orderkey").alias("patch_id")), "patch_id", "left_semi") \
+            .select("repo", "patch_id", "path", "new_content")
+
+
+AGENT_NOTES_SQL = ("SELECT repo, '.agents/review_' || CAST(o_orderkey AS STRING) || '.md' AS path, "
+                   "'reviewed ' || o_orderstatus AS content FROM ofiles WHERE o_orderstatus = 'F'")
+
+
+@query("restore_snapshot", f"""
+WITH {_expected_patch_sql()}
+SELECT repo, path, md5(content) AS content_md5 FROM ofiles
+UNION ALL
+SELECT repo, path, md5(content) FROM ({AGENT_NOTES_SQL})
+""")
+def q_restore_snapshot(spark, sf_dir):
+    from corpuslens.operators import patching
+    files = order_files(spark, sf_dir)
+    snap = files.select("repo", "path", "content")
+    notes = spark.sql(AGENT_NOTES_SQL.replace("FROM ofiles", f"FROM ({ORDER_FILES_SQL}) ofiles"))
+    current = patching.patched_files(snap, _applied(spark, sf_dir)).unionByName(notes)
+    restored = patching.restore_snapshot(current, snap)
+    return restored.select("repo", "path", F.md5("content").alias("content_md5"))
+
+
+@query("snapshot_diff", f"""
+WITH {_expected_patch_sql()}
+SELECT f.repo, f.path, CASE WHEN p.status = 'APPLIED' AND p.new_content <> f.content THEN 'modified'
+                            ELSE 'unchanged' END AS change
+FROM ofiles f LEFT JOIN pexp p ON f.repo = p.repo AND f.path = p.path
+""")
+def q_snapshot_diff(spark, sf_dir):
+    from corpuslens.operators import patching
+    snap = order_files(spark, sf_dir).select("repo", "path", "content")
+    return patching.snapshot_diff(snap, patching.patched_files(snap, _applied(spark, sf_dir)))
+
+
+@query("modified_union", f"""
+WITH {_expected_patch_sql()}
+SELECT repo, list_sort(list(DISTINCT path)) AS modified_files FROM pexp WHERE status = 'APPLIED' GROUP BY repo
+""")
+def q_modified_union(spark, sf_dir):
+    from corpuslens.operators import patching
+    return patching.modified_union(_applied(spark, sf_dir))

@@ -13,7 +13,9 @@ LINE_RE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def q(s: str) -> str:
-    """SQL string literal."""
+    """SQL string literal that reads the same in Spark SQL and DuckDB (backslashes spelled as chr(92))."""
+    if "\\" in s:
+        return "(" + " || chr(92) || ".join(q(p) for p in s.split("\\")) + ")"
     return "'" + s.replace("'", "''") + "'"
 
 
