@@ -26,8 +26,11 @@ def path_dir(path) -> Column:
 
 
 def path_suffix(path) -> Column:
-    """Suffix of the file name ('' for dot-files and names without a dot)."""
-    return F.regexp_extract(path_name(path), r"^[^.].*(\.[^.]*)$|^\..*?[^.](\.[^.]*)$", 1)
+    """Suffix of the file name from its last dot; '' for dot-files, names ending in a dot, or no dot."""
+    name = path_name(path)
+    k = F.instr(F.reverse(name), ".")
+    pos = F.length(name) - k + 1
+    return F.when((k > 0) & (pos > 1) & (pos < F.length(name)), F.substr(name, pos, F.length(name))).otherwise(F.lit(""))
 
 
 def prune_dirs(files: DataFrame, names: Sequence[str] = rules.IGNORED_DIRS) -> DataFrame:
@@ -103,7 +106,7 @@ def _ignored(segs: Column, rx_path: Column, rx_seg: Column) -> Column:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda i: F.array_join(F.slice(segs, 1, i), "/"))
 
     def any_match(arr: Column, rx: Column) -> Column:
-        return F.when(rx.isNull() | (rx == ""), F.lit(False)).otherwise(F.exists(arr, lambda s: s.rlike(rx)))
+        return F.when(rx.isNull() | (rx == ""), F.lit(False)).otherwise(F.exists(arr, lambda s: F.regexp_like(s, rx)))
 
     return any_match(prefixes, rx_path) | any_match(segs, rx_seg)
 
@@ -163,7 +166,7 @@ def slice_lines(files: DataFrame, requests: DataFrame) -> DataFrame:
     Lines keep their line breaks (a readlines view).  start > end after clamping is an error text.
     """
     j = requests.join(files.select("repo", "path", "content"), ["repo", "path"], "left")
-    lines = F.regexp_extract_all(F.col("content"), F.lit(r"(?s)[^\n]*\n|[^\n]+$"), 0)
+    lines = F.regexp_extract_all(F.col("content"), F.lit(r"[^\n]*\n|[^\n]+\z"), 0)
     n = F.size(lines)
     s = F.greatest(F.coalesce(F.col("start_line"), F.lit(1)), F.lit(1))
     e = F.least(F.coalesce(F.col("end_line"), n), n)

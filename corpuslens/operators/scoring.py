@@ -145,7 +145,11 @@ def resolve_imports(imports: DataFrame, project_files: DataFrame, gram: int = 3)
     cand = rare.join(idx, ["repo", "n", "g"]).where(F.col("lpath").contains(F.col("match_clean")))
     w_first = Window.partitionBy("repo", "src", "match_clean").orderBy("dst")
     first = cand.withColumn("rk", F.row_number().over(w_first)).where("rk = 1")
-    return first.select("repo", "src", "dst").distinct()
+    # An empty import text is contained in every path: it resolves to the repo's first path.
+    firsts = paths.groupBy("repo").agg(F.min("dst").alias("dst"))
+    empty = (imports.where(F.col("match_clean") == "").select("repo", F.col("path").alias("src"))
+             .join(firsts, "repo"))
+    return first.select("repo", "src", "dst").unionByName(empty).distinct()
 
 
 def import_boost(scored: DataFrame, edges: DataFrame) -> DataFrame:
