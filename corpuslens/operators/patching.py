@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
-from corpuslens.functions.text import fuzzy_pattern, normalize_eol, splice
+from corpuslens.functions.text import fuzzy_pattern, let, normalize_eol, splice
 
 FILE_HEADER_RE = r"(?m)^FILE:\s*([^\n\r]+)"
 FILE_SPLIT_RE = r"(?m)^FILE:\s*[^\n\r]+"
@@ -55,29 +55,35 @@ def escapes_base(path: Column) -> Column:
     return path.startswith("/") | depth["out"]
 
 
+def _state(text: Column, status: Column, applied: Column, failed: Column) -> Column:
+    return F.struct(text.alias("text"), status.alias("status"), applied.cast("int").alias("applied"),
+                    failed.cast("string").alias("failed_search"))
+
+
 def _fold(text: Column, chunks: Column) -> Column:
-    """Apply chunks in order: exact literal match first, else whitespace-tolerant regex."""
-    init = F.struct(normalize_eol(text).alias("text"), F.lit(OK).alias("status"),
-                    F.lit(0).alias("applied"), F.lit(None).cast("string").alias("failed_search"))
+    """Apply chunks in order: exact literal match first, else whitespace-tolerant regex.
+
+    Values used more than once are bound with `let`, and the fuzzy pattern is
+    only built inside the branch where the exact match missed.
+    """
+    init = _state(normalize_eol(text), F.lit(OK), F.lit(0), F.lit(None))
 
     def step(acc, ch):
         cur = acc["text"]
-        s = normalize_eol(ch["search"])
-        r = normalize_eol(ch["replace"])
-        pos = F.position(s, cur)
-        pat = fuzzy_pattern(s)
-        fpos = F.regexp_instr(cur, pat)
-        fmatch = F.regexp_substr(cur, pat)
-        live = acc["status"] == OK
-        new_text = (F.when(~live, cur)
-                    .when(pos > 0, splice(cur, pos, F.length(s), r))
-                    .when(fpos > 0, splice(cur, fpos, F.length(fmatch), r))
-                    .otherwise(cur))
-        hit = live & ((pos > 0) | (fpos > 0))
-        return F.struct(new_text.alias("text"),
-                        F.when(live & ~hit, F.lit(SEARCH_MISS)).otherwise(acc["status"]).alias("status"),
-                        (acc["applied"] + F.when(hit, 1).otherwise(0)).alias("applied"),
-                        F.when(live & ~hit, ch["search"]).otherwise(acc["failed_search"]).alias("failed_search"))
+
+        def on_search(s, r):
+            def fuzzy(pat):
+                return let(F.regexp_instr(cur, pat), lambda fpos: F.when(
+                    fpos > 0, _state(splice(cur, fpos, F.length(F.regexp_substr(cur, pat)), r), F.lit(OK),
+                                     acc["applied"] + 1, acc["failed_search"]))
+                    .otherwise(_state(cur, F.lit(SEARCH_MISS), acc["applied"], ch["search"])))
+
+            return let(F.position(s, cur), lambda pos: F.when(
+                pos > 0, _state(splice(cur, pos, F.length(s), r), F.lit(OK), acc["applied"] + 1, acc["failed_search"]))
+                .otherwise(let(fuzzy_pattern(s), fuzzy)))
+
+        live = let(normalize_eol(ch["search"]), lambda s: let(normalize_eol(ch["replace"]), lambda r: on_search(s, r)))
+        return F.when(acc["status"] != OK, acc).otherwise(live)
 
     return F.aggregate(chunks, init, step)
 
@@ -98,22 +104,28 @@ def apply_patches(files: DataFrame, patches: DataFrame, default_file: str | None
     grouped = grouped.withColumn("target", target)
     joined = grouped.join(files.select("repo", F.col("path").alias("target"), "content"),
                           ["repo", "target"], "left")
-    folded = joined.withColumn("_f", F.when(F.col("content").isNotNull(), _fold(F.col("content"), F.col("chunks"))))
-    status = (F.when(F.col("target").isNull(), F.lit(NO_TARGET))
-              .when(escapes_base(F.col("target")), F.lit(TRAVERSAL))
-              .when(F.col("content").isNull(), F.lit(NOT_FOUND))
-              .otherwise(F.col("_f.status")))
-    out = folded.select(
-        "repo", "patch_id", "file_ord", F.col("target").alias("path"), status.alias("status"),
-        F.when(status == OK, F.col("_f.applied")).otherwise(F.coalesce(F.col("_f.applied"), F.lit(0)))
-         .cast("int").alias("chunks_applied"),
-        F.when(status == OK, F.col("_f.text")).otherwise(F.col("content")).alias("new_content"),
-        F.when(status == SEARCH_MISS,
-               F.concat(F.lit("Search block not found: "),
-                        F.when(F.length("_f.failed_search") > 100,
-                               F.concat(F.left("_f.failed_search", F.lit(100)), F.lit("...")))
-                         .otherwise(F.col("_f.failed_search"))))
-         .alias("error"))
+
+    def finish(f):
+        status = (F.when(F.col("target").isNull(), F.lit(NO_TARGET))
+                  .when(escapes_base(F.col("target")), F.lit(TRAVERSAL))
+                  .when(F.col("content").isNull(), F.lit(NOT_FOUND))
+                  .otherwise(f["status"]))
+
+        def out(st):
+            failed = f["failed_search"]
+            err = F.concat(F.lit("Search block not found: "),
+                           F.when(F.length(failed) > 100, F.concat(F.left(failed, F.lit(100)), F.lit("...")))
+                            .otherwise(failed))
+            return F.struct(st.alias("status"), F.coalesce(f["applied"], F.lit(0)).alias("chunks_applied"),
+                            F.when(st == OK, f["text"]).otherwise(F.col("content")).alias("new_content"),
+                            F.when(st == SEARCH_MISS, err).alias("error"))
+        return let(status, out)
+
+    folded = F.when(F.col("content").isNotNull(), _fold(F.col("content"), F.col("chunks")))
+    res = joined.select("repo", "patch_id", "file_ord", F.col("target").alias("path"),
+                        F.explode(F.array(let(folded, finish))).alias("_r"))
+    out = res.select("repo", "patch_id", "file_ord", "path", "_r.status", "_r.chunks_applied",
+                     "_r.new_content", "_r.error")
     if strict:
         w = Window.partitionBy("repo", "patch_id")
         bad = F.max(F.when(F.col("status") != OK, 1).otherwise(0)).over(w) > 0

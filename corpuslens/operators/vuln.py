@@ -11,7 +11,6 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,17 +96,32 @@ _FACT_COLS = ["repo", "path", "kind", "ord", "line", "name", "has_args", "arg0_k
               "kw", "value_is_str", "value_len", "code", "error"]
 
 
-def _facts_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for repo, path, content in zip(pdf["repo"], pdf["path"], pdf["content"]):
-            rows.extend(file_facts(repo, path, content))
-        yield pd.DataFrame(rows, columns=_FACT_COLS)
+def _arrow_schema():
+    import pyarrow as pa
+    kw = pa.list_(pa.struct([("name", pa.string()), ("is_true", pa.bool_()), ("attr", pa.string())]))
+    types = dict(repo=pa.string(), path=pa.string(), kind=pa.string(), ord=pa.int32(), line=pa.int32(),
+                 name=pa.string(), has_args=pa.bool_(), arg0_kind=pa.string(), kw=kw, value_is_str=pa.bool_(),
+                 value_len=pa.int32(), code=pa.string(), error=pa.string())
+    return pa.schema([(c, types[c]) for c in _FACT_COLS])
+
+
+def _facts_arrow(batches):
+    """Arrow batches of (repo, path, content) -> Arrow batches of facts, built column-wise."""
+    import pyarrow as pa
+    schema = _arrow_schema()
+    for rb in batches:
+        cols = {c: [] for c in _FACT_COLS}
+        d = rb.to_pydict()
+        for repo, path, content in zip(d["repo"], d["path"], d["content"]):
+            for f in file_facts(repo, path, content):
+                for c in _FACT_COLS:
+                    cols[c].append(f[c])
+        yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
 
 def python_facts(files: DataFrame) -> DataFrame:
     """(repo, path, content) -> call / assign / error facts, parsed on executors in Arrow batches."""
-    return files.select("repo", "path", "content").mapInPandas(_facts_batches, FACT_SCHEMA)
+    return files.select("repo", "path", "content").mapInArrow(_facts_arrow, FACT_SCHEMA)
 
 
 def ast_path_skip(files: DataFrame, strict: bool = False) -> DataFrame:

@@ -398,7 +398,7 @@ PATCH_TEXTS_SQL = (f"SELECT repo, o_orderkey AS patch_id, {PATCH_TEXT_SQL} AS te
 def _patch_rows(spark, sf_dir):
     from corpuslens.operators import patching
     order_files(spark, sf_dir)
-    texts = spark.sql(PATCH_TEXTS_SQL)
+    texts = spread(spark.sql(PATCH_TEXTS_SQL))
     return patching.parse_patch(texts)
 
 
