@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 def write_remediated(applied: DataFrame, path: str, run_col: str = "run_id") -> None:
     """Only files a patch actually modified, partitioned by run, keyed by relative path."""
     out = applied.where(F.col("status") == "APPLIED").select(run_col, "path", F.col("new_content").alias("content"))
-    out.write.mode("overwrite").partitionBy(run_col).parquet(path)
+    # One writer task per run: one file per run directory instead of one per task and run.
+    out.repartition(run_col).write.mode("overwrite").partitionBy(run_col).parquet(path)
 
 
-def write_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Findings as parquet partitioned by repo (dynamic partition overwrite keeps other repos)."""
-    (findings.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("repo").parquet(path))
+def write_findings(findings: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> None:
+    """Findings as parquet range-partitioned and sorted by (repo, path).
+
+    Repos are too many for a directory each; range partitioning gives every
+    file a narrow repo interval, so parquet min/max statistics let a
+    `repo = ...` read skip all other files.
+    """
+    n = files or findings.sparkSession.sparkContext.defaultParallelism
+    (findings.repartitionByRange(n, "repo", "path").sortWithinPartitions("repo", "path")
+     .write.mode(mode).parquet(path))
