@@ -154,8 +154,9 @@ def findings(facts: DataFrame) -> DataFrame:
     """
     name, kw = F.col("name"), F.col("kw")
     callees = {r: c for r, c, *_ in rules.CWE_RULES}
-    shell_true = F.exists(kw, lambda k: (k["name"] == "shell") & k["is_true"])
-    safe_loader = F.exists(kw, lambda k: (k["name"] == "Loader") & k["attr"].isin(*rules.SAFE_YAML_LOADERS))
+    shell_true = F.exists(kw, lambda k: F.coalesce((k["name"] == "shell") & k["is_true"], F.lit(False)))
+    safe_loader = F.exists(kw, lambda k: F.coalesce((k["name"] == "Loader") & k["attr"].isin(*rules.SAFE_YAML_LOADERS),
+                                                    F.lit(False)))
     low_code = F.lower(F.col("code"))
     sql_word = F.lit(False)
     for w in rules.SQL_WORDS:
