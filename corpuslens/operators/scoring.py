@@ -23,9 +23,19 @@ def _kw_array(keywords) -> Column:
 
 
 def keyword_score_col(content: Column, keywords) -> Column:
-    """Sum over the keyword list (duplicates included) of non-overlapping case-insensitive counts."""
-    kws = _kw_array(keywords)
-    return F.aggregate(kws, F.lit(0).cast("long"), lambda acc, kw: acc + count_ci(content, kw))
+    """Sum over the keyword list (duplicates included) of non-overlapping case-insensitive counts.
+
+    The file is lower-cased once (bound with `let`), then each keyword costs one
+    replace pass: (len - len(replace(text, kw, ''))) / len(kw).
+    """
+    kws = (F.array(*[F.lit(k.lower()) for k in keywords]) if not isinstance(keywords, Column)
+           else F.transform(keywords, lambda k: F.lower(k)))
+
+    def total(low):
+        n = F.length(low)
+        return F.aggregate(kws, F.lit(0).cast("long"),
+                           lambda acc, kw: acc + ((n - F.length(F.replace(low, kw, F.lit("")))) / F.length(kw)).cast("long"))
+    return let(F.lower(content), total)
 
 
 def secret_literals_col(content: Column, threshold: float = rules.SECRET_ENTROPY_THRESHOLD,
