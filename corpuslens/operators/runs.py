@@ -1,8 +1,9 @@
 """Review-run analytics: transitions, outcomes, attempts, dwell, test verdicts, messages.
 
-Per-run sequences use windows partitioned by run; per-run summaries use
-partial aggregates (max_by/count_if) so a very long run never has to be
-sorted in one task just to be summarised.
+Per-run sequences (predecessor, successor, running counts) use the
+range-partitioned operators of `sequence` by default, so one very long run is
+spread over many tasks; per-run summaries are partial aggregates
+(max_by/count_if).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
+from corpuslens.operators import sequence
 
 
 def transitions_df(spark: SparkSession, config_json: str = rules.TRANSITIONS_JSON) -> DataFrame:
@@ -41,11 +43,17 @@ def load_transitions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return edges, settings
 
 
-def run_transitions(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, seq, prev_state, state, legal).  The first event of a run has no predecessor."""
-    w = Window.partitionBy("run_id").orderBy("seq")
+def run_transitions(events: DataFrame, edges: DataFrame, skew_safe: bool = True) -> DataFrame:
+    """(run_id, seq, prev_state, state, legal).  The first event of a run has no predecessor.
+
+    With `skew_safe` the predecessor comes from `sequence.neighbors` (range-partitioned, so one huge run
+    is spread over many tasks); otherwise from lag over a window partitioned by run.
+    """
     legal = edges.select(F.col("state").alias("prev_state"), F.col("next_state").alias("state")).distinct()
-    seqd = events.withColumn("prev_state", F.lag("state").over(w))
+    if skew_safe:
+        seqd = sequence.neighbors(events, "run_id", ["seq"], ["state"]).drop("next_state")
+    else:
+        seqd = events.withColumn("prev_state", F.lag("state").over(Window.partitionBy("run_id").orderBy("seq")))
     # The edge dimension is a fixed handful of rows: broadcasting it is size-safe.
     j = seqd.join(F.broadcast(legal.withColumn("_ok", F.lit(True))), ["prev_state", "state"], "left")
     return j.select("run_id", "seq", "prev_state", "state",
@@ -65,17 +73,23 @@ def run_outcome(events: DataFrame, terminal_ok=("COMPLETED", "COMMIT"), terminal
                         .otherwise(F.lit("RUNNING"))))
 
 
-def run_attempts(events: DataFrame) -> DataFrame:
+def run_attempts(events: DataFrame, skew_safe: bool = True) -> DataFrame:
     """Attempt number at every event = PATCH entries so far in the run."""
+    if skew_safe:
+        flagged = events.select("run_id", "seq", "state", (F.col("state") == "PATCH").alias("_is_patch"))
+        return sequence.running_count(flagged, "run_id", ["seq"], "_is_patch", "attempt").drop("_is_patch")
     w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return events.select("run_id", "seq", "state",
                          F.sum(F.when(F.col("state") == "PATCH", 1).otherwise(0)).over(w).cast("long").alias("attempt"))
 
 
-def dwell_time(events: DataFrame) -> DataFrame:
+def dwell_time(events: DataFrame, skew_safe: bool = True) -> DataFrame:
     """Seconds until the run's next event (null for the last one)."""
-    w = Window.partitionBy("run_id").orderBy("seq")
-    nxt = F.lead("ts").over(w)
+    if skew_safe:
+        events = sequence.neighbors(events.select("run_id", "seq", "state", "ts"), "run_id", ["seq"], ["ts"])
+        nxt = F.col("next_ts")
+    else:
+        nxt = F.lead("ts").over(Window.partitionBy("run_id").orderBy("seq"))
     secs = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return events.select("run_id", "seq", "state", (secs / 1e6).alias("dwell_s"))
 

@@ -97,12 +97,15 @@ STATE_BY_EVENT = (("view", "AUDIT"), ("click", "PATCH"), ("signup", "TEST"), ("p
 
 
 def run_events(spark, sf_dir):
-    """events as run events: run = user, order = (ts, event_id), state by event type."""
+    """events as run events: run = user, order = (ts, event_id), state by event type.
+
+    seq (1, 2, ... per run) is a skew-safe running count, not a row_number window over the run.
+    """
+    from corpuslens.operators import sequence
     e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
-                    F.expr(_case("event_type", STATE_BY_EVENT)).alias("state"),
-                    F.row_number().over(w).cast("long").alias("seq"))
+    ev = e.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+                  F.expr(_case("event_type", STATE_BY_EVENT)).alias("state"), F.lit(True).alias("_one"))
+    return sequence.running_count(ev, "run_id", ["ts", "event_id"], "_one", "seq").drop("_one")
 
 
 RUN_SQL = (f"SELECT user_id AS run_id, event_id, ts, {_case('event_type', STATE_BY_EVENT)} AS state, "

@@ -65,3 +65,24 @@ def test_manifest_parse(spark):
     assert [(r.package, r.op, r.version, r.parsed) for r in rows] == [
         ("a", ">=", "1", True), ("x[y]", "==", "1.0", True)] + [(None, None, None, False)] * 4
     assert [r.raw for r in rows][2:] == ["z!=3", "p===1", "zope.interface==5", "bare"]
+
+
+def test_sequence_ops_hot_key_equal_windows(spark):
+    """One run holding most rows spans many range partitions; results equal plain per-key windows."""
+    import random
+
+    from pyspark.sql import Window
+
+    from corpuslens.operators import sequence
+    rnd = random.Random(11)
+    rows = [(0, i, rnd.random() < 0.3) for i in rnd.sample(range(5000), 3000)]
+    rows += [(k, i, rnd.random() < 0.5) for k in range(1, 40) for i in range(rnd.randint(1, 12))]
+    df = spark.createDataFrame(rows, "k int, o int, f boolean")
+    w = Window.partitionBy("k").orderBy("o")
+    exp = {(r.k, r.o): (r.p, r.n, r.c) for r in df.select(
+        "k", "o", F.lag("o").over(w).alias("p"), F.lead("o").over(w).alias("n"),
+        F.sum(F.when(F.col("f"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c")).collect()}
+    nb = {(r.k, r.o): (r.prev_o, r.next_o) for r in sequence.neighbors(df, "k", ["o"], ["o"], partitions=16).collect()}
+    rc = {(r.k, r.o): r.c for r in sequence.running_count(df, "k", ["o"], "f", "c", partitions=16).collect()}
+    assert nb == {key: v[:2] for key, v in exp.items()}
+    assert rc == {key: v[2] for key, v in exp.items()}
