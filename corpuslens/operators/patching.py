@@ -167,7 +167,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("repo", "path", change.alias("change"))
 
 
-def modified_union(applied: DataFrame) -> DataFrame:
-    """O3: per run (patch_id) the distinct files any attempt touched, failed attempts included."""
-    return (applied.where(F.col("status") == OK)
-            .groupBy("repo").agg(F.array_sort(F.collect_set("path")).alias("modified_files")))
+def modified_union(applied: DataFrame, run_col: str = "repo") -> DataFrame:
+    """O3: (run, path) for every file any attempt of the run modified; attempts rolled back later still count.
+
+    Kept as distinct rows rather than one array per run, so a run that touches
+    a huge number of files never becomes a single row.
+    """
+    return applied.where(F.col("status") == OK).select(run_col, "path").distinct()

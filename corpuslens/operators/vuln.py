@@ -11,7 +11,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -196,28 +196,44 @@ def findings_rollup(found: DataFrame) -> DataFrame:
     return (found.rollup("repo", "severity", "cwe").agg(F.count(F.lit(1)).alias("n_findings")))
 
 
-def findings_report(found: DataFrame, repos: DataFrame) -> DataFrame:
-    """(repo, n_findings, report) markdown report per repo; repos without findings get the clean text.
-
-    Numbering follows (path, ord).  A repo's report is one string by design;
-    its size grows with that repo's findings, not with the corpus.
-    """
-    w = Window.partitionBy("repo").orderBy("path", "ord")
-    item = F.concat(
-        F.col("idx").cast("string"), F.lit(". **["), F.col("severity"), F.lit("] "), F.col("vulnerability"),
+def _item(idx: F.Column) -> F.Column:
+    return F.concat(
+        idx.cast("string"), F.lit(". **["), F.col("severity"), F.lit("] "), F.col("vulnerability"),
         F.lit(" ("), F.col("cwe"), F.lit(")**\n   - **Location**: `"), F.col("path"), F.lit("` (Line "),
         F.col("line").cast("string"), F.lit(")\n   - **Snippet**: `"), F.col("code"),
         F.lit("`\n   - **Description**: "), F.col("description"), F.lit("\n\n"))
-    per = (found.withColumn("idx", F.row_number().over(w))
-           .groupBy("repo")
-           .agg(F.count(F.lit(1)).alias("n_findings"),
-                F.array_sort(F.collect_list(F.struct("idx", item.alias("item")))).alias("_items")))
-    body = F.concat(F.lit(rules.REPORT_HEADER), F.lit("Detected **"), F.col("n_findings").cast("string"),
-                    F.lit("** security vulnerabilities:\n\n"),
-                    F.array_join(F.transform("_items", lambda s: s["item"]), ""))
-    return (repos.select("repo").distinct().join(per, "repo", "left")
-            .select("repo", F.coalesce(F.col("n_findings"), F.lit(0)).cast("long").alias("n_findings"),
-                    F.when(F.col("n_findings").isNull(), F.lit(rules.CLEAN_REPORT_TEXT)).otherwise(body).alias("report")))
+
+
+def findings_report_lines(found: DataFrame, repos: DataFrame) -> DataFrame:
+    """G8 as a table: (repo, idx, text); idx 0 is the header, idx k the k-th finding in (path, ord) order.
+
+    The report of a repo is the concatenation of its lines in idx order.  Items
+    are numbered with a skew-safe running count, and the header needs only a
+    per-repo count, so no repo's findings are ever gathered into one row.
+    """
+    from corpuslens.operators import sequence
+    numbered = sequence.running_count(found.withColumn("_one", F.lit(True)), "repo", ["path", "ord"], "_one", "idx")
+    items = numbered.select("repo", F.col("idx").cast("long").alias("idx"), _item(F.col("idx")).alias("text"))
+    counts = numbered.groupBy("repo").agg(F.max("idx").alias("n"))  # reads the checkpoint, no second parse
+    header = (repos.select("repo").distinct().join(counts, "repo", "left")
+              .select("repo", F.lit(0).cast("long").alias("idx"),
+                      F.when(F.col("n").isNull(), F.lit(rules.CLEAN_REPORT_TEXT))
+                       .otherwise(F.concat(F.lit(rules.REPORT_HEADER), F.lit("Detected **"), F.col("n").cast("string"),
+                                           F.lit("** security vulnerabilities:\n\n"))).alias("text")))
+    return header.unionByName(items)
+
+
+def report_text(lines: DataFrame) -> DataFrame:
+    """(repo, n_findings, report) by concatenating report lines; for repos whose report is known to be small."""
+    return (lines.groupBy("repo")
+            .agg((F.count(F.lit(1)) - 1).cast("long").alias("n_findings"),
+                 F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("_l"))
+            .select("repo", "n_findings", F.array_join(F.transform("_l", lambda s: s["text"]), "").alias("report")))
+
+
+def findings_report(found: DataFrame, repos: DataFrame) -> DataFrame:
+    """(repo, n_findings, report) markdown text per repo (see `findings_report_lines` for large repos)."""
+    return report_text(findings_report_lines(found, repos))
 
 
 def clean_repos(found: DataFrame, repos: DataFrame) -> DataFrame:

@@ -302,8 +302,8 @@ def _report_sql() -> str:
             "'   - **Location**: `' || path || '` (Line ' || CAST(line AS STRING) || ')' || chr(10) || "
             "'   - **Snippet**: `' || code || '`' || chr(10) || '   - **Description**: ' || description || chr(10) || chr(10)")
     return f"""{_expected_findings_sql()},
-num AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line) AS idx FROM exp),
-per AS (SELECT repo, count(*) AS n, string_agg({item}, '' ORDER BY idx) AS items FROM num GROUP BY repo),
+num AS (SELECT *, {item} AS item FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line) AS idx FROM exp)),
+per AS (SELECT repo, count(*) AS n, string_agg(item, '' ORDER BY idx) AS items FROM num GROUP BY repo),
 rep AS (
   SELECT r.repo, CAST(coalesce(p.n, 0) AS BIGINT) AS n_findings,
          CASE WHEN p.n IS NULL THEN {O.q(rules.CLEAN_REPORT_TEXT)}
@@ -325,6 +325,20 @@ def q_findings_report(spark, sf_dir):
                       F.md5("report").alias("report_md5"))
 
 
+@query("findings_report_lines", f"""
+WITH {_report_sql()}
+SELECT repo, CAST(0 AS BIGINT) AS idx, md5(CASE WHEN n_findings = 0 THEN report
+       ELSE {O.q(rules.REPORT_HEADER)} || 'Detected **' || CAST(n_findings AS STRING) || '** security vulnerabilities:'
+            || chr(10) || chr(10) END) AS text_md5 FROM rep
+UNION ALL
+SELECT repo, CAST(idx AS BIGINT), md5(item) FROM num
+""")
+def q_findings_report_lines(spark, sf_dir):
+    from corpuslens.operators import vuln
+    lines = vuln.findings_report_lines(_order_findings(spark, sf_dir), order_files(spark, sf_dir))
+    return lines.select("repo", "idx", F.md5("text").alias("text_md5"))
+
+
 @query("clean_repos", f"""
 WITH {_expected_findings_sql()}
 SELECT DISTINCT repo FROM ofiles WHERE repo NOT IN (SELECT repo FROM exp)
@@ -525,7 +539,7 @@ def q_snapshot_diff(spark, sf_dir):
 
 @query("modified_union", f"""
 WITH {_expected_patch_sql()}
-SELECT repo, list_sort(list(DISTINCT path)) AS modified_files FROM pexp WHERE status = 'APPLIED' GROUP BY repo
+SELECT DISTINCT repo, path FROM pexp WHERE status = 'APPLIED'
 """)
 def q_modified_union(spark, sf_dir):
     from corpuslens.operators import patching
