@@ -187,6 +187,32 @@ def findings(facts: DataFrame) -> DataFrame:
                     desc.alias("description")))
 
 
+def may_have_findings(content) -> F.Column:
+    """Exact pre-filter before parsing: a finding needs a rule word in the text.
+
+    Every rule callee contains one of eval/exec/system/popen/subprocess/pickle/
+    yaml, and every credential target one of the credential words, so an ASCII
+    file without any of them (case-insensitive) has no finding.  Python
+    NFKC-normalises identifiers, so files with any non-ASCII character always
+    pass.  Skipped files are not parsed, hence report no parse errors.
+    """
+    low = F.lower(content)
+    words = ("eval", "exec", "system", "popen", "subprocess", "pickle", "yaml") + tuple(
+        w.lower() for w in rules.CRED_NAME_WORDS)
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | low.contains(w)
+    return hit | content.rlike(r"[^\x00-\x7F]")
+
+
+def scan_findings(files: DataFrame, prefilter: bool = True) -> DataFrame:
+    """Corpus -> findings: .py path filter, optional exact pre-filter, fact extraction, rules."""
+    py = ast_path_skip(files)
+    if prefilter:
+        py = py.where(may_have_findings(F.col("content")))
+    return findings(python_facts(py))
+
+
 def parse_errors(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("kind") == "error").select("repo", "path", "error")
 

@@ -275,8 +275,7 @@ def _expected_findings_sql() -> str:
 
 def _order_findings(spark, sf_dir):
     from corpuslens.operators import vuln
-    files = vuln.ast_path_skip(order_files(spark, sf_dir))
-    return vuln.findings(vuln.python_facts(files))
+    return vuln.scan_findings(order_files(spark, sf_dir))
 
 
 @query("ast_findings", f"""
@@ -544,3 +543,32 @@ SELECT DISTINCT repo, path FROM pexp WHERE status = 'APPLIED'
 def q_modified_union(spark, sf_dir):
     from corpuslens.operators import patching
     return patching.modified_union(_applied(spark, sf_dir))
+
+
+@query("explode_lines", f"""
+WITH {DOCS},
+l AS (SELECT repo, path, string_split_regex(content, {O.q(O.LINE_RE)}) AS ls, {O.n_lines_expr('content')} AS n FROM docs),
+u AS (SELECT repo, path, ls, unnest(generate_series(1, n)) AS line FROM l)
+SELECT repo, path, CAST(line AS INTEGER) AS line, md5(ls[line]) AS text_md5 FROM u
+""")
+def q_explode_lines(spark, sf_dir):
+    from corpuslens.operators import paths
+    lines = paths.explode_lines(documents_files(spark, sf_dir))
+    return lines.select("repo", "path", "line", F.md5("text").alias("text_md5"))
+
+
+@query("sql_secret_entropy", f"""
+WITH {DOCS}, {O.secrets_ctes('docs', TESTDATA_ENTROPY)}
+SELECT repo, path, CAST(ord AS INTEGER) AS ord, literal, round(entropy, 6) AS entropy FROM sec_all
+""")
+def q_sql_secret_entropy(spark, sf_dir):
+    """The SQL text interface: registered SQL functions, a bound regex parameter, LATERAL VIEW posexplode."""
+    from corpuslens.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    documents_files(spark, sf_dir).createOrReplaceTempView("corpus_files")
+    return spark.sql(
+        "SELECT repo, path, CAST(pos + 1 AS INT) AS ord, lit AS literal, round(shannon_entropy(lit), 6) AS entropy "
+        "FROM corpus_files LATERAL VIEW posexplode(regexp_extract_all(content, :pat, 1)) t AS pos, lit "
+        "WHERE shannon_entropy(lit) > :thr AND NOT exists(array(" + ", ".join(O.q(p) for p in rules.SECRET_PLACEHOLDERS)
+        + "), p -> contains(lower(lit), p))",
+        args={"pat": rules.SECRET_LITERAL_PATTERN, "thr": TESTDATA_ENTROPY})

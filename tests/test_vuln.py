@@ -53,3 +53,20 @@ def test_ast_path_skip_substring_quirk(spark):
                                    ("r", "src/z.txt", "")], "repo string, path string, content string")
     assert [r.path for r in vuln.ast_path_skip(files).collect()] == ["src/z.py"]
     assert sorted(r.path for r in vuln.ast_path_skip(files, strict=True).collect()) == [".github/x.py", "myvenv2/y.py", "src/z.py"]
+
+
+def test_prefilter_is_exact(spark):
+    files = spark.createDataFrame([("r", "a.py", "print(1)\n"), ("r", "b.py", "ｅval(x)\n"),
+                                   ("r", "c.py", "Eval = 1\nEVAL(x)\n"), ("r", "d.py", "os.system(x)\n")],
+                                  "repo string, path string, content string")
+    with_pf = sorted((r.path, r.cwe) for r in vuln.scan_findings(files, prefilter=True).collect())
+    without = sorted((r.path, r.cwe) for r in vuln.scan_findings(files, prefilter=False).collect())
+    assert with_pf == without == [("b.py", "CWE-94"), ("d.py", "CWE-78")]
+
+
+def test_sql_functions(spark):
+    from corpuslens.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    r = spark.sql("SELECT shannon_entropy('aabbc') AS e, count_ci('Query( query(', 'QUERY(') AS c, "
+                  "normalize_eol('a' || chr(13) || chr(10) || 'b' || chr(13)) AS n").first()
+    assert abs(r.e - 1.5219280948873621) < 1e-12 and r.c == 2 and r.n == "a\nb\n"
