@@ -8,7 +8,7 @@ spread over many tasks; per-run summaries are partial aggregates
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -43,17 +43,14 @@ def load_transitions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return edges, settings
 
 
-def run_transitions(events: DataFrame, edges: DataFrame, skew_safe: bool = True) -> DataFrame:
+def run_transitions(events: DataFrame, edges: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """(run_id, seq, prev_state, state, legal).  The first event of a run has no predecessor.
 
-    With `skew_safe` the predecessor comes from `sequence.neighbors` (range-partitioned, so one huge run
-    is spread over many tasks); otherwise from lag over a window partitioned by run.
+    The predecessor comes from `sequence.neighbors`: range-partitioned when a run is hot (one huge run is
+    spread over many tasks), a window per run otherwise; `skew_safe` forces either path.
     """
     legal = edges.select(F.col("state").alias("prev_state"), F.col("next_state").alias("state")).distinct()
-    if skew_safe:
-        seqd = sequence.neighbors(events, "run_id", ["seq"], ["state"]).drop("next_state")
-    else:
-        seqd = events.withColumn("prev_state", F.lag("state").over(Window.partitionBy("run_id").orderBy("seq")))
+    seqd = sequence.neighbors(events, "run_id", ["seq"], ["state"], skew_safe=skew_safe).drop("next_state")
     # The edge dimension is a fixed handful of rows: broadcasting it is size-safe.
     j = seqd.join(F.broadcast(legal.withColumn("_ok", F.lit(True))), ["prev_state", "state"], "left")
     return j.select("run_id", "seq", "prev_state", "state",
@@ -73,23 +70,18 @@ def run_outcome(events: DataFrame, terminal_ok=("COMPLETED", "COMMIT"), terminal
                         .otherwise(F.lit("RUNNING"))))
 
 
-def run_attempts(events: DataFrame, skew_safe: bool = True) -> DataFrame:
+def run_attempts(events: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """Attempt number at every event = PATCH entries so far in the run."""
-    if skew_safe:
-        flagged = events.select("run_id", "seq", "state", (F.col("state") == "PATCH").alias("_is_patch"))
-        return sequence.running_count(flagged, "run_id", ["seq"], "_is_patch", "attempt").drop("_is_patch")
-    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.select("run_id", "seq", "state",
-                         F.sum(F.when(F.col("state") == "PATCH", 1).otherwise(0)).over(w).cast("long").alias("attempt"))
+    flagged = events.select("run_id", "seq", "state", (F.col("state") == "PATCH").alias("_is_patch"))
+    return sequence.running_count(flagged, "run_id", ["seq"], "_is_patch", "attempt",
+                                  skew_safe=skew_safe).drop("_is_patch")
 
 
-def dwell_time(events: DataFrame, skew_safe: bool = True) -> DataFrame:
+def dwell_time(events: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """Seconds until the run's next event (null for the last one)."""
-    if skew_safe:
-        events = sequence.neighbors(events.select("run_id", "seq", "state", "ts"), "run_id", ["seq"], ["ts"])
-        nxt = F.col("next_ts")
-    else:
-        nxt = F.lead("ts").over(Window.partitionBy("run_id").orderBy("seq"))
+    events = sequence.neighbors(events.select("run_id", "seq", "state", "ts"), "run_id", ["seq"], ["ts"],
+                                skew_safe=skew_safe)
+    nxt = F.col("next_ts")
     secs = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return events.select("run_id", "seq", "state", (secs / 1e6).alias("dwell_s"))
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +30,45 @@ def _ranged(df: DataFrame, key: str, order: Sequence[str], partitions: int | Non
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
-    return df.repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    # Range bounds are sampled by a job over the input before the shuffle reads it again, and an eager
+    # checkpoint computes then writes: persisting both keeps every upstream stage to a single run.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = src.repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id()) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
+    saved = ranged.checkpoint(eager=True)
+    ranged.unpersist()
+    src.unpersist()
+    return saved
+
+
+HOT_KEY_ROWS = 2_000_000
+
+
+def has_hot_key(df: DataFrame, key: str, threshold: int | None = None) -> bool:
+    """True when some key holds more than `threshold` rows (conf corpuslens.sequence.hotKeyRows).
+
+    One partial aggregation; only a single number reaches the driver.
+    """
+    t = threshold or int(df.sparkSession.conf.get("corpuslens.sequence.hotKeyRows", str(HOT_KEY_ROWS)))
+    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
+    return bool(top and top > t)
+
+
+def _use_ranges(df: DataFrame, key: str, skew_safe: bool | None) -> bool:
+    return has_hot_key(df, key) if skew_safe is None else skew_safe
 
 
 def neighbors(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str],
-              partitions: int | None = None) -> DataFrame:
-    """Adds prev_<c> and next_<c> for each c in cols (null at the first / last row of a key)."""
+              partitions: int | None = None, skew_safe: bool | None = None) -> DataFrame:
+    """Adds prev_<c> and next_<c> for each c in cols (null at the first / last row of a key).
+
+    skew_safe: True = range-partitioned path, False = window per key, None = decide by `has_hot_key`.
+    """
+    if not _use_ranges(df, key, skew_safe):
+        w = Window.partitionBy(key).orderBy(*order)
+        for c in cols:
+            df = df.withColumn(f"prev_{c}", F.lag(c).over(w)).withColumn(f"next_{c}", F.lead(c).over(w))
+        return df
     r = _ranged(df, key, order, partitions)
     w = Window.partitionBy("_pid", key).orderBy(*order)
     out = r
@@ -59,10 +93,13 @@ def neighbors(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]
 
 
 def running_count(df: DataFrame, key: str, order: Sequence[str], flag: str, out_col: str,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, skew_safe: bool | None = None) -> DataFrame:
     """out_col = number of rows with `flag` true from the key's first row up to this one (inclusive)."""
-    r = _ranged(df, key, order, partitions)
     one = F.when(F.col(flag), 1).otherwise(0)
+    if not _use_ranges(df, key, skew_safe):
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out_col, F.sum(one).over(w).cast("long"))
+    r = _ranged(df, key, order, partitions)
     w = Window.partitionBy("_pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = r.withColumn("_local", F.sum(one).over(w))
     # Carry from earlier partitions of the same key: one row per (partition, key), a hot key has at most

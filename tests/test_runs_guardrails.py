@@ -82,7 +82,9 @@ def test_sequence_ops_hot_key_equal_windows(spark):
     exp = {(r.k, r.o): (r.p, r.n, r.c) for r in df.select(
         "k", "o", F.lag("o").over(w).alias("p"), F.lead("o").over(w).alias("n"),
         F.sum(F.when(F.col("f"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c")).collect()}
-    nb = {(r.k, r.o): (r.prev_o, r.next_o) for r in sequence.neighbors(df, "k", ["o"], ["o"], partitions=16).collect()}
-    rc = {(r.k, r.o): r.c for r in sequence.running_count(df, "k", ["o"], "f", "c", partitions=16).collect()}
+    nb = {(r.k, r.o): (r.prev_o, r.next_o)
+          for r in sequence.neighbors(df, "k", ["o"], ["o"], partitions=16, skew_safe=True).collect()}
+    rc = {(r.k, r.o): r.c for r in sequence.running_count(df, "k", ["o"], "f", "c", partitions=16, skew_safe=True).collect()}
+    assert sequence.has_hot_key(df, "k", threshold=1000) and not sequence.has_hot_key(df, "k", threshold=5000)
     assert nb == {key: v[:2] for key, v in exp.items()}
     assert rc == {key: v[2] for key, v in exp.items()}
