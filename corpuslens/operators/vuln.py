@@ -237,7 +237,12 @@ def findings_report_lines(found: DataFrame, repos: DataFrame) -> DataFrame:
     are numbered with a skew-safe running count, and the header needs only a
     per-repo count, so no repo's findings are ever gathered into one row.
     """
+    from pyspark import StorageLevel
+
     from corpuslens.operators import sequence
+    # Findings are read by the hot-key check, the numbering and the header counts: keep one copy
+    # (findings are a small fraction of the corpus) instead of parsing the sources three times.
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     numbered = sequence.running_count(found.withColumn("_one", F.lit(True)), "repo", ["path", "ord"], "_one", "idx")
     items = numbered.select("repo", F.col("idx").cast("long").alias("idx"), _item(F.col("idx")).alias("text"))
     counts = numbered.groupBy("repo").agg(F.max("idx").alias("n"))  # reads the checkpoint, no second parse
