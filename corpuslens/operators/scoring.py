@@ -162,9 +162,41 @@ def resolve_imports(imports: DataFrame, project_files: DataFrame, gram: int = 3)
     return first.select("repo", "src", "dst").unionByName(empty).distinct()
 
 
-def import_boost(scored: DataFrame, edges: DataFrame) -> DataFrame:
-    """+IMPORT_BOOST on a candidate for each distinct importer whose pre-boost score is > 0 (one hop)."""
-    live = scored.where(F.col("score") > 0).select("repo", F.col("path").alias("src"))
+def live_importers(scored: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(repo, src) of files that boost their imports when candidates are visited in path order.
+
+    A file boosts its imports if its score is positive when visited: either its
+    own score is, or an importer visited before it (smaller path) was itself
+    live and lifted it.  The closure is computed by bounded iteration (each
+    round is a distributed join); every round's frontier is checkpointed so the
+    lineage stays short.  Stops when no new file turns live.
+    """
+    from corpuslens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(scored.sparkSession)
+    cand = scored.select("repo", F.col("path").alias("dst"))
+    fwd = (edges.where(F.col("src") < F.col("dst"))
+           .join(cand, ["repo", "dst"], "left_semi"))
+    live = scored.where(F.col("score") > 0).select("repo", F.col("path").alias("src")).checkpoint(eager=True)
+    frontier = live
+    for _ in range(max_rounds):
+        new = (fwd.join(frontier, ["repo", "src"], "left_semi").select("repo", F.col("dst").alias("src")).distinct()
+               .join(live, ["repo", "src"], "left_anti")).checkpoint(eager=True)
+        if new.isEmpty():
+            break
+        live = live.unionByName(new).checkpoint(eager=True)
+        frontier = new
+    return live
+
+
+def import_boost(scored: DataFrame, edges: DataFrame, cascade: bool = False) -> DataFrame:
+    """+IMPORT_BOOST on a candidate for each distinct importer that is live.
+
+    Default: live = pre-boost score > 0 (one hop).  cascade=True: scores change
+    while candidates are visited in path order, so a file lifted above 0 by an
+    earlier importer boosts its own imports too (see `live_importers`).
+    """
+    live = (live_importers(scored, edges) if cascade
+            else scored.where(F.col("score") > 0).select("repo", F.col("path").alias("src")))
     boosts = (edges.join(live, ["repo", "src"], "left_semi")
               .groupBy("repo", F.col("dst").alias("path"))
               .agg((F.count(F.lit(1)) * rules.IMPORT_BOOST).alias("boost")))

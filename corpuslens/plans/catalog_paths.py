@@ -379,3 +379,27 @@ def q_framework_keywords(spark, sf_dir):
     kw = scoring.framework_keywords(spark.sql(FW_MANIFEST_SQL))
     return kw.select("repo", F.size("keywords").cast("int").alias("n_keywords"),
                      F.array_join("keywords", chr(31)).alias("keywords"))
+
+
+@query("import_boost_cascade", f"""
+WITH RECURSIVE {IMPORTS_SQL},
+sc AS (SELECT p.repo, p.path, {__import__('corpuslens.plans.oracle', fromlist=['x']).kw_score_expr('f.content', PAGE_KW)} AS score
+       FROM proj p JOIN pf f ON p.repo = f.repo AND p.path = f.path),
+fwd AS (SELECT e.repo, e.src, e.dst FROM edges e JOIN sc ON e.repo = sc.repo AND e.dst = sc.path WHERE e.src < e.dst),
+live(repo, src) AS (
+  SELECT repo, path FROM sc WHERE score > 0
+  UNION
+  SELECT f.repo, f.dst FROM fwd f JOIN live l ON f.repo = l.repo AND f.src = l.src
+),
+b AS (SELECT e.repo, e.dst AS path, 2 * count(*) AS boost FROM edges e JOIN live l ON e.repo = l.repo AND e.src = l.src
+      GROUP BY e.repo, e.dst)
+SELECT sc.repo, sc.path, CAST(sc.score AS BIGINT) AS score_pre, CAST(coalesce(b.boost, 0) AS BIGINT) AS boost,
+       CAST(sc.score + coalesce(b.boost, 0) AS BIGINT) AS score
+FROM sc LEFT JOIN b ON sc.repo = b.repo AND sc.path = b.path
+""")
+def q_import_boost_cascade(spark, sf_dir):
+    proj = _page_project(spark, sf_dir)
+    scored = scoring.score_files(proj, keywords=PAGE_KW, with_lines=False)
+    edges = scoring.resolve_imports(_page_imports(spark, sf_dir), proj)
+    b = scoring.import_boost(scored, edges, cascade=True)
+    return b.select("repo", "path", (F.col("score") - F.col("boost")).alias("score_pre"), "boost", "score")

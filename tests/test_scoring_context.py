@@ -90,3 +90,28 @@ def test_resolve_imports_first_match(spark):
     assert ("app.js", "lib/Utils/Helpers.ts") in edges          # first in path order wins
     assert ("app.js", "org/demo/Thing.java") in edges            # dotted Java import
     assert not any(d.startswith("os") for _, d in edges)         # standard library prefix dropped
+
+
+def _cascade_loop(scores, edges):
+    """Visit candidates in path order, mutating scores as the reviewed application does."""
+    score = dict(scores)
+    for path in sorted(score):
+        if score[path] > 0:
+            for dst in sorted({d for s, d in edges if s == path}):
+                if dst in score:
+                    score[dst] += 2
+    return score
+
+
+def test_import_boost_cascade_random(spark):
+    rnd = random.Random(5)
+    names = [f"m{i:02d}.py" for i in range(25)]
+    scores = {n: (rnd.randint(1, 5) if rnd.random() < 0.2 else 0) for n in names}
+    edges = {(rnd.choice(names), rnd.choice(names)) for _ in range(60)}
+    sdf = spark.createDataFrame([("r", n, s) for n, s in scores.items()], "repo string, path string, score long")
+    edf = spark.createDataFrame([("r", s, d) for s, d in edges], "repo string, src string, dst string")
+    got = {r.path: r.score for r in scoring.import_boost(sdf, edf, cascade=True).collect()}
+    assert got == _cascade_loop(scores, edges)
+    one_hop = {r.path: r.score for r in scoring.import_boost(sdf, edf).collect()}
+    exp_one = {n: s + 2 * len({a for a, b in edges if b == n and scores[a] > 0}) for n, s in scores.items()}
+    assert one_hop == exp_one
