@@ -67,7 +67,8 @@ def _entry(path: Column, label: Column, score: Column, payload: Column) -> Colum
 
 def pack_context(payloads: DataFrame, max_chars: int = rules.PACK_MAX_CHARS,
                  max_files: int = rules.PACK_MAX_FILES, min_tail: int = rules.PACK_MIN_TAIL,
-                 reserve: int = rules.PACK_TAIL_RESERVE) -> DataFrame:
+                 reserve: int = rules.PACK_TAIL_RESERVE, keywords=rules.RISK_KEYWORDS,
+                 threshold: float = rules.SECRET_ENTROPY_THRESHOLD) -> DataFrame:
     """Greedy prefix packing per repo by rank: (repo, rank, path, label, n_chars, entry).
 
     Files are taken in (score desc, path) order, skipping empty payloads; the
@@ -79,9 +80,22 @@ def pack_context(payloads: DataFrame, max_chars: int = rules.PACK_MAX_CHARS,
     per map task to the window.
     """
     w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("path"))
-    ranked = (payloads.where(F.length("payload") > 0)
-              .withColumn("rank", F.row_number().over(w))
-              .where(F.col("rank") <= max_files))
+    if "payload" in payloads.columns:
+        ranked = (payloads.where(F.length("payload") > 0)
+                  .withColumn("rank", F.row_number().over(w))
+                  .where(F.col("rank") <= max_files))
+    else:
+        # A payload is empty exactly when the file is (rendered snippets always hold their header), so
+        # the limit can run on scores alone: matched lines and snippets are then built for at most
+        # `max_files` rows per repo instead of for every file.
+        from corpuslens.operators.scoring import matched_lines_col, secret_literals_col
+        ranked = (payloads.where(F.length("content") > 0)
+                  .withColumn("rank", F.row_number().over(w))
+                  .where(F.col("rank") <= max_files))
+        if "matched_lines" not in ranked.columns:
+            ranked = ranked.withColumn("matched_lines", matched_lines_col(
+                F.col("content"), keywords, secret_literals_col(F.col("content"), threshold)))
+        ranked = with_payload(ranked)
     entry = _entry(F.col("path"), F.col("label"), F.col("score"), F.col("payload"))
     ranked = ranked.withColumn("entry", entry).withColumn("n_chars", F.length("entry"))
     wc = Window.partitionBy("repo").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -195,7 +195,8 @@ packed AS (
 
 
 def _packed(spark, sf_dir):
-    return ctx.pack_context(_payloads(spark, sf_dir), **PACK)
+    scored = scoring.score_files(documents_files(spark, sf_dir), threshold=TESTDATA_ENTROPY, with_lines=False)
+    return ctx.pack_context(scored, threshold=TESTDATA_ENTROPY, **PACK)
 
 
 @query("pack_context", f"""
