@@ -162,14 +162,15 @@ def resolve_imports(imports: DataFrame, project_files: DataFrame, gram: int = 3)
     return first.select("repo", "src", "dst").unionByName(empty).distinct()
 
 
-def live_importers(scored: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def live_importers(scored: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, src) of files that boost their imports when candidates are visited in path order.
 
     A file boosts its imports if its score is positive when visited: either its
     own score is, or an importer visited before it (smaller path) was itself
     live and lifted it.  The closure is computed by bounded iteration (each
     round is a distributed join); every round's frontier is checkpointed so the
-    lineage stays short.  Stops when no new file turns live.
+    lineage stays short.  Runs to the fixed point: each round adds at least one
+    file, so it ends after at most (longest forward import chain) rounds.
     """
     from corpuslens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(scored.sparkSession)
@@ -178,7 +179,7 @@ def live_importers(scored: DataFrame, edges: DataFrame, max_rounds: int = 64) ->
            .join(cand, ["repo", "dst"], "left_semi"))
     live = scored.where(F.col("score") > 0).select("repo", F.col("path").alias("src")).checkpoint(eager=True)
     frontier = live
-    for _ in range(max_rounds):
+    while True:
         new = (fwd.join(frontier, ["repo", "src"], "left_semi").select("repo", F.col("dst").alias("src")).distinct()
                .join(live, ["repo", "src"], "left_anti")).checkpoint(eager=True)
         if new.isEmpty():
