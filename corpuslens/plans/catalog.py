@@ -573,3 +573,26 @@ def q_sql_secret_entropy(spark, sf_dir):
         "WHERE shannon_entropy(lit) > :thr AND NOT exists(array(" + ", ".join(O.q(p) for p in rules.SECRET_PLACEHOLDERS)
         + "), p -> contains(lower(lit), p))",
         args={"pat": rules.SECRET_LITERAL_PATTERN, "thr": TESTDATA_ENTROPY})
+
+
+ERR_SRC_SQL = """
+CASE c_mktsegment
+  WHEN 'MACHINERY' THEN 'def handler_' || CAST(c_custkey AS STRING) || '(:' || chr(10) || '    pass' || chr(10)
+  WHEN 'AUTOMOBILE' THEN 'x = (1,' || chr(10)
+  ELSE 'def handler_' || CAST(c_custkey AS STRING) || '(x):' || chr(10) || '    return x' || chr(10) END"""
+
+
+@query("parse_errors", """
+SELECT 'seg_' || c_mktsegment AS repo, 'err/cust_' || CAST(c_custkey AS VARCHAR) || '.py' AS path,
+       'SyntaxError' AS error_kind
+FROM customer WHERE c_mktsegment IN ('MACHINERY', 'AUTOMOBILE')
+""")
+def q_parse_errors(spark, sf_dir):
+    """C11: files that do not parse are kept as a status table, not dropped."""
+    from corpuslens.operators import vuln
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    files = spread(spark.sql(
+        "SELECT 'seg_' || c_mktsegment AS repo, 'err/cust_' || CAST(c_custkey AS STRING) || '.py' AS path, "
+        f"{ERR_SRC_SQL} AS content FROM customer"))
+    errs = vuln.parse_errors(vuln.python_facts(files))
+    return errs.select("repo", "path", F.regexp_extract("error", r"^(\w+):", 1).alias("error_kind"))
