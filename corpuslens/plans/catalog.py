@@ -7,6 +7,7 @@ Every query reads whole tables; no id subsets or row caps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+          "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table_sql(spark: SparkSession, sf_dir: str, sql: str, **kwargs) -> DataFrame:
+    """Run SQL written against the plain table names on the tables of `sf_dir`.
+
+    Each table is registered under a name private to this package and this data
+    folder, and only FROM/JOIN references are rewritten, so the caller's own
+    temp views of the same names are never replaced.
+    """
+    import hashlib
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+
+    def sub(m):
+        name = f"cl_{m.group(2)}_{tag}"
+        if not spark.catalog.tableExists(name):
+            table(spark, sf_dir, m.group(2)).createOrReplaceTempView(name)
+        return f"{m.group(1)} {name}"
+    text = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b", sub, sql)
+    return spark.sql(text, **kwargs)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin rebalance only when the scan yields fewer tasks than the cluster has cores.
 
@@ -244,8 +268,7 @@ ORDER_FILES_SQL = ("SELECT 'cust_' || CAST(o_custkey AS STRING) AS repo, "
 
 
 def order_files(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spread(spark.sql(ORDER_FILES_SQL))
+    return spread(table_sql(spark, sf_dir, ORDER_FILES_SQL))
 
 
 def _expected_findings_sql() -> str:
@@ -368,8 +391,8 @@ FROM c WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD') AND le
 """)
 def q_cred_findings(spark, sf_dir):
     from corpuslens.operators import vuln
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    files = spread(spark.sql(
+    files = spread(table_sql(
+        spark, sf_dir,
         "SELECT 'seg_' || c_mktsegment AS repo, 'cfg/cust_' || CAST(c_custkey AS STRING) || '.py' AS path, "
         f"{CUST_SRC_SQL} AS content FROM customer"))
     facts = vuln.python_facts(files)
@@ -411,8 +434,7 @@ PATCH_TEXTS_SQL = (f"SELECT repo, o_orderkey AS patch_id, {PATCH_TEXT_SQL} AS te
 
 def _patch_rows(spark, sf_dir):
     from corpuslens.operators import patching
-    order_files(spark, sf_dir)
-    texts = spread(spark.sql(PATCH_TEXTS_SQL))
+    texts = spread(table_sql(spark, sf_dir, PATCH_TEXTS_SQL))
     return patching.parse_patch(texts)
 
 
@@ -519,7 +541,7 @@ def q_restore_snapshot(spark, sf_dir):
     from corpuslens.operators import patching
     files = order_files(spark, sf_dir)
     snap = files.select("repo", "path", "content")
-    notes = spark.sql(AGENT_NOTES_SQL.replace("FROM ofiles", f"FROM ({ORDER_FILES_SQL}) ofiles"))
+    notes = table_sql(spark, sf_dir, AGENT_NOTES_SQL.replace("FROM ofiles", f"FROM ({ORDER_FILES_SQL}) ofiles"))
     current = patching.patched_files(snap, _applied(spark, sf_dir)).unionByName(notes)
     restored = patching.restore_snapshot(current, snap)
     return restored.select("repo", "path", F.md5("content").alias("content_md5"))
@@ -566,13 +588,12 @@ def q_sql_secret_entropy(spark, sf_dir):
     """The SQL text interface: registered SQL functions, a bound regex parameter, LATERAL VIEW posexplode."""
     from corpuslens.functions.sql import register_sql_functions
     register_sql_functions(spark)
-    documents_files(spark, sf_dir).createOrReplaceTempView("corpus_files")
     return spark.sql(
         "SELECT repo, path, CAST(pos + 1 AS INT) AS ord, lit AS literal, round(shannon_entropy(lit), 6) AS entropy "
-        "FROM corpus_files LATERAL VIEW posexplode(regexp_extract_all(content, :pat, 1)) t AS pos, lit "
+        "FROM {corpus_files} LATERAL VIEW posexplode(regexp_extract_all(content, :pat, 1)) t AS pos, lit "
         "WHERE shannon_entropy(lit) > :thr AND NOT exists(array(" + ", ".join(O.q(p) for p in rules.SECRET_PLACEHOLDERS)
         + "), p -> contains(lower(lit), p))",
-        args={"pat": rules.SECRET_LITERAL_PATTERN, "thr": TESTDATA_ENTROPY})
+        args={"pat": rules.SECRET_LITERAL_PATTERN, "thr": TESTDATA_ENTROPY}, corpus_files=documents_files(spark, sf_dir))
 
 
 ERR_SRC_SQL = """
@@ -590,8 +611,8 @@ FROM customer WHERE c_mktsegment IN ('MACHINERY', 'AUTOMOBILE')
 def q_parse_errors(spark, sf_dir):
     """C11: files that do not parse are kept as a status table, not dropped."""
     from corpuslens.operators import vuln
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    files = spread(spark.sql(
+    files = spread(table_sql(
+        spark, sf_dir,
         "SELECT 'seg_' || c_mktsegment AS repo, 'err/cust_' || CAST(c_custkey AS STRING) || '.py' AS path, "
         f"{ERR_SRC_SQL} AS content FROM customer"))
     errs = vuln.parse_errors(vuln.python_facts(files))

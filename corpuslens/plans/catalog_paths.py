@@ -8,7 +8,7 @@ from corpuslens import rules
 from corpuslens.functions.text import PY_SPACE_CLASS, is_remote_target, repo_name, strip_tagged, tagged_block
 from corpuslens.operators import manifests, paths, scoring
 from corpuslens.operators.patching import escapes_base
-from corpuslens.plans.catalog import documents_files, query, spread, table, DOCS
+from corpuslens.plans.catalog import DOCS, documents_files, query, spread, table, table_sql
 from corpuslens.plans.oracle import q
 
 # pages as a corpus: repo = host, path = <lang>/<dir by url shape>/<name by tld>, content = html
@@ -29,8 +29,7 @@ FROM pages"""
 
 
 def page_files(spark, sf_dir):
-    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
-    return spread(spark.sql(PAGE_FILES_SQL)).withColumn("size_bytes", F.octet_length("content"))
+    return spread(table_sql(spark, sf_dir, PAGE_FILES_SQL)).withColumn("size_bytes", F.octet_length("content"))
 
 
 PF = f"pf AS ({PAGE_FILES_SQL})"
@@ -212,9 +211,7 @@ SELECT 'acme' AS repo, 'src/com/acme/nations/' || replace(n_name, ' ', '_') || '
 FROM nation JOIN region ON n_regionkey = r_regionkey
 """)
 def q_java_import_edges(spark, sf_dir):
-    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    table(spark, sf_dir, "region").createOrReplaceTempView("region")
-    files = spark.sql(JAVA_FILES_SQL)
+    files = table_sql(spark, sf_dir, JAVA_FILES_SQL)
     imps = scoring.extract_imports(files)
     return scoring.resolve_imports(imps, files)
 
@@ -310,8 +307,7 @@ PART_LINES_SQL = (f"SELECT 'type_' || lower(p_type) AS repo, 'requirements.txt'
 
 
 def part_lines(spark, sf_dir):
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(PART_LINES_SQL)
+    return table_sql(spark, sf_dir, PART_LINES_SQL)
 
 
 _MP = rules.MANIFEST_LINE_PATTERN
@@ -374,9 +370,7 @@ SELECT r.repo, CAST({len(rules.RISK_KEYWORDS)} + coalesce(sum(len(string_split(x
 FROM r LEFT JOIN x ON r.repo = x.repo GROUP BY r.repo
 """)
 def q_framework_keywords(spark, sf_dir):
-    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    table(spark, sf_dir, "region").createOrReplaceTempView("region")
-    kw = scoring.framework_keywords(spark.sql(FW_MANIFEST_SQL))
+    kw = scoring.framework_keywords(table_sql(spark, sf_dir, FW_MANIFEST_SQL))
     return kw.select("repo", F.size("keywords").cast("int").alias("n_keywords"),
                      F.array_join("keywords", chr(31)).alias("keywords"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.operators import guardrails, runs, telemetry
-from corpuslens.plans.catalog import query, spread, table
+from corpuslens.plans.catalog import query, table, table_sql
 from corpuslens.plans.oracle import q
 
 # ---------------------------------------------------------------- telemetry --
@@ -176,8 +176,7 @@ def _results_sql() -> str:
 
 
 def test_results(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(_results_sql())
+    return table_sql(spark, sf_dir, _results_sql())
 
 
 def _verdict_sql() -> str:
