@@ -148,13 +148,12 @@ def resolve_imports(imports: DataFrame, project_files: DataFrame, gram: int = 3)
     imp_g = imp.select("repo", "src", "match_clean", "n",
                        F.explode(F.array_distinct(_grams(F.col("match_clean"), F.col("n")))).alias("g"))
     # An import with a gram absent from the repo cannot match; inner join drops it.
-    w_rare = Window.partitionBy("repo", "src", "match_clean").orderBy("gf", "g")
+    # Rarest gram (ties by gram text) and first matching path are partial aggregates, not windows.
     rare = (imp_g.join(freq, ["repo", "n", "g"])
-            .withColumn("rk", F.row_number().over(w_rare)).where("rk = 1")
-            .select("repo", "src", "match_clean", "n", "g"))
+            .groupBy("repo", "src", "match_clean", "n")
+            .agg(F.min_by("g", F.struct("gf", "g")).alias("g")))
     cand = rare.join(idx, ["repo", "n", "g"]).where(F.col("lpath").contains(F.col("match_clean")))
-    w_first = Window.partitionBy("repo", "src", "match_clean").orderBy("dst")
-    first = cand.withColumn("rk", F.row_number().over(w_first)).where("rk = 1")
+    first = cand.groupBy("repo", "src", "match_clean").agg(F.min("dst").alias("dst"))
     # An empty import text is contained in every path: it resolves to the repo's first path.
     firsts = paths.groupBy("repo").agg(F.min("dst").alias("dst"))
     empty = (imports.where(F.col("match_clean") == "").select("repo", F.col("path").alias("src"))
