@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
-from corpuslens.functions.text import count_ci, let, line_of_first, shannon_entropy, split_lines
+from corpuslens.functions.text import let, line_of_first, shannon_entropy, split_lines
 
 
 def _kw_array(keywords) -> Column:

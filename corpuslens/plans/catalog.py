@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import rules
-from corpuslens.functions.text import split_lines
 from corpuslens.operators import context as ctx
 from corpuslens.operators import scoring
 from corpuslens.plans import oracle as O
