@@ -15,10 +15,13 @@ from corpuslens import rules
 
 
 def first_rule(text: Column, patterns: Sequence[str] = rules.COMMAND_DENYLIST) -> Column:
-    """1-based id of the first denylist pattern found (case-insensitive) in text, null when allowed."""
+    """1-based id of the first denylist pattern found (case-insensitive) in text, null when allowed.
+
+    (?U) makes \\s match Unicode whitespace, as the patterns do on Python strings.
+    """
     expr = None
     for i, p in enumerate(patterns, 1):
-        cond = text.rlike("(?i)" + p)
+        cond = text.rlike("(?iU)" + p)
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
     return expr
 

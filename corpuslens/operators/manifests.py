@@ -19,7 +19,7 @@ def manifest_lines(files: DataFrame, names=("requirements.txt",)) -> DataFrame:
 def parse_manifest(lines: DataFrame) -> DataFrame:
     """Skip blank, '#' and '-' lines; first specifier parsed, anything else kept raw as unparsed."""
     s = py_strip(F.col("raw"))
-    pat = rules.MANIFEST_LINE_PATTERN
+    pat = "(?U)" + rules.MANIFEST_LINE_PATTERN  # Unicode \\s, as on Python strings
     kept = lines.withColumn("raw", s).where((F.col("raw") != "") & ~F.col("raw").startswith("#") &
                                            ~F.col("raw").startswith("-"))
     parsed = F.col("raw").rlike(pat)

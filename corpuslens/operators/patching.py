@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from corpuslens import rules
 from corpuslens.functions.text import fuzzy_pattern, let, normalize_eol, splice
 
-FILE_HEADER_RE = r"(?m)^FILE:\s*([^\n\r]+)"
-FILE_SPLIT_RE = r"(?m)^FILE:\s*[^\n\r]+"
+FILE_HEADER_RE = r"(?mU)^FILE:\s*([^\n\r]+)"
+FILE_SPLIT_RE = r"(?mU)^FILE:\s*[^\n\r]+"
 CHUNK_RE = r"(?s)<<<<<<< SEARCH[\r\n]+(.*?)[\r\n]+=======[\r\n]+(.*?)[\r\n]+>>>>>>> REPLACE"
 
 OK, NO_CHUNKS, NO_TARGET, TRAVERSAL, NOT_FOUND, SEARCH_MISS, ABORTED = (

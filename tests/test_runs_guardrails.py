@@ -88,3 +88,8 @@ def test_sequence_ops_hot_key_equal_windows(spark):
     assert sequence.has_hot_key(df, "k", threshold=1000) and not sequence.has_hot_key(df, "k", threshold=5000)
     assert nb == {key: v[:2] for key, v in exp.items()}
     assert rc == {key: v[2] for key, v in exp.items()}
+
+
+def test_guardrail_unicode_whitespace(spark):
+    cmds = spark.createDataFrame([("rm -rf /",), ("shred　x",)], "cmd string")
+    assert [r.rule_id for r in guardrails.audit_commands(cmds).collect()] == [1, 8]
