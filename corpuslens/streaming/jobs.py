@@ -95,8 +95,12 @@ def _run_state_fn(legal: set, terminal: tuple):
 def stream_run_state(events: DataFrame, terminal=("COMPLETED", "ERROR")) -> DataFrame:
     """Per-run state machine over (run_id, event_id, ts, state) events; one summary row per run per trigger.
 
-    Events of a run that arrive in one trigger are ordered by (ts, event_id);
-    the summary emitted last for a run (largest n_events) is its current state.
+    Events of a run that arrive in one trigger are ordered by (ts, event_id)
+    inside the state function (Structured Streaming allows no sort before a
+    stateful operator), so memory per run is bounded by the trigger size: cap
+    it with `table_stream(..., max_files=...)` / maxFilesPerTrigger.  The state
+    kept between triggers is six values per run.  The summary emitted last for
+    a run (largest n_events) is its current state.
     """
     fn = _run_state_fn(_legal_pairs(), terminal)
     return (events.groupBy("run_id")
