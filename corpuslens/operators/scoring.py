@@ -25,17 +25,26 @@ def _kw_array(keywords) -> Column:
 def keyword_score_col(content: Column, keywords) -> Column:
     """Sum over the keyword list (duplicates included) of non-overlapping case-insensitive counts.
 
-    The file is lower-cased once (bound with `let`), then each keyword costs one
-    replace pass: (len - len(replace(text, kw, ''))) / len(kw).
+    Each keyword costs one replace pass: (len - len(replace(text, kw, ''))) / len(kw).  For a fixed
+    list the sum is a plain expression (whole-stage codegen, lower(text) shared by subexpression
+    elimination); a per-row keyword array column falls back to `aggregate`, with the text lowered once.
     """
-    kws = (F.array(*[F.lit(k.lower()) for k in keywords]) if not isinstance(keywords, Column)
-           else F.transform(keywords, lambda k: F.lower(k)))
-
-    def total(low):
+    if not isinstance(keywords, Column):
+        low = F.lower(content)
+        n = F.length(low)
+        terms = [((n - F.length(F.replace(low, F.lit(k.lower()), F.lit("")))) / len(k)).cast("long")
+                 for k in keywords]
+        total = F.lit(0).cast("long")
+        for t in terms:
+            total = total + t
+        return total
+    kws = F.transform(keywords, lambda k: F.lower(k))
+
+    def total_of(low):
         n = F.length(low)
         return F.aggregate(kws, F.lit(0).cast("long"),
                            lambda acc, kw: acc + ((n - F.length(F.replace(low, kw, F.lit("")))) / F.length(kw)).cast("long"))
-    return let(F.lower(content), total)
+    return let(F.lower(content), total_of)
 
 
 def secret_literals_col(content: Column, threshold: float = rules.SECRET_ENTROPY_THRESHOLD,
