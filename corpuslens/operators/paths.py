@@ -34,10 +34,14 @@ def path_suffix(path) -> Column:
 
 
 def prune_dirs(files: DataFrame, names: Sequence[str] = rules.IGNORED_DIRS) -> DataFrame:
-    """B1: drop files under any directory whose lower-case name is listed or starts with '.'."""
-    segs = path_segments("path")
-    dirs = F.slice(segs, 1, F.size(segs) - 1)
-    bad = F.exists(dirs, lambda s: F.lower(s).isin(*names) | s.startswith("."))
+    """B1: drop files under any directory whose lower-case name is listed or starts with '.'.
+
+    One anchored regex over the path: a directory segment is text between
+    slashes that is followed by '/'.  Stays in generated code (no lambda).
+    """
+    import re as _re
+    alts = "|".join(_re.escape(n) for n in sorted(set(names), key=len, reverse=True))
+    bad = F.col("path").rlike(r"(?:^|/)(?:\.[^/]*|(?iu:" + alts + r"))/")
     return files.where(~bad)
 
 

@@ -76,3 +76,17 @@ def test_catalogue_matches_oracle_small(spark, name):
     from corpuslens.plans.verify import compare
     res = compare(spark, SMOKE, [name], verbose=False)
     assert res[name][0] == "MATCH", res[name]
+
+
+def test_prune_dirs_matches_segment_definition(spark):
+    import random
+
+    from corpuslens import rules
+    rnd = random.Random(2)
+    vocab = ["src", "Tests", "BUILD", ".git", "a.b", "..", "docs2", "mocks", "lib", "x-y", "node_modules", "Bin"]
+    paths_ = ["/".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 5))) + "/f.py" for _ in range(300)]
+    paths_ += ["tests", "build.py", ".hidden.py"]
+    got = {r.path for r in paths.prune_dirs(_files(spark, sorted(set(paths_)))).collect()}
+    exp = {p for p in set(paths_) if not any(d.lower() in rules.IGNORED_DIRS or d.startswith(".")
+                                             for d in p.split("/")[:-1])}
+    assert got == exp
