@@ -69,10 +69,12 @@ def spread(df: DataFrame) -> DataFrame:
     in a single task.  On a large input the scan is already wide and this is a
     no-op, so no 100 TB shuffle is added.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # noqa: BLE001  (no RDD view of the plan, e.g. Spark Connect): leave the plan as is
+        return df
+    return df.repartition(cores) if narrow else df
 
 
 def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
