@@ -9,7 +9,7 @@ from corpuslens.functions.text import PY_SPACE_CLASS, is_remote_target, repo_nam
 from corpuslens.operators import manifests, paths, scoring
 from corpuslens.operators.patching import escapes_base
 from corpuslens.plans.catalog import DOCS, documents_files, query, spread, table, table_sql
-from corpuslens.plans.oracle import q
+from corpuslens.plans.oracle import kw_score_expr, q
 
 # pages as a corpus: repo = host, path = <lang>/<dir by url shape>/<name by tld>, content = html
 PAGE_FILES_SQL = """
@@ -179,7 +179,7 @@ PAGE_KW = ('<div class="ad"', "spam")
 
 @query("import_boost", f"""
 WITH {IMPORTS_SQL},
-sc AS (SELECT p.repo, p.path, {__import__('corpuslens.plans.oracle', fromlist=['x']).kw_score_expr('f.content', PAGE_KW)} AS score
+sc AS (SELECT p.repo, p.path, {kw_score_expr('f.content', PAGE_KW)} AS score
        FROM proj p JOIN pf f ON p.repo = f.repo AND p.path = f.path),
 b AS (SELECT e.repo, e.dst AS path, 2 * count(*) AS boost FROM edges e JOIN sc s ON e.repo = s.repo AND e.src = s.path
       WHERE s.score > 0 GROUP BY e.repo, e.dst)
@@ -377,7 +377,7 @@ def q_framework_keywords(spark, sf_dir):
 
 @query("import_boost_cascade", f"""
 WITH RECURSIVE {IMPORTS_SQL},
-sc AS (SELECT p.repo, p.path, {__import__('corpuslens.plans.oracle', fromlist=['x']).kw_score_expr('f.content', PAGE_KW)} AS score
+sc AS (SELECT p.repo, p.path, {kw_score_expr('f.content', PAGE_KW)} AS score
        FROM proj p JOIN pf f ON p.repo = f.repo AND p.path = f.path),
 fwd AS (SELECT e.repo, e.src, e.dst FROM edges e JOIN sc ON e.repo = sc.repo AND e.dst = sc.path WHERE e.src < e.dst),
 live(repo, src) AS (
