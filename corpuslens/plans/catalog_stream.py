@@ -193,3 +193,23 @@ def q_findings_sink(spark, sf_dir):
     return back.select(F.col("repo").cast("string").alias("repo"), "path", "line", "cwe", "vulnerability",
                        "severity", "code", "description")
 
+
+
+@query("stream_run_state_tables", f"""
+WITH r AS ({R.RUN_SQL}),
+l AS (SELECT *, lag(state) OVER (PARTITION BY run_id ORDER BY seq) AS prev_state FROM r),
+j AS (SELECT l.*, e.state IS NULL AND l.prev_state IS NOT NULL AS illegal
+      FROM l LEFT JOIN {R.EDGES_SQL} ON l.prev_state = e.prev_state AND l.state = e.state)
+SELECT run_id, arg_max(state, seq) AS final_state, CAST(count(*) FILTER (WHERE state = 'PATCH') AS BIGINT) AS attempts,
+       CAST(count(*) FILTER (WHERE illegal) AS BIGINT) AS illegal_transitions, CAST(count(*) AS BIGINT) AS n_events
+FROM j GROUP BY run_id
+""")
+def q_stream_run_state_tables(spark, sf_dir):
+    """S2 without Python: foreachBatch merges each micro-batch into a versioned per-run state table."""
+    e = jobs.table_stream(spark, sf_dir, "events")
+    ev = e.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+                  F.expr(R._case("event_type", R.STATE_BY_EVENT)).alias("state"))
+    root = shared_dir(spark, f"run-state-{uuid.uuid4().hex[:8]}")
+    jobs.stream_run_state_tables(ev, root).awaitTermination()
+    return jobs.latest_state_table(spark, root).select("run_id", "final_state", "attempts", "illegal_transitions",
+                                                       "n_events")

@@ -136,3 +136,75 @@ def stream_log_parse(spark: SparkSession, path: str) -> DataFrame:
 def stream_scan(files: DataFrame) -> DataFrame:
     """Findings for files as they arrive (stateless, append)."""
     return vuln.findings(vuln.python_facts(vuln.ast_path_skip(files)))
+
+
+# ------------------------------------------------------- S2, Spark-only --
+STATE_TABLE_COLS = ("run_id", "n_events", "last_ts", "last_event_id", "final_state", "attempts", "illegal_transitions")
+
+
+def _merge_run_batch(batch: DataFrame, prev: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """One micro-batch of (run_id, event_id, ts, state) merged into the per-run state table."""
+    from corpuslens.operators import sequence
+    ev = batch.select("run_id", "event_id", "ts", "state")
+    nb = sequence.neighbors(ev, "run_id", ["ts", "event_id"], ["state"]).drop("next_state")
+    if prev is not None:
+        carried = prev.select("run_id", F.col("final_state").alias("_carried"))
+        nb = (nb.join(carried, "run_id", "left")
+              .withColumn("prev_state", F.coalesce("prev_state", "_carried")).drop("_carried"))
+    legal = F.broadcast(edges.select(F.col("state").alias("prev_state"), F.col("next_state").alias("state"))
+                        .distinct().withColumn("_ok", F.lit(True)))  # fixed 13-edge dimension
+    j = nb.join(legal, ["prev_state", "state"], "left")
+    last = F.max_by(F.struct("ts", "event_id", "state"), F.struct("ts", "event_id"))
+    agg = (j.groupBy("run_id")
+           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "PATCH").alias("a"),
+                F.count_if(F.col("prev_state").isNotNull() & F.col("_ok").isNull()).alias("i"),
+                last.alias("l")))
+    if prev is None:
+        return agg.select("run_id", F.col("n").alias("n_events"), F.col("l.ts").alias("last_ts"),
+                          F.col("l.event_id").alias("last_event_id"), F.col("l.state").alias("final_state"),
+                          F.col("a").alias("attempts"), F.col("i").alias("illegal_transitions"))
+    m = prev.join(agg, "run_id", "full")
+    z = F.lit(0).cast("long")
+    return m.select(
+        "run_id",
+        (F.coalesce("n_events", z) + F.coalesce("n", z)).alias("n_events"),
+        F.coalesce("l.ts", "last_ts").alias("last_ts"),
+        F.coalesce("l.event_id", "last_event_id").alias("last_event_id"),
+        F.coalesce("l.state", "final_state").alias("final_state"),
+        (F.coalesce("attempts", z) + F.coalesce("a", z)).alias("attempts"),
+        (F.coalesce("illegal_transitions", z) + F.coalesce("i", z)).alias("illegal_transitions"))
+
+
+def stream_run_state_tables(events: DataFrame, state_root: str, edges: DataFrame | None = None):
+    """Start the Spark-only run tracker; returns the StreamingQuery.
+
+    Each epoch writes the merged state to `state_root/epoch=<id>` (a rerun of an
+    epoch overwrites the same folder, so retries are idempotent) and the next
+    epoch reads the newest earlier epoch.  No Python runs per row, and a hot
+    run is handled by the range-partitioned path of `sequence.neighbors`.
+    """
+    from corpuslens.operators import runs
+    spark = events.sparkSession
+    edges = edges if edges is not None else runs.transitions_df(spark)
+
+    def on_batch(batch: DataFrame, epoch_id: int) -> None:
+        prev = None
+        try:
+            hist = batch.sparkSession.read.parquet(state_root)
+            prior = hist.where(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
+            if prior is not None:
+                prev = hist.where(F.col("epoch") == prior).select(*STATE_TABLE_COLS)
+        except Exception:  # noqa: BLE001  (no state written yet)
+            prev = None
+        merged = _merge_run_batch(batch, prev, edges)
+        merged.write.mode("overwrite").parquet(f"{state_root}/epoch={epoch_id}")
+
+    base = shared_dir(spark, f"streams/run-state-tables-{uuid.uuid4().hex[:8]}")
+    return (events.writeStream.foreachBatch(on_batch)
+            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+
+
+def latest_state_table(spark: SparkSession, state_root: str) -> DataFrame:
+    hist = spark.read.parquet(state_root)
+    top = hist.agg(F.max("epoch")).first()[0]
+    return hist.where(F.col("epoch") == top).select(*STATE_TABLE_COLS)
