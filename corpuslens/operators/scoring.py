@@ -104,7 +104,11 @@ def score_files(files: DataFrame, keywords=rules.RISK_KEYWORDS,
     cols += [keyword_score_col(content, keywords).alias("keyword_score"),
              F.size("_secrets").cast("long").alias("secret_count")]
     if with_lines:
-        cols.append(matched_lines_col(content, keywords, F.col("_secrets")).alias("matched_lines"))
+        # No keyword occurrence in the text and no secret means no matched line (keywords hold no line
+        # breaks), so the per-line scan runs only for files that scored.
+        hit = (keyword_score_col(content, keywords) > 0) | (F.size("_secrets") > 0)
+        cols.append(F.when(hit, matched_lines_col(content, keywords, F.col("_secrets")))
+                    .otherwise(F.array().cast("array<int>")).alias("matched_lines"))
         cols.append(F.size(split_lines(content)).cast("int").alias("n_lines"))
     out = df.select(*cols)
     return out.withColumn("score", F.col("keyword_score") + F.col("secret_count") * rules.SECRET_WEIGHT)
