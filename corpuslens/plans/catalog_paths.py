@@ -397,3 +397,15 @@ def q_import_boost_cascade(spark, sf_dir):
     edges = scoring.resolve_imports(_page_imports(spark, sf_dir), proj)
     b = scoring.import_boost(scored, edges, cascade=True)
     return b.select("repo", "path", (F.col("score") - F.col("boost")).alias("score_pre"), "boost", "score")
+
+
+@query("hierarchy", f"""
+WITH {PF}
+SELECT repo, path FROM pf
+WHERE len(list_filter(string_split(path, '/')[1:len(string_split(path, '/')) - 1],
+                      lambda s: lower(s) IN {_in_list(rules.IGNORED_DIRS)} OR starts_with(s, '.'))) = 0
+""")
+def q_hierarchy(spark, sf_dir):
+    """G14 listing part: every file under non-pruned directories, kept as rows (it grows with the repo)."""
+    from corpuslens.operators import context
+    return context.hierarchy(paths.prune_dirs(page_files(spark, sf_dir)))

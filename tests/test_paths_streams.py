@@ -134,3 +134,12 @@ def test_state_table_tracker_across_triggers(spark, tmp_path):
     exp = {r.run_id: (r.final_state, r.attempts, illegal[r.run_id], r.n_events) for r in runs.run_outcome(seq).collect()}
     assert got == exp
     assert len(spark.read.parquet(root).select("epoch").distinct().collect()) > 1  # several triggers happened
+
+
+def test_glob_classes(spark):
+    import fnmatch
+    import re
+    names = ["a1.log", "b1.log", "ab.log", "x/y.log", "a-.txt", "[a].txt"]
+    for glob in ["[ab]1.log", "[!a]1.log", "*.log", "a?.log", "a-.txt", "[[]a].txt"]:
+        rx = re.compile("(?s)^(?:" + paths.glob_regex(glob) + ")$")
+        assert [n for n in names if rx.match(n)] == [n for n in names if fnmatch.fnmatchcase(n, glob)], glob
