@@ -118,7 +118,7 @@ def _formatted_sql() -> str:
     marks = ("[INST]", "[/INST]", "<s>", "</s>", "<<ROLE:", "<</ROLE>>")
     extra = " + ".join([f"(len({t}) - len(replace({t}, chr(92), '')))"] +
                        [f"(len({t}) - len(replace({t}, '{m}', ''))) // {len(m)}" for m in marks])
-    return f"len({t}) + {extra} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 8 ELSE 21 + len(role) END"
+    return f"len({t}) + {extra} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 8 ELSE 20 + len(role) END"
 
 
 @query("op6_chat_trees", f"""
