@@ -12,6 +12,9 @@ two, which need no padding either.
 from __future__ import annotations
 
 import heapq
+import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +29,85 @@ ship(__name__)
 #: Tokens of a sequence, tokens packed together, cost per token and per token pair.
 CAPACITY, WINDOW_TOKENS, LINEAR, QUADRATIC = 4096, 1 << 20, 1.0, 1 / 2048
 END_ID = 2
-#: Words whose ids a task remembers, and the longest word that it does.
-WORDS_KEPT, WORD_BYTES = 400_000, 48
-BLOCK_WORDS = 1 << 17
+#: Words whose ids a task remembers, and bytes of texts that it tokenises together, unless one has more.
+WORDS_KEPT, TEXT_BYTES = 600_000, 1 << 20
 
 
-class WordIds(dict):
-    """Place of a word's ids in `flat`; the vocabulary works word by word, white space never joins two."""
+#: Punctuation between a letter or digit (ASCII or Latin-1, as UTF-8) and white space is a token of its own, unless an
+#: apostrophe is in it; apart, it leaves fewer different words.
+STOP = re.compile(rb"([!-&(-/:-@\[-`{-~])(?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))"
+                  rb"([!-&(-/:-@\[-`{-~]*+)(?=[\x20\x09-\x0D]|$)")
+
+
+class WordIds:
+    """Number of a word, whose ids stand in `flat`; the vocabulary works word by word, white space never joins two."""
 
     def __init__(self, tokenizer):
-        super().__init__()
         self.tokenizer = tokenizer
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a token of the pre-tokenizer
+        self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self):
-        self.clear()
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = [], []
-        self._start = self._length = np.empty(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        k, n = len(self.start), len(ids)
-        while self.used + n > len(self.flat):
+        self.known: dict[bytes, int] = {}
+        self.flat, self.place, self.words, self.used = np.empty(1 << 18, np.uint32), np.zeros((2, 1 << 16), np.int64), 0, 0
+
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used:self.used + n] = ids
-        self.start.append(self.used)
-        self.length.append(n)
-        self.used += n
-        if len(word) <= WORD_BYTES:
-            self[word] = k
-        return k
-
-    def ids(self, text: bytes | None) -> np.ndarray:
-        """All ids of a text, END_ID at the end."""
-        words, out = (text or b"").split(), []
-        for i in range(0, len(words), BLOCK_WORDS):
-            if len(self.start) > WORDS_KEPT or self.used > 1 << 24:
-                self.reset()
-            block = words[i:i + BLOCK_WORDS]
-            at = np.fromiter(map(self.__getitem__, block), np.int64, len(block))
-            if len(self.start) != len(self._start):
-                self._start, self._length = np.array(self.start, np.int64), np.array(self.length, np.int64)
-            n = self._length[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.repeat(self._start[at] - ends + n, n) + np.arange(ends[-1])])
-        return np.concatenate([*out, np.array([END_ID], np.uint32)])
+        while self.words + len(words) > self.place.shape[1]:
+            self.place = np.concatenate([self.place, np.zeros_like(self.place)], axis=1)
+        self.flat[self.used:self.used + len(ids)] = ids
+        here = slice(self.words, self.words + len(words))
+        self.place[:, here] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.known.update(zip(words, range(here.start, here.stop), strict=True))
+        self.words, self.used = here.stop, self.used + len(ids)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Words of letters are encoded many at a time, if each then has one end; others one by one."""
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() or w.decode().isalpha() else other).append(w)
+        for i in range(0, len(plain), 512):
+            some = plain[i:i + 512]
+            ids = self._encode(b" ".join(some).decode())
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some) and last[-1] == len(ids) - 1:
+                self._add(some, ids, np.diff(last, prepend=-1))
+            else:
+                other += some
+        for w in other:
+            ids = self._encode(w.decode())
+            self._add([w], ids, np.array([len(ids)]))
+
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """All ids of each text, END_ID at the end."""
+        if self.words > WORDS_KEPT or self.used > 1 << 24:
+            self.reset()
+        # A control string is one only as it is written; other texts may be taken apart and put in lower case.
+        split = [(t if b"<|" in t else STOP.sub(rb" \1\2", t.lower())).split() for t in (t or b"" for t in texts)]
+        self.learn({w for w in set().union(*split) if w not in self.known})
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        first, n = self.place[:, at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(total)]
+        stop = np.append(0, ends)[np.cumsum([len(s) for s in split])]
+        return [np.append(x, np.uint32(END_ID)) for x in np.split(ids, stop[:-1])]
+
+
+def tokenised(words: WordIds, names: list, texts: list[bytes | None]) -> Iterator[tuple[object, np.ndarray]]:
+    """(name, ids) of every text, a bounded number of bytes at a time."""
+    first, size = 0, 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or size + len(texts[i] or b"") > TEXT_BYTES and i > first:
+            yield from zip(names[first:i], words.ids(texts[first:i]), strict=True)
+            first, size = i, 0
+        if i < len(texts):
+            size += len(texts[i] or b"")
 
 
 def capacities(total: int, capacity: int) -> list[int]:
@@ -161,8 +197,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
 
         for b in batches:
             id_type = b.column("doc_id").type
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = words.ids(text).astype("<u4")
+            for doc, ids in tokenised(words, b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                ids = ids.astype("<u4")
                 for at in range(0, len(ids), window_tokens):  # a very long document goes through several windows
                     part = ids[at:at + window_tokens]
                     held.append((doc, part, at, len(ids)))
