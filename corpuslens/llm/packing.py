@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ ship(__name__)
 #: Tokens of a sequence, tokens packed together, cost per token and per token pair.
 CAPACITY, WINDOW_TOKENS, LINEAR, QUADRATIC = 4096, 1 << 20, 1.0, 1 / 2048
 END_ID = 2
-#: Words whose ids a task remembers, and bytes of texts that it tokenises together, unless one has more.
-WORDS_KEPT, TEXT_BYTES = 600_000, 1 << 20
+#: Words whose ids a worker remembers, and bytes of texts that it tokenises together, unless one has more.
+WORDS_KEPT, TEXT_BYTES = 1_200_000, 1 << 20
 
 
 #: Punctuation between a letter or digit (ASCII or Latin-1, as UTF-8) and white space is a token of its own, unless an
@@ -99,6 +101,16 @@ class WordIds:
         return [np.append(x, np.uint32(END_ID)) for x in np.split(ids, stop[:-1])]
 
 
+def worker_words(tokenizer_file: str) -> WordIds:
+    """The words that this Python worker knows so far; Spark reuses workers, so later tasks start with them."""
+    from tokenizers import Tokenizer
+
+    kept = sys.modules.setdefault("_packing_words", ModuleType("_packing_words")).__dict__
+    if tokenizer_file not in kept:
+        kept[tokenizer_file] = WordIds(Tokenizer.from_file(tokenizer_file))
+    return kept[tokenizer_file]
+
+
 def tokenised(words: WordIds, names: list, texts: list[bytes | None]) -> Iterator[tuple[object, np.ndarray]]:
     """(name, ids) of every text, a bounded number of bytes at a time."""
     first, size = 0, 0
@@ -178,9 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     shape = src.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in names[1:6]], F.lit(b"").alias("ids")).schema
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_file(tokenizer_file))
+        words = worker_words(tokenizer_file)
         sequence = TaskContext.get().partitionId() << 33
         held, tokens, id_type = [], 0, None
 
