@@ -12,12 +12,12 @@ two, which need no padding either.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,12 @@ ship(__name__)
 CAPACITY, WINDOW_TOKENS, LINEAR, QUADRATIC = 4096, 1 << 20, 1.0, 1 / 2048
 END_ID = 2
 #: Words whose ids a task remembers, and bytes of texts that it tokenises together, unless one has more.
-WORDS_KEPT, TEXT_BYTES = 600_000, 1 << 20
+WORDS_KEPT, TEXT_BYTES = 600_000, 1 << 23
 
 
-#: Punctuation between a letter or digit (ASCII or Latin-1, as UTF-8) and white space is a token of its own, unless an
-#: apostrophe is in it; apart, it leaves fewer different words.
-STOP = re.compile(rb"([!-&(-/:-@\[-`{-~])(?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))"
-                  rb"([!-&(-/:-@\[-`{-~]*+)(?=[\x20\x09-\x0D]|$)")
+#: ASCII punctuation between a letter or digit and white space is a token of its own, unless an apostrophe is in it;
+#: apart, it leaves fewer different words.
+STOP = r"([a-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(\s|$)"
 
 
 class WordIds:
@@ -49,65 +48,71 @@ class WordIds:
         self.reset()
 
     def reset(self):
-        self.known: dict[bytes, int] = {}
-        self.flat, self.place, self.words, self.used = np.empty(1 << 18, np.uint32), np.zeros((2, 1 << 16), np.int64), 0, 0
+        self.known: dict[str, int] = {}
+        self.flat, self.place, self.used = np.empty(1 << 18, np.uint32), np.zeros((1 << 16, 2), np.int64), 0
 
-    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, self.used = self.used, self.used + len(ids)
+        here = slice(len(self.known), len(self.known) + len(words))
+        while self.used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.words + len(words) > self.place.shape[1]:
-            self.place = np.concatenate([self.place, np.zeros_like(self.place)], axis=1)
-        self.flat[self.used:self.used + len(ids)] = ids
-        here = slice(self.words, self.words + len(words))
-        self.place[:, here] = self.used + np.cumsum(lengths) - lengths, lengths
+        while here.stop > len(self.place):
+            self.place = np.concatenate([self.place, np.zeros_like(self.place)])
+        self.flat[first:self.used] = ids
+        self.place[here, 0], self.place[here, 1] = first + np.cumsum(lengths) - lengths, lengths
         self.known.update(zip(words, range(here.start, here.stop), strict=True))
-        self.words, self.used = here.stop, self.used + len(ids)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Words of letters are encoded many at a time, if each then has one end; others one by one."""
         plain, other = [], []
         for w in words:
-            (plain if w.isalpha() or w.decode().isalpha() else other).append(w)
+            (plain if w.isalpha() else other).append(w)
         for i in range(0, len(plain), 512):
             some = plain[i:i + 512]
-            ids = self._encode(b" ".join(some).decode())
+            ids = self._encode(" ".join(some))
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(some) and last[-1] == len(ids) - 1:
                 self._add(some, ids, np.diff(last, prepend=-1))
             else:
                 other += some
         for w in other:
-            ids = self._encode(w.decode())
+            ids = self._encode(w)
             self._add([w], ids, np.array([len(ids)]))
 
-    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """All ids of each text, END_ID at the end."""
-        if self.words > WORDS_KEPT or self.used > 1 << 24:
+        if len(self.known) > WORDS_KEPT or self.used > 1 << 24:
             self.reset()
-        # A control string is one only as it is written; other texts may be taken apart and put in lower case.
-        split = [(t if b"<|" in t else STOP.sub(rb" \1\2", t.lower())).split() for t in (t or b"" for t in texts)]
-        self.learn({w for w in set().union(*split) if w not in self.known})
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
-        first, n = self.place[:, at]
+        texts = pc.fill_null(texts, "")
+        # A control string is one only as it is written; other texts may be put in lower case and taken apart.
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), STOP, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, apart))
+        words = pc.dictionary_encode(split.flatten())
+        different = words.dictionary.to_pylist()
+        self.learn([w for w in different if w not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        place = self.place[number][words.indices.to_numpy()]
+        first, n = place[:, 0], place[:, 1]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(total)]
-        stop = np.append(0, ends)[np.cumsum([len(s) for s in split])]
-        return [np.append(x, np.uint32(END_ID)) for x in np.split(ids, stop[:-1])]
+        at = np.repeat(first - ends + n, n)
+        at += np.arange(total)
+        stop = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [np.append(x, np.uint32(END_ID)) for x in np.split(self.flat[at], stop[1:-1])]
 
 
-def tokenised(words: WordIds, names: list, texts: list[bytes | None]) -> Iterator[tuple[object, np.ndarray]]:
+def tokenised(words: WordIds, names: list, texts: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
     """(name, ids) of every text, a bounded number of bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     first, size = 0, 0
-    for i in range(len(texts) + 1):
-        if i == len(texts) or size + len(texts[i] or b"") > TEXT_BYTES and i > first:
+    for i, n in enumerate([*sizes, TEXT_BYTES]):
+        if i > first and size + n > TEXT_BYTES or i == len(sizes) and i > first:
             yield from zip(names[first:i], words.ids(texts[first:i]), strict=True)
             first, size = i, 0
-        if i < len(texts):
-            size += len(texts[i] or b"")
+        size += n
 
 
 def capacities(total: int, capacity: int) -> list[int]:
@@ -173,7 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     packed one by one; null identifiers stay null.  Sequences are numbered by
     partition and never reach over two.  Empty input, empty result.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     shape = src.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in names[1:6]], F.lit(b"").alias("ids")).schema
 
@@ -197,7 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
 
         for b in batches:
             id_type = b.column("doc_id").type
-            for doc, ids in tokenised(words, b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc, ids in tokenised(words, b.column("doc_id").to_pylist(), b.column("text")):
                 ids = ids.astype("<u4")
                 for at in range(0, len(ids), window_tokens):  # a very long document goes through several windows
                     part = ids[at:at + window_tokens]
