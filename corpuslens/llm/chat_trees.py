@@ -95,8 +95,9 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
     with the smallest id.  Messages on a cycle reach no root and are on no
     path.  Null trees are one tree; messages without id are ignored.
     """
-    m = messages.where("id IS NOT NULL").select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    m = m.withColumn("tree", F.struct(F.col("tree").alias("is")))  # a struct with a null inside joins like any value
+    # A struct with a null inside joins like any value.
+    m = stored(messages.where("id IS NOT NULL").select(
+        F.struct(F.col("tree").alias("is")).alias("tree"), "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "links")
     ids = m.select("tree", F.col("id").alias("parent"))
     # (tree, id, up, steps, total): `steps` messages from id on, scored `total`, lead to `up`; null beyond the root.
     here = m.join(ids.withColumn("real", F.lit(True)), ["tree", "parent"], "left").select(
@@ -118,10 +119,10 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
     best = Window.partitionBy("tree").orderBy(F.col("branch_score").desc(), "id")
     leaves = (whole.join(parents, ["tree", "id"], "left_anti").withColumn("rn", F.row_number().over(best))
               .where(F.col("rn") <= per_tree))
-    on = leaves.select("tree", F.col("id").alias("leaf"), "id", "branch_score")
+    on = stored(leaves.select("tree", F.col("id").alias("leaf"), "id", "branch_score"), "leaves")
     for jump in reversed(jumps[:-1]):  # after the jump of 2^k steps, all ancestors at multiples of 2^k are there
         further = on.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), "branch_score")
-        on = on.unionByName(further)
+        on = stored(on.unionByName(further), "path")  # else the plan doubles with every jump
     on = on.join(whole.select("tree", "id", "depth"), ["tree", "id"])
     return on.select(F.col("tree.is").alias("tree"), "leaf", "id", (F.col("depth") - 1).alias("depth"), "branch_score")
 
