@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -85,7 +86,7 @@ def linear_replies(turns: DataFrame, tree_col: str, turn_col: str, role_col: str
                        F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """Rows (tree, leaf, id, depth, branch_score): the messages of the chosen root-to-leaf paths.
 
     messages: (tree, id, parent, score), id unique in its tree, both longs or
@@ -102,25 +103,28 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
     # (tree, id, up, steps, total): `steps` messages from id on, scored `total`, lead to `up`; null beyond the root.
     here = m.join(ids.withColumn("real", F.lit(True)), ["tree", "parent"], "left").select(
         "tree", "id", F.when(F.col("real"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total"))
-    here = stored(here, "up-0")
-    first, jumps = here, [here.select("tree", "id", "up").where("up IS NOT NULL")]
-    for r in range(max_rounds):
-        if jumps[-1].isEmpty():
+    first = stored(here, "up-0")
+    # Only messages that haven't met their root yet are joined again; one on a cycle never does.
+    done, live, jumps = [first.where("up IS NULL")], first.where("up IS NOT NULL"), []
+    for r in range(first.count().bit_length() + 1):
+        if live.isEmpty():
             break
-        far = here.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"),
-                          F.col("total").alias("total2"))
-        here = stored(here.join(far, ["tree", "up"], "left").select(
-            "tree", "id", F.col("up2").alias("up"),
-            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), f"up-{r + 1}")
-        jumps.append(here.select("tree", "id", "up").where("up IS NOT NULL"))
-    whole = here.where("up IS NULL").select("tree", "id", F.col("steps").alias("depth"), F.col("total").alias("branch_score"))
+        jumps.append(live.select("tree", "id", "up"))
+        every = reduce(DataFrame.unionByName, [*done, live])
+        far = every.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"),
+                           F.col("total").alias("total2"))
+        here = stored(live.join(far, ["tree", "up"]).select(
+            "tree", "id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"),
+            (F.col("total") + F.col("total2")).alias("total")), f"up-{r + 1}")
+        done.append(here.where("up IS NULL"))
+        live = here.where("up IS NOT NULL")
+    whole = reduce(DataFrame.unionByName, done).select("tree", "id", F.col("steps").alias("depth"), F.col("total").alias("branch_score"))
     parents = first.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
     best = Window.partitionBy("tree").orderBy(F.col("branch_score").desc(), "id")
     leaves = (whole.join(parents, ["tree", "id"], "left_anti").withColumn("rn", F.row_number().over(best))
               .where(F.col("rn") <= per_tree))
     on = stored(leaves.select("tree", F.col("id").alias("leaf"), "id", "branch_score"), "leaves")
-    for jump in reversed(jumps[:-1]):  # after the jump of 2^k steps, all ancestors at multiples of 2^k are there
+    for jump in reversed(jumps):  # after the jump of 2^k steps, all ancestors at multiples of 2^k are there
         further = on.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), "branch_score")
         on = stored(on.unionByName(further), "path")  # else the plan doubles with every jump
     on = on.join(whole.select("tree", "id", "depth"), ["tree", "id"])
