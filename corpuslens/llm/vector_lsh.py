@@ -23,6 +23,8 @@ ship(__name__)
 TABLES, PROJECTIONS, WIDTH, SEED = 24, 10, 1.0, 20240607
 #: Rows of one block of a bucket; a bucket with more is dealt over blocks, and each pair of blocks is a task's unit.
 BLOCK_ROWS = 1024
+#: Side of the rows that a block compares among themselves; 0 and 1 are the two sides of a pair of blocks.
+WITHIN = 2
 
 
 def _unit_rows(vectors: list) -> np.ndarray:
@@ -64,12 +66,13 @@ def _pairs(cosine: float):
         rid, side = t.column("rid").to_numpy(), t.column("side").to_numpy()
         copies, table = t.column("copies").to_numpy(), t.column("table")[0].as_py()
         v, keys = _unit_rows(t.column("vec").to_pylist()), np.array(t.column("keys").to_pylist(), np.int64)
+        within = side[0] == WITHIN  # else the rows of one block against those of another
         split = int(np.searchsorted(side, 1))
-        a = np.arange(split)
-        b = np.arange(split, len(rid)) if split < len(rid) else a
+        a = np.arange(len(rid) if within else split)
+        b = a if within else np.arange(split, len(rid))
         i, j = np.nonzero(v[a] @ v[b].T >= cosine)
         i, j = a[i], b[j]
-        if split == len(rid):
+        if within:
             i, j = i[i < j], j[i < j]
         fresh = np.ones(len(i), bool)
         for t_ in range(table):  # counted where the pair met first
@@ -140,7 +143,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     seat = seat.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     seat = seat.select("rid", F.col("table"), F.xxhash64("label", "table", "bucket", low, high).alias("unit"),
-                       F.when(F.col("own") == high, F.when(low == high, 0).otherwise(1)).otherwise(0).alias("side"))
+                       F.when(low == high, WITHIN).when(F.col("own") == high, 1).otherwise(0).alias("side"))
     found = (seat.join(sig.select("rid", "copies", "vec", "keys"), "rid")
              .repartition("unit").sortWithinPartitions("unit", "side", "rid")
              .mapInArrow(_pairs(cosine), "rid long, links long, root long"))
