@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
-from corpuslens.functions.text import fuzzy_pattern, let, normalize_eol, splice
+from corpuslens.functions.text import fuzzy_pattern, let, normalize_eol, py_strip, splice
 
 FILE_HEADER_RE = r"(?mU)^FILE:\s*([^\n\r]+)"
 FILE_SPLIT_RE = r"(?mU)^FILE:\s*[^\n\r]+"
@@ -21,6 +21,22 @@ OK, NO_CHUNKS, NO_TARGET, TRAVERSAL, NOT_FOUND, SEARCH_MISS, ABORTED = (
     "APPLIED", "NO_CHUNKS", "NO_TARGET", "PATH_TRAVERSAL", "FILE_NOT_FOUND", "SEARCH_NOT_FOUND", "ABORTED")
 
 
+def _sections(t: Column) -> Column:
+    """Array of (name, body): the text behind each file header, or the whole text under no name."""
+    names = F.regexp_extract_all(t, F.lit(FILE_HEADER_RE), 1)
+    bodies = F.split(t, FILE_SPLIT_RE, -1)
+    return F.when(F.size(names) == 0, F.array(F.struct(F.lit("").alias("name"), t.alias("body")))) \
+            .otherwise(F.arrays_zip(F.transform(names, py_strip).alias("name"),
+                                    F.slice(bodies, 2, F.size(bodies)).alias("body")))
+
+
+def patches_without_chunks(patch_texts: DataFrame) -> DataFrame:
+    """The patches (all columns but text) that hold no chunk at all, with status NO_CHUNKS; `parse_patch` has no row for them."""
+    keys = [c for c in patch_texts.columns if c != "text"]
+    some = F.exists(_sections(F.coalesce("text", F.lit(""))), lambda s: s["body"].rlike(CHUNK_RE))
+    return patch_texts.where(~some).select(*keys, F.lit(NO_CHUNKS).alias("status"))
+
+
 def parse_patch(patch_texts: DataFrame) -> DataFrame:
     """(…, patch_id, text) -> (…, patch_id, file_ord, path, chunk_ord, search, replace, parse_warning).
 
@@ -29,13 +45,7 @@ def parse_patch(patch_texts: DataFrame) -> DataFrame:
     (path '').  Sections without chunks vanish.
     """
     keys = [c for c in patch_texts.columns if c != "text"]
-    t = F.col("text")
-    names = F.regexp_extract_all(t, F.lit(FILE_HEADER_RE), 1)
-    bodies = F.split(t, FILE_SPLIT_RE, -1)
-    sections = F.when(F.size(names) == 0, F.array(F.struct(F.lit("").alias("name"), t.alias("body")))) \
-                .otherwise(F.arrays_zip(F.transform(names, lambda n: F.trim(n)).alias("name"),
-                                        F.slice(bodies, 2, F.size(bodies)).alias("body")))
-    sec = patch_texts.select(*keys, F.posexplode(sections).alias("file_ord", "s"))
+    sec = patch_texts.select(*keys, F.posexplode(_sections(F.col("text"))).alias("file_ord", "s"))
     chunks = F.arrays_zip(F.regexp_extract_all(F.col("s.body"), F.lit(CHUNK_RE), 1).alias("search"),
                           F.regexp_extract_all(F.col("s.body"), F.lit(CHUNK_RE), 2).alias("replace"))
     out = sec.select(*keys, F.col("file_ord").cast("int").alias("file_ord"), F.col("s.name").alias("path"),
@@ -55,6 +65,13 @@ def escapes_base(path: Column) -> Column:
     return path.startswith("/") | depth["out"]
 
 
+def normalised_path(path: Column) -> Column:
+    """Path without empty and '.' segments, '..' taken together with the segment before it."""
+    segs = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    return F.array_join(F.aggregate(segs, F.array().cast("array<string>"), lambda acc, s: F.when(
+        s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))), "/")
+
+
 def _state(text: Column, status: Column, applied: Column, failed: Column) -> Column:
     return F.struct(text.alias("text"), status.alias("status"), applied.cast("int").alias("applied"),
                     failed.cast("string").alias("failed_search"))
@@ -73,9 +90,10 @@ def _fold(text: Column, chunks: Column) -> Column:
 
         def on_search(s, r):
             def fuzzy(pat):
-                return let(F.regexp_instr(cur, pat), lambda fpos: F.when(
-                    fpos > 0, _state(splice(cur, fpos, F.length(F.regexp_substr(cur, pat)), r), F.lit(OK),
-                                     acc["applied"] + 1, acc["failed_search"]))
+                # The leftmost match is also the first place where its text occurs; `position` counts characters.
+                return let(F.regexp_substr(cur, pat), lambda m: F.when(
+                    m.isNotNull(), _state(splice(cur, F.position(m, cur), F.length(m), r), F.lit(OK),
+                                          acc["applied"] + 1, acc["failed_search"]))
                     .otherwise(_state(cur, F.lit(SEARCH_MISS), acc["applied"], ch["search"])))
 
             return let(F.position(s, cur), lambda pos: F.when(
@@ -93,53 +111,56 @@ def apply_patches(files: DataFrame, patches: DataFrame, default_file: str | None
     """Apply parsed chunks to files.
 
     files: (repo, path, content); patches: (repo, patch_id, file_ord, path, chunk_ord, search, replace).
-    Output: repo, patch_id, file_ord, path, status, chunks_applied, new_content (original text unless APPLIED),
-    error.  A failure is a status, never an exception; with `strict`, any failure in a patch marks
-    every file of that patch ABORTED and keeps its original content.
+    Output: one row per section: repo, patch_id, file_ord, path, status, chunks_applied, new_content, error.
+    Sections of one patch on one file work on one another's results, in order; a section that fails changes nothing.
+    new_content is the file behind the section (for a failed one, as the sections before left it).  Paths are
+    normalised before they are looked up.  A failure is a status, never an exception; with `strict`, any failure in
+    a patch marks its other sections ABORTED: no chunk applied, the original content.
     """
-    grouped = (patches
-               .groupBy("repo", "patch_id", "file_ord", "path")
-               .agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "search", "replace"))).alias("chunks")))
-    target = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit(default_file))
-    grouped = grouped.withColumn("target", target)
-    joined = grouped.join(files.select("repo", F.col("path").alias("target"), "content"),
-                          ["repo", "target"], "left")
-
-    def finish(f):
-        status = (F.when(F.col("target").isNull(), F.lit(NO_TARGET))
-                  .when(escapes_base(F.col("target")), F.lit(TRAVERSAL))
-                  .when(F.col("content").isNull(), F.lit(NOT_FOUND))
-                  .otherwise(f["status"]))
-
-        def out(st):
-            failed = f["failed_search"]
-            err = F.concat(F.lit("Search block not found: "),
-                           F.when(F.length(failed) > 100, F.concat(F.left(failed, F.lit(100)), F.lit("...")))
-                            .otherwise(failed))
-            return F.struct(st.alias("status"), F.coalesce(f["applied"], F.lit(0)).alias("chunks_applied"),
-                            F.when(st == OK, f["text"]).otherwise(F.col("content")).alias("new_content"),
-                            F.when(st == SEARCH_MISS, err).alias("error"))
-        return let(status, out)
-
-    folded = F.when(F.col("content").isNotNull(), _fold(F.col("content"), F.col("chunks")))
-    res = joined.select("repo", "patch_id", "file_ord", F.col("target").alias("path"),
-                        F.explode(F.array(let(folded, finish))).alias("_r"))
-    out = res.select("repo", "patch_id", "file_ord", "path", "_r.status", "_r.chunks_applied",
-                     "_r.new_content", "_r.error")
+    raw = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit(default_file))
+    target = F.when(escapes_base(raw), raw).otherwise(normalised_path(raw))
+    sections = (patches.withColumn("target", target)
+                .groupBy("repo", "patch_id", "target", "file_ord")
+                .agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "search", "replace"))).alias("chunks"))
+                .groupBy("repo", "patch_id", "target")
+                .agg(F.array_sort(F.collect_list(F.struct("file_ord", "chunks"))).alias("sections")))  # of one patch and file
+    joined = sections.join(files.select("repo", F.col("path").alias("target"), "content"), ["repo", "target"], "left")
+
+    def outcome(file_ord, st, text, applied, failed):
+        err = F.concat(F.lit("Search block not found: "),
+                       F.when(F.length(failed) > 100, F.concat(F.left(failed, F.lit(100)), F.lit("..."))).otherwise(failed))
+        return F.struct(file_ord.alias("file_ord"), st.alias("status"), applied.cast("int").alias("chunks_applied"),
+                        text.alias("new_content"), F.when(st == SEARCH_MISS, err).cast("string").alias("error"))
+
+    def step(acc, sec):
+        def after(f):
+            text = F.when(f["status"] == OK, f["text"]).otherwise(acc["text"])
+            return F.struct(text.alias("text"), F.concat(acc["rows"], F.array(
+                outcome(sec["file_ord"], f["status"], text, f["applied"], f["failed_search"]))).alias("rows"))
+        return let(_fold(acc["text"], sec["chunks"]), after)
+
+    content = F.col("content")
+    kind = "array<struct<file_ord:int,status:string,chunks_applied:int,new_content:string,error:string>>"
+    folded = F.aggregate("sections", F.struct(content.alias("text"), F.array().cast(kind).alias("rows")), step)["rows"]
+    status = (F.when(F.col("target").isNull(), F.lit(NO_TARGET)).when(escapes_base(F.col("target")), F.lit(TRAVERSAL))
+              .otherwise(F.lit(NOT_FOUND)))
+    none = F.transform("sections", lambda s: outcome(s["file_ord"], status, content, F.lit(0), F.lit(None).cast("string")))
+    usable = content.isNotNull() & F.col("target").isNotNull() & ~escapes_base(F.col("target"))
+    out = joined.select("repo", "patch_id", F.col("target").alias("path"), content.alias("_was"),
+                        F.inline(F.when(usable, folded).otherwise(none)))
     if strict:
         w = Window.partitionBy("repo", "patch_id")
-        bad = F.max(F.when(F.col("status") != OK, 1).otherwise(0)).over(w) > 0
-        out = (out.withColumn("_bad", bad)
-               .withColumn("status", F.when(F.col("_bad") & (F.col("status") == OK), F.lit(ABORTED))
-                           .otherwise(F.col("status")))
-               .drop("_bad"))
-    return out
+        out = out.withColumn("_bad", F.max((F.col("status") != OK).cast("int")).over(w) > 0)
+        out = (out.withColumn("new_content", F.when(F.col("_bad"), F.col("_was")).otherwise(F.col("new_content")))
+               .withColumn("chunks_applied", F.when(F.col("_bad"), F.lit(0)).otherwise(F.col("chunks_applied")))
+               .withColumn("status", F.when(F.col("_bad") & (F.col("status") == OK), F.lit(ABORTED)).otherwise(F.col("status"))))
+    return out.select("repo", "patch_id", "file_ord", "path", "status", "chunks_applied", "new_content", "error")
 
 
 def patched_files(files: DataFrame, applied: DataFrame) -> DataFrame:
     """New corpus version: applied files replaced, every other file kept."""
-    # A file patched by several patches keeps the patch with the highest id (last write wins).
-    w = Window.partitionBy("repo", "path").orderBy(F.col("patch_id").desc())
+    # A file patched by several patches keeps the one with the highest id (last write wins), behind its last section.
+    w = Window.partitionBy("repo", "path").orderBy(F.col("patch_id").desc(), F.col("file_ord").desc())
     upd = (applied.where(F.col("status") == OK)
            .withColumn("_rk", F.row_number().over(w)).where("_rk = 1")
            .select("repo", "path", F.col("new_content").alias("_new")))

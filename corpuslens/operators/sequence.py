@@ -11,60 +11,43 @@ the result equals lag/lead/running sum over Window.partitionBy(key).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.session import ensure_checkpoint_dir
+from corpuslens.session import shared_dir
 
 
 def _ranged(df: DataFrame, key: str, order: Sequence[str], partitions: int | None) -> DataFrame:
-    """Range-partition by (key, order), tag rows with their partition id, and checkpoint.
+    """Range-partition by (key, order), tag rows with their partition id, and write them.
 
     Range bounds come from sampling, so two evaluations of the same plan may
     place a row differently; the rows, the boundary table and any retry after
-    an executor loss must all see one assignment.  A reliable checkpoint into
+    an executor loss must all see one assignment.  A table written below
     spark.checkpoint.dir fixes it (and cuts the lineage).
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ensure_checkpoint_dir(df.sparkSession)
-    # Range bounds are sampled by a job over the input before the shuffle reads it again, and an eager
-    # checkpoint computes then writes: persisting both keeps every upstream stage to a single run.
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Range bounds are sampled by a job over the input before the shuffle reads it again: persisted, it runs once.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = src.repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id()) \
-                .persist(StorageLevel.MEMORY_AND_DISK)
-    saved = ranged.checkpoint(eager=True)
-    ranged.unpersist()
+    path = shared_dir(spark, f"ranged-{uuid.uuid4().hex}")
+    ranged = src.repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id())
+    ranged.write.parquet(path)
     src.unpersist()
-    return saved
-
-
-HOT_KEY_ROWS = 2_000_000
-
-
-def has_hot_key(df: DataFrame, key: str, threshold: int | None = None) -> bool:
-    """True when some key holds more than `threshold` rows (conf corpuslens.sequence.hotKeyRows).
-
-    One partial aggregation; only a single number reaches the driver.
-    """
-    t = threshold or int(df.sparkSession.conf.get("corpuslens.sequence.hotKeyRows", str(HOT_KEY_ROWS)))
-    top = df.groupBy(key).count().agg(F.max("count")).first()[0]
-    return bool(top and top > t)
-
-
-def _use_ranges(df: DataFrame, key: str, skew_safe: bool | None) -> bool:
-    return has_hot_key(df, key) if skew_safe is None else skew_safe
+    return spark.read.schema(ranged.schema).parquet(path)
 
 
 def neighbors(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str],
-              partitions: int | None = None, skew_safe: bool | None = None) -> DataFrame:
+              partitions: int | None = None, skew_safe: bool = True) -> DataFrame:
     """Adds prev_<c> and next_<c> for each c in cols (null at the first / last row of a key).
 
-    skew_safe: True = range-partitioned path, False = window per key, None = decide by `has_hot_key`.
+    Null keys are a key of their own.  skew_safe=False is a plain window per key, with the same result: for callers
+    that know their keys to be small.
     """
-    if not _use_ranges(df, key, skew_safe):
+    if not skew_safe:
         w = Window.partitionBy(key).orderBy(*order)
         for c in cols:
             df = df.withColumn(f"prev_{c}", F.lag(c).over(w)).withColumn(f"next_{c}", F.lead(c).over(w))
@@ -84,19 +67,19 @@ def neighbors(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]
     edge = edge.select("_pid", F.lag("last").over(wp).alias("before"), F.lead("first").over(wp).alias("after"))
     out = out.join(F.broadcast(edge), "_pid", "left")  # at most `partitions` rows
     for c in cols:
-        prev = F.when(F.col("_first") & (F.col("before.k") == F.col(key)), F.col(f"before.{c}"))
-        nxt = F.when(F.col("_last") & (F.col("after.k") == F.col(key)), F.col(f"after.{c}"))
-        out = (out.withColumn(f"prev_{c}", F.coalesce(F.col(f"_p_{c}"), prev))
-               .withColumn(f"next_{c}", F.coalesce(F.col(f"_n_{c}"), nxt)))
+        prev = F.when(F.col("_first") & F.col("before").isNotNull() & F.col("before.k").eqNullSafe(F.col(key)), F.col(f"before.{c}"))
+        nxt = F.when(F.col("_last") & F.col("after").isNotNull() & F.col("after.k").eqNullSafe(F.col(key)), F.col(f"after.{c}"))
+        out = (out.withColumn(f"prev_{c}", F.when(F.col("_first"), prev).otherwise(F.col(f"_p_{c}")))
+               .withColumn(f"next_{c}", F.when(F.col("_last"), nxt).otherwise(F.col(f"_n_{c}"))))
     drop = ["_pid", "_first", "_last", "before", "after"] + [f"_{x}_{c}" for c in cols for x in ("p", "n")]
     return out.drop(*drop)
 
 
 def running_count(df: DataFrame, key: str, order: Sequence[str], flag: str, out_col: str,
-                  partitions: int | None = None, skew_safe: bool | None = None) -> DataFrame:
+                  partitions: int | None = None, skew_safe: bool = True) -> DataFrame:
     """out_col = number of rows with `flag` true from the key's first row up to this one (inclusive)."""
     one = F.when(F.col(flag), 1).otherwise(0)
-    if not _use_ranges(df, key, skew_safe):
+    if not skew_safe:
         w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out_col, F.sum(one).over(w).cast("long"))
     r = _ranged(df, key, order, partitions)
@@ -106,7 +89,8 @@ def running_count(df: DataFrame, key: str, order: Sequence[str], flag: str, out_
     # `partitions` of them, so this window is bounded per key.
     totals = r.groupBy("_pid", key).agg(F.sum(one).alias("_t"))
     wc = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.withColumn("_carry", F.coalesce(F.sum("_t").over(wc), F.lit(0))).drop("_t")
-    return (local.join(carry, ["_pid", key])
+    carry = totals.select(F.col("_pid").alias("_pid2"), F.col(key).alias("_key2"),
+                          F.coalesce(F.sum("_t").over(wc), F.lit(0)).alias("_carry"))
+    return (local.join(carry, (F.col("_pid") == F.col("_pid2")) & F.col(key).eqNullSafe(F.col("_key2")))
             .withColumn(out_col, (F.col("_local") + F.col("_carry")).cast("long"))
-            .drop("_pid", "_local", "_carry"))
+            .drop("_pid", "_local", "_carry", "_pid2", "_key2"))

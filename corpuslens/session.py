@@ -41,13 +41,16 @@ def _context(spark: SparkSession):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint directory, setting a local one only when unset (tests)."""
+    """Return the cluster's checkpoint directory; only a `local` session without one gets a folder of its own (tests)."""
     sc = _context(spark)
     current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if current:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:

@@ -65,6 +65,26 @@ def test_strict_aborts_whole_patch(spark):
     out = _apply(spark, "FILE: app.py\n" + chunk("return 1", "return 2") + "FILE: b.py\n" + chunk("zz", "y"),
                  files=(("r", "app.py", FILE), ("r", "b.py", "a")), strict=True)
     assert out["app.py"].status == "ABORTED" and out["b.py"].status == "SEARCH_NOT_FOUND"
+    assert out["app.py"].new_content == FILE and out["app.py"].chunks_applied == 0
+
+
+def test_fuzzy_match_behind_supplementary_characters(spark):
+    out = _apply(spark, "FILE: a.py\n" + chunk("foo(x)", "bar(x)"), files=(("r", "a.py", "# 😀😀😀 hi\nfoo( x )\nend\n"),))
+    assert out["a.py"].status == "APPLIED" and out["a.py"].new_content.startswith("# 😀😀😀 hi")
+    assert "bar(x)" in out["a.py"].new_content and out["a.py"].new_content.endswith("end\n")
+
+
+def test_sections_of_one_file_build_on_one_another(spark):
+    files = spark.createDataFrame([("r", "a.py", "x\ny\n")], "repo string, path string, content string")
+    text = "FILE: a.py\n" + chunk("x", "X") + "FILE: gone.py\n" + chunk("a", "b") + "FILE: ./sub/../a.py\t\n" + chunk("y", "Y") + \
+        "FILE: a.py\n" + chunk("zzz", "q")
+    t = spark.createDataFrame([("r", 1, text), ("r", 2, "FILE: a.py\nno chunk"), ("r", 3, None)], "repo string, patch_id int, text string")
+    out = patching.apply_patches(files, patching.parse_patch(t))
+    got = {r.file_ord: r for r in out.collect()}
+    assert [got[i].status for i in range(4)] == ["APPLIED", "FILE_NOT_FOUND", "APPLIED", "SEARCH_NOT_FOUND"]
+    assert got[0].new_content == "X\ny\n" and got[2].new_content == got[3].new_content == "X\nY\n" and got[2].path == "a.py"
+    assert [r.content for r in patching.patched_files(files, out).collect()] == ["X\nY\n"]
+    assert sorted((r.patch_id, r.status) for r in patching.patches_without_chunks(t).collect()) == [(2, "NO_CHUNKS"), (3, "NO_CHUNKS")]
 
 
 def test_restore_and_diff(spark):
