@@ -155,7 +155,7 @@ def dir_rollup(files: DataFrame, exts: Sequence[str] = rules.TREE_EXTENSIONS) ->
 
     Directories without a matching descendant never appear (they have no row to explode).
     """
-    kept = filter_ext(files, exts)
+    kept = files.where(path_suffix("path").isin(*exts))
     segs = path_segments("path")
     size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
     dirs = F.transform(F.sequence(F.lit(0), F.size(segs) - 1),

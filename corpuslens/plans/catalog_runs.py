@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -211,10 +210,11 @@ def q_stderr_excerpt(spark, sf_dir):
 
 # ----------------------------------------------------------------- messages --
 def conv_messages(spark, sf_dir):
+    from corpuslens.operators import sequence
     c = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = sequence.neighbors(c.select("conv_id", "turn", "role", "text"), "conv_id", ["turn"], ["role"])
     return c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("idx"), F.col("role").alias("sender"),
-                    F.lead("role").over(w).alias("recipient"), F.col("text").alias("message"))
+                    F.col("next_role").alias("recipient"), F.col("text").alias("message"))
 
 
 MSG_SQL = ("SELECT conv_id AS run_id, turn AS idx, role AS sender, "

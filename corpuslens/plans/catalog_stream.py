@@ -164,10 +164,16 @@ def q_stream_scan(spark, sf_dir):
 
 
 # ---------------------------------------------------------- A1 / A7 / A8 --
-@query("corpus_scan")
+@query("corpus_scan", """
+SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size_bytes, md5(text || chr(10)) AS content_md5 FROM documents
+""")
 def q_corpus_scan(spark, sf_dir):
-    """Binary scan of the table directory: (repo, path, size_bytes); no bytes are read for this projection."""
-    return corpus.scan_corpus(spark, sf_dir, exts=[".parquet"], with_content=False)
+    """Every document written as a file of its own, and the folder scanned with contents."""
+    root = shared_dir(spark, f"corpus-{uuid.uuid4().hex[:8]}")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(root)
+    files = corpus.scan_corpus(spark, root, exts=[".txt", ".text"])
+    return files.select(F.regexp_extract("path", r"^doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "size_bytes",
+                        F.md5("content").alias("content_md5"))
 
 
 @query("remediated_export", f"""

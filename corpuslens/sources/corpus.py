@@ -7,28 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import normalize_eol
+
 
 def scan_corpus(spark: SparkSession, root: str, exts: Sequence[str] | None = None, repo: str | None = None,
                 max_bytes: int | None = None, with_content: bool = True, repo_per_subdir: bool = False) -> DataFrame:
     """A1: recursive scan -> files(repo, path, content, size_bytes).
 
-    binaryFile reads bytes lazily: the extension glob and the size predicate
-    are applied before contents are materialised (`length` is pushed to the
-    file listing), and selecting no content reads no bytes at all.  Text is
-    decoded as UTF-8 with invalid bytes dropped.
+    All extensions go into the file listing's glob and the size limit into its
+    predicate, so no other file's bytes are read; selecting no content reads
+    none at all.  Text is read like a text file: UTF-8, invalid bytes dropped
+    (in a file that has some, U+FFFD goes with them), CRLF and CR become LF.
+    size_bytes is the raw size.  Paths are relative to `root`, whatever the
+    scheme either is written with; below a glob they stay whole.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if exts and len(exts) == 1:
-        reader = reader.option("pathGlobFilter", "*" + exts[0])
-    df = reader.load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.when(rel.startswith(base), F.substring(rel, len(base) + 1, 1 << 30)).otherwise(F.element_at(F.split(rel, "/"), -1))
     if exts:
-        cond = F.lit(False)
-        for e in exts:
-            cond = cond | F.col("path").endswith(e)
-        df = df.where(cond)
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}" if len(exts) > 1 else "*" + exts[0])
+    df = reader.load(root)
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    rel = F.when(F.col("path").startswith(base), F.substring("path", len(base) + 1, 1 << 30)).otherwise(F.col("path"))
     if max_bytes is not None:
         df = df.where(F.col("length") <= max_bytes)
     if repo_per_subdir:
@@ -38,6 +37,7 @@ def scan_corpus(spark: SparkSession, root: str, exts: Sequence[str] | None = Non
         repo_col = F.lit(repo or root.rstrip("/").split("/")[-1])
     cols = [repo_col.alias("repo"), rel.alias("path"), F.col("length").alias("size_bytes")]
     if with_content:
-        text = F.replace(F.expr("make_valid_utf8(CAST(content AS STRING))"), F.lit(chr(0xFFFD)), F.lit(""))
-        cols.append(text.alias("content"))
+        raw = F.col("content").cast("string")
+        valid = F.replace(F.make_valid_utf8(raw), F.lit(chr(0xFFFD)), F.lit(""))
+        cols.append(normalize_eol(F.when(F.is_valid_utf8(raw), raw).otherwise(valid)).alias("content"))
     return df.select(*cols)

@@ -151,7 +151,7 @@ def _merge_run_batch(batch: DataFrame, prev: DataFrame | None, edges: DataFrame)
         carried = prev.select("run_id", F.col("final_state").alias("_carried"))
         nb = (nb.join(carried, "run_id", "left")
               .withColumn("prev_state", F.coalesce("prev_state", "_carried")).drop("_carried"))
-    legal = F.broadcast(edges.select(F.col("state").alias("prev_state"), F.col("next_state").alias("state"))
+    legal = (edges.select(F.col("state").alias("prev_state"), F.col("next_state").alias("state"))
                         .distinct().withColumn("_ok", F.lit(True)))  # fixed 13-edge dimension
     j = nb.join(legal, ["prev_state", "state"], "left")
     last = F.max_by(F.struct("ts", "event_id", "state"), F.struct("ts", "event_id"))
@@ -175,12 +175,14 @@ def _merge_run_batch(batch: DataFrame, prev: DataFrame | None, edges: DataFrame)
         (F.coalesce("illegal_transitions", z) + F.coalesce("i", z)).alias("illegal_transitions"))
 
 
-def stream_run_state_tables(events: DataFrame, state_root: str, edges: DataFrame | None = None):
+def stream_run_state_tables(events: DataFrame, state_root: str, edges: DataFrame | None = None,
+                            checkpoint: str | None = None):
     """Start the Spark-only run tracker; returns the StreamingQuery.
 
     Each epoch writes the merged state to `state_root/epoch=<id>` (a rerun of an
     epoch overwrites the same folder, so retries are idempotent) and the next
-    epoch reads the newest earlier epoch.  No Python runs per row, and a hot
+    epoch reads the newest earlier epoch.  The stream's checkpoint stands in `checkpoint`, or beside the epochs: a
+    second start on the same `state_root` goes on where the first ended.  No Python runs per row, and a hot
     run is handled by the range-partitioned path of `sequence.neighbors`.
     """
     from corpuslens.operators import runs
@@ -188,20 +190,18 @@ def stream_run_state_tables(events: DataFrame, state_root: str, edges: DataFrame
     edges = edges if edges is not None else runs.transitions_df(spark)
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        prev = None
-        try:
-            hist = batch.sparkSession.read.parquet(state_root)
+        s, prev = batch.sparkSession, None
+        found = s._jvm.org.apache.hadoop.fs.Path(f"{state_root}/epoch=*")
+        if found.getFileSystem(s._jsc.hadoopConfiguration()).globStatus(found):  # any other failure fails the batch
+            hist = s.read.parquet(state_root)
             prior = hist.where(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
             if prior is not None:
                 prev = hist.where(F.col("epoch") == prior).select(*STATE_TABLE_COLS)
-        except Exception:  # noqa: BLE001  (no state written yet)
-            prev = None
         merged = _merge_run_batch(batch, prev, edges)
         merged.write.mode("overwrite").parquet(f"{state_root}/epoch={epoch_id}")
 
-    base = shared_dir(spark, f"streams/run-state-tables-{uuid.uuid4().hex[:8]}")
     return (events.writeStream.foreachBatch(on_batch)
-            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint or f"{state_root}/_checkpoint").trigger(availableNow=True).start())
 
 
 def latest_state_table(spark: SparkSession, state_root: str) -> DataFrame:
