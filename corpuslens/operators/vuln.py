@@ -2,20 +2,25 @@
 
 The only Python on executors is `python_facts`: it parses each file (never
 executes it) and emits flat call/assignment facts through Arrow batches
-(`mapInPandas`).  Rule matching, descriptions, roll-ups and reports are Spark
+(`mapInArrow`).  Rule matching, descriptions, roll-ups and reports are Spark
 expressions, joins and aggregations.
 """
 
 from __future__ import annotations
 
 import ast
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import rules
 
+# The fact extractor goes to executors by value: they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FACT_SCHEMA = (
     "repo STRING, path STRING, kind STRING, ord INT, line INT, name STRING, has_args BOOLEAN, "
     "arg0_kind STRING, kw ARRAY<STRUCT<name: STRING, is_true: BOOLEAN, attr: STRING>>, "
@@ -49,8 +54,8 @@ def _arg0_kind(node: ast.Call):
 
 def _kw(k: ast.keyword) -> dict:
     v = k.value
-    is_true = (isinstance(v, ast.Constant) and v.value is True) or (isinstance(v, ast.Name) and v.id == "True")
-    return {"name": k.arg, "is_true": bool(is_true), "attr": v.attr if isinstance(v, ast.Attribute) else None}
+    is_true = isinstance(v, ast.Constant) and v.value is True
+    return {"name": k.arg, "is_true": is_true, "attr": v.attr if isinstance(v, ast.Attribute) else None}
 
 
 def _preorder(tree: ast.AST) -> Iterator[ast.AST]:
@@ -77,16 +82,16 @@ def file_facts(repo: str, path: str, content: str) -> list[dict]:
         return lines[n - 1].strip() if 0 < n <= len(lines) else ""
 
     out = []
-    for i, node in enumerate(_preorder(tree)):
+    for node in _preorder(tree):  # ord: the running number of the file's facts
         if isinstance(node, ast.Call):
-            out.append(dict(base, kind="call", ord=i, line=node.lineno, name=_callee(node.func),
+            out.append(dict(base, kind="call", ord=len(out), line=node.lineno, name=_callee(node.func),
                             has_args=bool(node.args), arg0_kind=_arg0_kind(node),
                             kw=[_kw(k) for k in node.keywords], code=code(node.lineno)))
         elif isinstance(node, ast.Assign):
             is_str = isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
             for t in node.targets:
                 if isinstance(t, ast.Name):
-                    out.append(dict(base, kind="assign", ord=i, line=node.lineno, name=t.id,
+                    out.append(dict(base, kind="assign", ord=len(out), line=node.lineno, name=t.id,
                                     value_is_str=is_str, value_len=len(node.value.value) if is_str else None,
                                     code=code(node.lineno)))
     return out
