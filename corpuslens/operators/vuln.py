@@ -245,7 +245,7 @@ def findings_report_lines(found: DataFrame, repos: DataFrame) -> DataFrame:
     from pyspark import StorageLevel
 
     from corpuslens.operators import sequence
-    # Findings are read by the hot-key check, the numbering and the header counts: keep one copy
+    # Findings are read by the numbering and the header counts: keep one copy
     # (findings are a small fraction of the corpus) instead of parsing the sources three times.
     found = found.persist(StorageLevel.MEMORY_AND_DISK)
     numbered = sequence.running_count(found.withColumn("_one", F.lit(True)), "repo", ["path", "ord"], "_one", "idx")
