@@ -134,44 +134,55 @@ def extract_imports(files: DataFrame, patterns: Sequence[str] = (rules.IMPORT_QU
     return out
 
 
-def _grams(s: Column, n: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))),
-                       lambda i: F.substring(s, i, n))
+#: Key lengths of the path index: an import is looked up by keys at least half as long as itself (up to 64).
+_KEY_LENGTHS = (1, 2, 4, 8, 16, 32, 64)
 
 
-def resolve_imports(imports: DataFrame, project_files: DataFrame, gram: int = 3) -> DataFrame:
+def _grams(s: Column, n) -> Column:
+    """Distinct substrings of length n; empty when s is shorter."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.when(F.length(s) >= n, F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def _lower_path(path: Column) -> Column:
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+
+
+def resolve_imports(imports: DataFrame, project_files: DataFrame) -> DataFrame:
     """Edges (repo, src, dst): first project path (in path order) whose lower-case form contains the import.
 
-    Substring containment is turned into an equi-join: every path is indexed by
-    its character n-grams (n = 1..gram), every import by its rarest n-gram of
-    length min(gram, len); the `contains` test then runs only on candidates that
-    share that gram.  Exact, no pair enumeration within a repo.
+    Each distinct import text of a repo is resolved once and then joined back to
+    its importers.  Substring containment is an equi-join: paths are indexed by
+    their substrings of a few key lengths, an import picks the rarest of its own
+    substrings of the longest key length that fits, and `contains` runs on the
+    paths that share it.  Keys that no import asks for leave the index before it
+    is counted, and an import with a key that no path holds is dropped, so a
+    part common to all paths costs one pass per distinct import at most, never
+    importer x path pairs.
     """
-    paths = project_files.select("repo", F.col("path").alias("dst"),
-                                 F.lower(F.replace(F.col("path"), F.lit("\\"), F.lit("/"))).alias("lpath"))
-    idx = (paths
-           .select("repo", "dst", "lpath",
-                   F.explode(F.sequence(F.lit(1), F.lit(gram))).alias("n"))
-           .where(F.length("lpath") >= F.col("n"))
-           .select("repo", "dst", "lpath", "n", F.explode(F.array_distinct(_grams(F.col("lpath"), F.col("n")))).alias("g")))
-    freq = idx.groupBy("repo", "n", "g").agg(F.count(F.lit(1)).alias("gf"))
-    imp = (imports.select("repo", F.col("path").alias("src"), "match_clean").distinct()
-           .withColumn("n", F.least(F.length("match_clean"), F.lit(gram)))
-           .where(F.col("n") >= 1))
-    imp_g = imp.select("repo", "src", "match_clean", "n",
-                       F.explode(F.array_distinct(_grams(F.col("match_clean"), F.col("n")))).alias("g"))
-    # An import with a gram absent from the repo cannot match; inner join drops it.
-    # Rarest gram (ties by gram text) and first matching path are partial aggregates, not windows.
-    rare = (imp_g.join(freq, ["repo", "n", "g"])
-            .groupBy("repo", "src", "match_clean", "n")
-            .agg(F.min_by("g", F.struct("gf", "g")).alias("g")))
-    cand = rare.join(idx, ["repo", "n", "g"]).where(F.col("lpath").contains(F.col("match_clean")))
-    first = cand.groupBy("repo", "src", "match_clean").agg(F.min("dst").alias("dst"))
+    paths = project_files.select("repo", F.col("path").alias("dst"))
+    targets = imports.select("repo", "match_clean").where(F.length("match_clean") >= 1).distinct()
+    fitting = F.greatest(*[F.when(F.length("match_clean") >= n, n) for n in _KEY_LENGTHS])
+    asked = targets.select("repo", "match_clean", F.explode(_grams(F.col("match_clean"), fitting)).alias("g"))
+    lpath = _lower_path(F.col("dst"))
+    index = (paths.select("repo", "dst", F.explode(F.flatten(F.array(*[_grams(lpath, n) for n in _KEY_LENGTHS]))).alias("g"))
+             .join(asked.select("repo", "g").distinct(), ["repo", "g"], "left_semi"))
+    freq = index.groupBy("repo", "g").agg(F.count(F.lit(1)).alias("gf"))
+    rarest = (asked.join(freq, ["repo", "g"], "left")
+              .groupBy("repo", "match_clean")
+              .agg(F.min(F.struct(F.coalesce("gf", F.lit(0)).alias("gf"), "g")).alias("k"))
+              .where(F.col("k.gf") > 0)
+              .select("repo", "match_clean", F.col("k.g").alias("g")))
+    first = (rarest.join(index, ["repo", "g"])
+             .where(lpath.contains(F.col("match_clean")))
+             .groupBy("repo", "match_clean").agg(F.min("dst").alias("dst")))
     # An empty import text is contained in every path: it resolves to the repo's first path.
-    firsts = paths.groupBy("repo").agg(F.min("dst").alias("dst"))
-    empty = (imports.where(F.col("match_clean") == "").select("repo", F.col("path").alias("src"))
-             .join(firsts, "repo"))
-    return first.select("repo", "src", "dst").unionByName(empty).distinct()
+    empty = paths.groupBy("repo").agg(F.min("dst").alias("dst")).select("repo", F.lit("").alias("match_clean"), "dst")
+    return (imports.select("repo", F.col("path").alias("src"), "match_clean")
+            .join(first.unionByName(empty), ["repo", "match_clean"])
+            .select("repo", "src", "dst").distinct())
 
 
 def live_importers(scored: DataFrame, edges: DataFrame) -> DataFrame:
@@ -235,7 +246,7 @@ def framework_keywords(manifests: DataFrame, spark=None,
     """
     spark = spark or manifests.sparkSession
     fw = rules.framework_rules_df(spark)
-    hits = (manifests.join(F.broadcast(fw), "manifest")  # fixed 6-row dimension
+    hits = (manifests.join(F.broadcast(fw), "manifest")  # the fixed rule list
             .where(F.exists("words", lambda w: F.lower(F.col("text")).contains(w))))
     # Order additions as the rule list does: package.json rules first, then requirements.txt.
     extra = (hits.groupBy("repo")

@@ -115,3 +115,21 @@ def test_import_boost_cascade_random(spark):
     one_hop = {r.path: r.score for r in scoring.import_boost(sdf, edf).collect()}
     exp_one = {n: s + 2 * len({a for a, b in edges if b == n and scores[a] > 0}) for n, s in scores.items()}
     assert one_hop == exp_one
+
+
+def test_resolve_imports_brute_force(spark):
+    rnd = random.Random(11)
+    parts = ["src", "main", "util", "a", "ab", "Über", "x.js", "core.py", "s"]
+    files = sorted({(f"r{rnd.randint(0, 2)}", "/".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5)))) for _ in range(120)})
+    imports = [(repo, path, "/".join(rnd.choice(parts) for _ in range(rnd.randint(0, 4))).lower()[rnd.randint(0, 2):])
+               for repo, path in files for _ in range(3)]
+    imports += [("r0", "x", "src/main" * 20), ("nowhere", "x", "src"), ("r1", "x", None)]
+    got = {tuple(r) for r in scoring.resolve_imports(
+        spark.createDataFrame(imports, "repo string, path string, match_clean string"),
+        spark.createDataFrame(files, "repo string, path string")).collect()}
+    exp = set()
+    for repo, src, text in imports:
+        hits = [p for r, p in files if r == repo and text is not None and text in p.lower()]
+        if hits:
+            exp.add((repo, src, min(hits)))
+    assert got == exp
