@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions.text import let, split_lines
+from corpuslens.operators import scoring
+from corpuslens.operators.paths import filter_ext, prune_dirs, size_cap, skip_boilerplate
+from corpuslens.operators.sequence import running_count
+from corpuslens.session import cut_lineage
 
 _RANGE = "struct<s:int,e:int>"
 
@@ -68,34 +72,51 @@ def _entry(path: Column, label: Column, score: Column, payload: Column) -> Colum
 def pack_context(payloads: DataFrame, max_chars: int = rules.PACK_MAX_CHARS,
                  max_files: int = rules.PACK_MAX_FILES, min_tail: int = rules.PACK_MIN_TAIL,
                  reserve: int = rules.PACK_TAIL_RESERVE, keywords=rules.RISK_KEYWORDS,
-                 threshold: float = rules.SECRET_ENTROPY_THRESHOLD) -> DataFrame:
+                 threshold: float = rules.SECRET_ENTROPY_THRESHOLD, switch_chars: int = rules.SNIPPET_SWITCH_CHARS,
+                 window: int = rules.SNIPPET_WINDOW) -> DataFrame:
     """Greedy prefix packing per repo by rank: (repo, rank, path, label, n_chars, entry).
 
-    Files are taken in (score desc, path) order, skipping empty payloads; the
-    first file that overflows `max_chars` is truncated to remaining-reserve
-    characters if more than `min_tail` characters remain, and packing stops
-    there or after `max_files` files.  Nothing past rank `max_files` can be
-    packed, so the rank filter runs first and Spark plans it as a partial
-    (map-side) group limit: a monorepo never ships more than `max_files` rows
-    per map task to the window.
+    `payloads` holds (repo, path, score) and either `payload` with `label` or the
+    file's `content`, one row per (repo, path).  Files are taken in (score desc,
+    path) order, skipping empty payloads; the first file that overflows
+    `max_chars` is truncated to remaining-reserve characters if more than
+    `min_tail` characters remain, and packing stops there or after `max_files`
+    files.
+    """
+    # A payload is empty exactly when the file is: rendered snippets always hold their header.
+    text = "payload" if "payload" in payloads.columns else "content"
+    ranked = rank_nonempty(payloads.withColumn("n_chars", F.length(text)), max_files)
+    return pack_ranked(ranked, payloads, max_chars, min_tail, reserve, keywords, threshold, switch_chars, window)
+
+
+def rank_nonempty(scores: DataFrame, max_files: int) -> DataFrame:
+    """(repo, path, score, rank) of the first `max_files` files per repo with n_chars > 0.
+
+    Only these narrow columns are shuffled; nothing past rank `max_files` can be
+    packed, so Spark plans a partial (map-side) group limit before the exchange.
     """
     w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("path"))
-    if "payload" in payloads.columns:
-        ranked = (payloads.where(F.length("payload") > 0)
-                  .withColumn("rank", F.row_number().over(w))
-                  .where(F.col("rank") <= max_files))
-    else:
-        # A payload is empty exactly when the file is (rendered snippets always hold their header), so
-        # the limit can run on scores alone: matched lines and snippets are then built for at most
-        # `max_files` rows per repo instead of for every file.
-        from corpuslens.operators.scoring import matched_lines_col, secret_literals_col
-        ranked = (payloads.where(F.length("content") > 0)
-                  .withColumn("rank", F.row_number().over(w))
-                  .where(F.col("rank") <= max_files))
-        if "matched_lines" not in ranked.columns:
-            ranked = ranked.withColumn("matched_lines", matched_lines_col(
-                F.col("content"), keywords, secret_literals_col(F.col("content"), threshold)))
-        ranked = with_payload(ranked)
+    return (scores.where(F.col("n_chars") > 0).select("repo", "path", "score")
+            .withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= max_files))
+
+
+def pack_ranked(ranked: DataFrame, texts: DataFrame, max_chars: int, min_tail: int, reserve: int, keywords,
+                threshold: float, switch_chars: int = rules.SNIPPET_SWITCH_CHARS,
+                window: int = rules.SNIPPET_WINDOW) -> DataFrame:
+    """Packs (repo, path, score, rank), at most a few files per repo, with their texts; see `pack_context`.
+
+    The texts are joined after ranking, so only the ranked files' texts meet the
+    windows, and matched lines and snippets are built for them alone.
+    """
+    body = [c for c in ("payload", "label") if c in texts.columns] if "payload" in texts.columns else \
+        [c for c in ("content", "matched_lines") if c in texts.columns]
+    ranked = ranked.join(texts.select("repo", "path", *body), ["repo", "path"])
+    if "payload" not in texts.columns:
+        if "matched_lines" not in body:
+            ranked = ranked.withColumn("matched_lines", scoring.matched_lines_col(
+                F.col("content"), keywords, scoring.secret_literals_col(F.col("content"), threshold)))
+        ranked = with_payload(ranked, switch_chars, window)
     entry = _entry(F.col("path"), F.col("label"), F.col("score"), F.col("payload"))
     ranked = ranked.withColumn("entry", entry).withColumn("n_chars", F.length("entry"))
     wc = Window.partitionBy("repo").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -117,15 +138,53 @@ def context_text(packed: DataFrame) -> DataFrame:
     """(repo, text): the packed entries joined with newlines in rank order.
 
     Bounded per repo by construction (<= max_files entries, <= max_chars plus
-    headers).  The directory listing is kept as rows (`hierarchy`) instead of
-    being folded into one string, since it grows with the repo.
+    headers).  The directory listing grows with the repo: `review_context` keeps
+    it as rows.
     """
     return (packed.groupBy("repo")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("_e"))
-            .select("repo", F.concat(F.lit("\n--- FILE CONTENTS ---\n"),
+            .select("repo", F.concat(F.lit(rules.CONTENTS_HEADER + "\n"),
                                      F.array_join(F.transform("_e", lambda s: s["entry"]), "\n")).alias("text")))
 
 
 def hierarchy(files: DataFrame) -> DataFrame:
-    """(repo, path) listing of every file under non-pruned directories."""
-    return files.select("repo", "path")
+    """(repo, idx, path): the files under non-pruned directories, numbered from 1 in path order per repo."""
+    listed = prune_dirs(files).select("repo", "path").withColumn("_one", F.lit(True))
+    return running_count(listed, "repo", ["path"], "_one", "idx").select("repo", "idx", "path")
+
+
+def review_context(files: DataFrame, manifests: DataFrame | None = None, import_patterns=(rules.IMPORT_QUOTED_PATTERN,),
+                   threshold: float = rules.SECRET_ENTROPY_THRESHOLD, max_chars: int = rules.PACK_MAX_CHARS,
+                   max_files: int = rules.PACK_MAX_FILES, min_tail: int = rules.PACK_MIN_TAIL,
+                   reserve: int = rules.PACK_TAIL_RESERVE, switch_chars: int = rules.SNIPPET_SWITCH_CHARS,
+                   window: int = rules.SNIPPET_WINDOW, cascade: bool = True) -> DataFrame:
+    """The review context of every repo as ordered rows (repo, section, idx, text).
+
+    Section 0 is the directory listing, section 1 the packed files; row 0 of
+    each is its header, and a repo's context is its texts in (section, idx)
+    order joined by newlines.  Source files that pass the directory, extension,
+    name and size filters are scored with the keywords of their repo's
+    frameworks, boosted by their importers, ranked and packed.  `manifests`
+    (repo, manifest, text) default to the manifest files at the root in `files`;
+    `files` holds (repo, path, content), one row per file.
+    """
+    if manifests is None:
+        manifests = (files.where(F.col("path").isin(*rules.MANIFEST_FILES))
+                     .select("repo", F.col("path").alias("manifest"), F.col("content").alias("text")))
+    project = filter_ext(prune_dirs(files))
+    cands = size_cap(skip_boilerplate(project))
+    # Both are read by every round of the boost: a few numbers per file and the import graph, no texts.
+    scored = cut_lineage(scoring.score_by_manifest(cands, manifests, threshold))
+    edges = cut_lineage(scoring.resolve_imports(scoring.extract_imports(cands, patterns=import_patterns), project))
+    ranked = rank_nonempty(scoring.import_boost(scored, edges, cascade=cascade), max_files)
+    ranked = (ranked.join(scoring.framework_keywords(manifests), "repo", "left")
+              .withColumn("keywords", F.coalesce("keywords", F.array(*[F.lit(k) for k in rules.RISK_KEYWORDS]))))
+    packed = pack_ranked(ranked, cands, max_chars, min_tail, reserve, F.col("keywords"), threshold, switch_chars, window)
+
+    def rows(section, idx, text):
+        return [F.lit(section).alias("section"), idx.cast("long").alias("idx"), text.alias("text")]
+    headers = files.select("repo").distinct().select("repo", F.inline(F.array(
+        F.struct(*rows(0, F.lit(0), F.lit(rules.HIERARCHY_HEADER))),
+        F.struct(*rows(1, F.lit(0), F.lit(rules.CONTENTS_HEADER))))))
+    return (headers.unionByName(hierarchy(files).select("repo", *rows(0, F.col("idx"), F.col("path"))))
+            .unionByName(packed.select("repo", *rows(1, F.col("rank"), F.col("entry")))))

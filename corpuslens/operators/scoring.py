@@ -238,21 +238,46 @@ def rank_files(scored: DataFrame, top: int | None = None) -> DataFrame:
     return out.where(F.col("rank") <= top) if top else out
 
 
-def framework_keywords(manifests: DataFrame, spark=None,
-                       base: Sequence[str] = rules.RISK_KEYWORDS) -> DataFrame:
-    """Per repo keyword array: base list + additions triggered by words in root manifests (duplicates kept).
+def framework_hits(manifests: DataFrame) -> DataFrame:
+    """(repo, fw_ord, keywords): the framework rules that a repo's root manifests trigger.
 
     `manifests` holds (repo, manifest, text) for requirements.txt / package.json at the repo root.
     """
-    spark = spark or manifests.sparkSession
-    fw = rules.framework_rules_df(spark)
-    hits = (manifests.join(F.broadcast(fw), "manifest")  # the fixed rule list
-            .where(F.exists("words", lambda w: F.lower(F.col("text")).contains(w))))
+    fw = rules.framework_rules_df(manifests.sparkSession)
+    return (manifests.join(F.broadcast(fw), "manifest")  # the fixed rule list
+            .where(F.exists("words", lambda w: F.lower(F.col("text")).contains(w)))
+            .select("repo", "fw_ord", "keywords").distinct())
+
+
+def framework_keywords(manifests: DataFrame, base: Sequence[str] = rules.RISK_KEYWORDS) -> DataFrame:
+    """Per repo keyword array: base list + additions triggered by words in root manifests (duplicates kept)."""
     # Order additions as the rule list does: package.json rules first, then requirements.txt.
-    extra = (hits.groupBy("repo")
+    extra = (framework_hits(manifests).groupBy("repo")
              .agg(F.array_sort(F.collect_list(F.struct("fw_ord", "keywords"))).alias("_x"))
              .select("repo", F.flatten(F.transform("_x", lambda s: s["keywords"])).alias("extra")))
     repos = manifests.select("repo").distinct()
     return (repos.join(extra, "repo", "left")
             .select("repo", F.concat(_kw_array(base), F.coalesce(F.col("extra"), F.array().cast("array<string>")))
                     .alias("keywords")))
+
+
+def score_by_manifest(files: DataFrame, manifests: DataFrame, threshold: float = rules.SECRET_ENTROPY_THRESHOLD,
+                      base: Sequence[str] = rules.RISK_KEYWORDS) -> DataFrame:
+    """(repo, path, n_chars, keyword_score, secret_count, score) with the keywords of each repo's frameworks.
+
+    Counts add up over keywords, so every file is counted once for the base list
+    and once per framework rule, and the rules that the repo triggers are summed
+    after a join of those few numbers: no text is shuffled.
+    """
+    n_rules = len(rules.FRAMEWORK_KEYWORDS)
+    content = F.col("content")
+    counts = files.select(
+        "repo", "path", F.length(content).alias("n_chars"), keyword_score_col(content, base).alias("_base"),
+        F.array(*[keyword_score_col(content, kws) for _, _, kws in rules.FRAMEWORK_KEYWORDS]).alias("_extra"),
+        F.size(secret_literals_col(content, threshold)).cast("long").alias("secret_count"))
+    flags = framework_hits(manifests).groupBy("repo").agg(
+        *[F.max((F.col("fw_ord") == i).cast("long")).alias(f"_f{i}") for i in range(n_rules)])
+    added = sum((F.coalesce(F.col(f"_f{i}"), F.lit(0)) * F.col("_extra")[i] for i in range(n_rules)), F.lit(0))
+    return (counts.join(flags, "repo", "left")
+            .select("repo", "path", "n_chars", (F.col("_base") + added).cast("long").alias("keyword_score"), "secret_count")
+            .withColumn("score", F.col("keyword_score") + F.col("secret_count") * rules.SECRET_WEIGHT))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions.text import PY_SPACE_CLASS, is_remote_target, repo_name, strip_tagged, tagged_block
-from corpuslens.operators import manifests, paths, scoring
+from corpuslens.operators import context, manifests, paths, scoring
 from corpuslens.operators.patching import escapes_base
 from corpuslens.plans.catalog import DOCS, documents_files, query, spread, table, table_sql
-from corpuslens.plans.oracle import kw_score_expr, q
+from corpuslens.plans.oracle import LINE_RE, islands_ctes, kw_score_expr, q, secrets_ctes, snippet_body_ctes
 
 # pages as a corpus: repo = host, path = <lang>/<dir by url shape>/<name by tld>, content = html
 PAGE_FILES_SQL = """
@@ -401,11 +401,110 @@ def q_import_boost_cascade(spark, sf_dir):
 
 @query("hierarchy", f"""
 WITH {PF}
-SELECT repo, path FROM pf
+SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY path) AS idx, path FROM pf
 WHERE len(list_filter(string_split(path, '/')[1:len(string_split(path, '/')) - 1],
                       lambda s: lower(s) IN {_in_list(rules.IGNORED_DIRS)} OR starts_with(s, '.'))) = 0
 """)
 def q_hierarchy(spark, sf_dir):
-    """G14 listing part: every file under non-pruned directories, kept as rows (it grows with the repo)."""
-    from corpuslens.operators import context
-    return context.hierarchy(paths.prune_dirs(page_files(spark, sf_dir)))
+    """G14 listing part: every file under non-pruned directories, numbered and kept as rows (it grows with the repo)."""
+    return context.hierarchy(page_files(spark, sf_dir))
+
+
+# ---------------------------------------------------------- review context --
+# The page corpus with a line that calls framework functions and links that resolve inside the repo; the manifests of
+# a host are those of the nation that its name's length and page count pick.
+
+CTX_FILES_SQL = f"""
+SELECT repo, path, content || chr(10) ||
+  CASE page_id % 6 WHEN 0 THEN 'v = request.args + request.form; db.query(v)'
+                   WHEN 1 THEN 'res.send(req.query); execute(v)'
+                   WHEN 2 THEN 'Request.GET; objects.raw(password)'
+                   WHEN 3 THEN 'sequelize.query(v, token)' ELSE 'pass' END || chr(10) ||
+  CASE page_id % 4 WHEN 0 THEN '<a href="/src/">' WHEN 1 THEN '<a href="page_' || CAST(page_id % 10 AS STRING) || '">' ELSE '' END
+  AS content
+FROM ({PAGE_FILES_SQL}) pages_as_files"""
+CTX_MANIFEST_SQL = f"""
+SELECT h.repo, m.manifest, m.text
+FROM (SELECT repo, 'nation_' || lower(replace(n_name, ' ', '_')) AS nation
+      FROM (SELECT repo, (length(repo) + count(*)) % 25 AS k FROM ({PAGE_FILES_SQL}) pages_as_files GROUP BY repo) g
+      JOIN nation ON n_nationkey = k) h
+JOIN ({FW_MANIFEST_SQL}) m ON m.repo = h.nation"""
+CTX = dict(threshold=4.0, max_chars=12000, max_files=4, min_tail=1000, reserve=100, switch_chars=3000, window=1)
+
+
+def _ctx_sql() -> str:
+    def entry(label, body):
+        return (f"chr(10) || 'FILE: ' || path || ' (' || {label} || ', Risk Score: ' || CAST(score AS VARCHAR) || ')' "
+                f"|| chr(10) || '```' || chr(10) || {body} || chr(10) || '```'")
+    exts = " OR ".join(f"ends_with(path, {q(e)})" for e in rules.SOURCE_EXTENSIONS)
+    boiler = " OR ".join(f"contains(lower(string_split(path, '/')[-1]), {q(t)})" for t in rules.BOILERPLATE_TERMS)
+    fw_score = " + ".join(f"coalesce(w.f{i}, 0) * {kw_score_expr('c.content', kws)}"
+                          for i, (_, _, kws) in enumerate(rules.FRAMEWORK_KEYWORDS))
+    fw_flags = ", ".join(
+        f"max(CASE WHEN manifest = {q(man)} AND ({' OR '.join(f'contains(lower(text), {q(x)})' for x in words)}) THEN 1 ELSE 0 END) AS f{i}"
+        for i, (man, words, _) in enumerate(rules.FRAMEWORK_KEYWORDS))
+
+    def any_kw(kws):
+        return "(" + " OR ".join(f"contains(lower(ls[i]), {q(k.lower())})" for k in kws) + ")"
+    kw_line = " OR ".join([any_kw(rules.RISK_KEYWORDS)] + [
+        f"(coalesce(f{i}, 0) = 1 AND {any_kw(kws)})" for i, (_, _, kws) in enumerate(rules.FRAMEWORK_KEYWORDS)])
+    m, t, r = CTX["max_chars"], CTX["min_tail"], CTX["reserve"]
+    return f"""WITH RECURSIVE cf AS ({CTX_FILES_SQL}), mf AS ({CTX_MANIFEST_SQL}),
+fwf AS (SELECT repo, {fw_flags} FROM mf GROUP BY repo),
+listed AS (SELECT * FROM cf
+           WHERE len(list_filter(string_split(path, '/')[1:len(string_split(path, '/')) - 1],
+                     lambda s: lower(s) IN {_in_list(rules.IGNORED_DIRS)} OR starts_with(s, '.'))) = 0),
+proj AS (SELECT * FROM listed WHERE {exts}),
+cand AS (SELECT * FROM proj WHERE NOT ({boiler}) AND strlen(content) <= {rules.MAX_FILE_BYTES}),
+{secrets_ctes('cand', CTX['threshold'])},
+sec_n AS (SELECT repo, path, count(*) AS n FROM sec_all GROUP BY repo, path),
+sc AS (SELECT c.repo, c.path, c.content,
+              {kw_score_expr('c.content', rules.RISK_KEYWORDS)} + {fw_score} + 5 * coalesce(s.n, 0) AS score0
+       FROM cand c LEFT JOIN fwf w ON c.repo = w.repo LEFT JOIN sec_n s ON c.repo = s.repo AND c.path = s.path),
+imp AS (SELECT DISTINCT repo, path AS src, regexp_replace(lower(h), '^/+|/+$', '', 'g') AS m
+        FROM (SELECT repo, path, unnest(regexp_extract_all(content, {q(HREF)}, 1)) AS h FROM cand)),
+edges AS (SELECT DISTINCT i.repo, i.src, (SELECT min(p.path) FROM proj p WHERE p.repo = i.repo AND contains(lower(p.path), i.m)) AS dst
+          FROM imp i WHERE NOT regexp_matches(m, {q(_STD)})),
+fwd AS (SELECT e.repo, e.src, e.dst FROM edges e JOIN sc ON e.repo = sc.repo AND e.dst = sc.path WHERE e.src < e.dst),
+live(repo, src) AS (
+  SELECT repo, path FROM sc WHERE score0 > 0
+  UNION
+  SELECT f.repo, f.dst FROM fwd f JOIN live l ON f.repo = l.repo AND f.src = l.src
+),
+b AS (SELECT e.repo, e.dst AS path, 2 * count(*) AS boost FROM edges e JOIN live l ON e.repo = l.repo AND e.src = l.src
+      GROUP BY e.repo, e.dst),
+boosted AS (SELECT sc.repo, sc.path, sc.content, CAST(score0 + coalesce(boost, 0) AS BIGINT) AS score
+            FROM sc LEFT JOIN b ON sc.repo = b.repo AND sc.path = b.path),
+lines AS (SELECT c.repo, c.path, c.ls, unnest(generate_series(1, len(c.ls))) AS i, w.*EXCLUDE (repo)
+          FROM (SELECT repo, path, string_split_regex(content, {q(LINE_RE)}) AS ls FROM cand) c LEFT JOIN fwf w ON c.repo = w.repo),
+ml AS (SELECT DISTINCT repo, path, line FROM (
+         SELECT repo, path, i AS line FROM lines WHERE {kw_line}
+         UNION ALL SELECT repo, path, line FROM sec_all)),
+{islands_ctes('cand', 'ml', CTX['window'])}, {snippet_body_ctes('cand', 'isl')},
+payload AS (
+  SELECT s.repo, s.path, s.score, CASE WHEN length(s.content) > {CTX['switch_chars']} AND sn.body IS NOT NULL THEN 'SNIPPETS' ELSE 'FULL' END AS label,
+         CASE WHEN length(s.content) > {CTX['switch_chars']} AND sn.body IS NOT NULL THEN sn.body ELSE s.content END AS payload
+  FROM boosted s LEFT JOIN snip sn ON s.repo = sn.repo AND s.path = sn.path),
+rk AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank FROM payload WHERE length(payload) > 0),
+en AS (SELECT *, {entry('label', 'payload')} AS entry FROM rk WHERE rank <= {CTX['max_files']}),
+cu AS (SELECT *, sum(length(entry)) OVER (PARTITION BY repo ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM en),
+packed AS (
+  SELECT repo, rank, CASE WHEN cum <= {m} THEN entry
+         ELSE {entry("'TRUNCATED'", f"left(payload, CAST({m} - (cum - length(entry)) - {r} AS BIGINT))")} END AS entry
+  FROM cu WHERE cum <= {m} OR (cum - length(entry) <= {m} AND {m} - (cum - length(entry)) > {t})),
+ctx AS (
+  SELECT DISTINCT repo, 0 AS section, 0 AS idx, {q(rules.HIERARCHY_HEADER)} AS text FROM cf
+  UNION ALL SELECT DISTINCT repo, 1, 0, chr(10) || {q(rules.CONTENTS_HEADER.strip())} FROM cf
+  UNION ALL SELECT repo, 0, row_number() OVER (PARTITION BY repo ORDER BY path), path FROM listed
+  UNION ALL SELECT repo, 1, rank, entry FROM packed)
+SELECT repo, CAST(section AS INTEGER) AS section, CAST(idx AS BIGINT) AS idx, CAST(length(text) AS INTEGER) AS text_chars,
+       md5(text) AS text_md5 FROM ctx"""
+
+
+@query("review_context", _ctx_sql())
+def q_review_context(spark, sf_dir):
+    """Filters, per-repo keywords, scores, import boost, rank, packing and the listing as one job."""
+    files = spread(table_sql(spark, sf_dir, CTX_FILES_SQL))
+    manifest_rows = table_sql(spark, sf_dir, CTX_MANIFEST_SQL)
+    rows = context.review_context(files, manifest_rows, import_patterns=(HREF,), **CTX)
+    return rows.select("repo", "section", "idx", F.length("text").cast("int").alias("text_chars"), F.md5("text").alias("text_md5"))
