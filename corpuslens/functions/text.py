@@ -86,10 +86,6 @@ def normalize_eol(text) -> Column:
     return F.regexp_replace(_c(text), r"\r\n?", "\n")
 
 
-def truncate_text(text, n: int) -> Column:
-    return F.left(_c(text), F.lit(n))
-
-
 def ellipsize(text, n: int) -> Column:
     """First n characters plus '...' when longer than n."""
     t = _c(text)

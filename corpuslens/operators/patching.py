@@ -1,8 +1,8 @@
 """Bulk search/replace patch application as one Spark job.
 
-Patch texts are parsed into chunk rows with regex generators; chunks of a
-(patch, file) are folded over the file text in order with `aggregate`, each
-step working on the result of the previous one.  No Python per row.
+Patch texts are parsed into chunk rows with regex generators; all chunks on a
+file are folded over its text in order with `aggregate`, each step working on
+the result of the previous one.  No Python per row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
-from corpuslens.functions.text import fuzzy_pattern, let, normalize_eol, py_strip, splice
+from corpuslens.functions.text import ellipsize, fuzzy_pattern, let, normalize_eol, py_strip, splice
 
 FILE_HEADER_RE = r"(?mU)^FILE:\s*([^\n\r]+)"
 FILE_SPLIT_RE = r"(?mU)^FILE:\s*[^\n\r]+"
@@ -72,9 +72,9 @@ def normalised_path(path: Column) -> Column:
         s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))), "/")
 
 
-def _state(text: Column, status: Column, applied: Column, failed: Column) -> Column:
+def _state(text: Column, status: Column, applied: Column, fuzzy: Column, failed: Column) -> Column:
     return F.struct(text.alias("text"), status.alias("status"), applied.cast("int").alias("applied"),
-                    failed.cast("string").alias("failed_search"))
+                    fuzzy.cast("boolean").alias("fuzzy"), failed.cast("string").alias("failed_search"))
 
 
 def _fold(text: Column, chunks: Column) -> Column:
@@ -83,7 +83,7 @@ def _fold(text: Column, chunks: Column) -> Column:
     Values used more than once are bound with `let`, and the fuzzy pattern is
     only built inside the branch where the exact match missed.
     """
-    init = _state(normalize_eol(text), F.lit(OK), F.lit(0), F.lit(None))
+    init = _state(normalize_eol(text), F.lit(OK), F.lit(0), F.lit(False), F.lit(None))
 
     def step(acc, ch):
         cur = acc["text"]
@@ -93,11 +93,12 @@ def _fold(text: Column, chunks: Column) -> Column:
                 # The leftmost match is also the first place where its text occurs; `position` counts characters.
                 return let(F.regexp_substr(cur, pat), lambda m: F.when(
                     m.isNotNull(), _state(splice(cur, F.position(m, cur), F.length(m), r), F.lit(OK),
-                                          acc["applied"] + 1, acc["failed_search"]))
-                    .otherwise(_state(cur, F.lit(SEARCH_MISS), acc["applied"], ch["search"])))
+                                          acc["applied"] + 1, F.lit(True), acc["failed_search"]))
+                    .otherwise(_state(cur, F.lit(SEARCH_MISS), acc["applied"], acc["fuzzy"], ch["search"])))
 
             return let(F.position(s, cur), lambda pos: F.when(
-                pos > 0, _state(splice(cur, pos, F.length(s), r), F.lit(OK), acc["applied"] + 1, acc["failed_search"]))
+                pos > 0, _state(splice(cur, pos, F.length(s), r), F.lit(OK), acc["applied"] + 1,
+                                acc["fuzzy"], acc["failed_search"]))
                 .otherwise(let(fuzzy_pattern(s), fuzzy)))
 
         live = let(normalize_eol(ch["search"]), lambda s: let(normalize_eol(ch["replace"]), lambda r: on_search(s, r)))
@@ -111,55 +112,62 @@ def apply_patches(files: DataFrame, patches: DataFrame, default_file: str | None
     """Apply parsed chunks to files.
 
     files: (repo, path, content); patches: (repo, patch_id, file_ord, path, chunk_ord, search, replace).
-    Output: one row per section: repo, patch_id, file_ord, path, status, chunks_applied, new_content, error.
-    Sections of one patch on one file work on one another's results, in order; a section that fails changes nothing.
-    new_content is the file behind the section (for a failed one, as the sections before left it).  Paths are
-    normalised before they are looked up.  A failure is a status, never an exception; with `strict`, any failure in
-    a patch marks its other sections ABORTED: no chunk applied, the original content.
+    Output: one row per section: repo, patch_id, file_ord, path, status, chunks_applied, match_kind, new_content, error.
+    All sections on one file work on one another's results, in (patch_id, file_ord) order; a section that fails
+    changes nothing.  new_content is the file behind the section (for a failed one, as the sections before left it);
+    match_kind says of an applied section whether every search text was found as it stands (EXACT) or some only
+    with other whitespace (FUZZY).  Paths are normalised before they are looked up.  A failure is a status, never an
+    exception; with `strict`, any failure in a patch marks its other sections ABORTED (no chunk applied, the original
+    content), and since a patch may be taken back as a whole, each patch works on the original files.
     """
+    one_file = ["repo", "patch_id", "target"] if strict else ["repo", "target"]
     raw = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit(default_file))
     target = F.when(escapes_base(raw), raw).otherwise(normalised_path(raw))
     sections = (patches.withColumn("target", target)
                 .groupBy("repo", "patch_id", "target", "file_ord")
                 .agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "search", "replace"))).alias("chunks"))
-                .groupBy("repo", "patch_id", "target")
-                .agg(F.array_sort(F.collect_list(F.struct("file_ord", "chunks"))).alias("sections")))  # of one patch and file
+                .groupBy(*one_file)
+                .agg(F.array_sort(F.collect_list(F.struct("patch_id", "file_ord", "chunks"))).alias("sections")))
     joined = sections.join(files.select("repo", F.col("path").alias("target"), "content"), ["repo", "target"], "left")
 
-    def outcome(file_ord, st, text, applied, failed):
-        err = F.concat(F.lit("Search block not found: "),
-                       F.when(F.length(failed) > 100, F.concat(F.left(failed, F.lit(100)), F.lit("..."))).otherwise(failed))
-        return F.struct(file_ord.alias("file_ord"), st.alias("status"), applied.cast("int").alias("chunks_applied"),
-                        text.alias("new_content"), F.when(st == SEARCH_MISS, err).cast("string").alias("error"))
+    def outcome(sec, st, text, applied, fuzzy, failed):
+        err = F.concat(F.lit("Search block not found: "), ellipsize(failed, 100))
+        kind = F.when((st == OK) & fuzzy, F.lit("FUZZY")).when(st == OK, F.lit("EXACT"))
+        return F.struct(sec["patch_id"].alias("patch_id"), sec["file_ord"].alias("file_ord"), st.alias("status"),
+                        applied.cast("int").alias("chunks_applied"), kind.alias("match_kind"), text.alias("new_content"), F.when(st == SEARCH_MISS, err).cast("string").alias("error"))
 
     def step(acc, sec):
         def after(f):
             text = F.when(f["status"] == OK, f["text"]).otherwise(acc["text"])
             return F.struct(text.alias("text"), F.concat(acc["rows"], F.array(
-                outcome(sec["file_ord"], f["status"], text, f["applied"], f["failed_search"]))).alias("rows"))
+                outcome(sec, f["status"], text, f["applied"], f["fuzzy"], f["failed_search"]))).alias("rows"))
         return let(_fold(acc["text"], sec["chunks"]), after)
 
     content = F.col("content")
-    kind = "array<struct<file_ord:int,status:string,chunks_applied:int,new_content:string,error:string>>"
-    folded = F.aggregate("sections", F.struct(content.alias("text"), F.array().cast(kind).alias("rows")), step)["rows"]
+    id_type = patches.schema["patch_id"].dataType.simpleString()
+    rows = (f"array<struct<patch_id:{id_type},file_ord:int,status:string,chunks_applied:int,match_kind:string,"
+            "new_content:string,error:string>>")
+    folded = F.aggregate("sections", F.struct(content.alias("text"), F.array().cast(rows).alias("rows")), step)["rows"]
     status = (F.when(F.col("target").isNull(), F.lit(NO_TARGET)).when(escapes_base(F.col("target")), F.lit(TRAVERSAL))
               .otherwise(F.lit(NOT_FOUND)))
-    none = F.transform("sections", lambda s: outcome(s["file_ord"], status, content, F.lit(0), F.lit(None).cast("string")))
+    none = F.transform("sections", lambda s: outcome(s, status, content, F.lit(0), F.lit(False), F.lit(None).cast("string")))
     usable = content.isNotNull() & F.col("target").isNotNull() & ~escapes_base(F.col("target"))
-    out = joined.select("repo", "patch_id", F.col("target").alias("path"), content.alias("_was"),
+    out = joined.select("repo", F.col("target").alias("path"), content.alias("_was"),
                         F.inline(F.when(usable, folded).otherwise(none)))
     if strict:
         w = Window.partitionBy("repo", "patch_id")
         out = out.withColumn("_bad", F.max((F.col("status") != OK).cast("int")).over(w) > 0)
         out = (out.withColumn("new_content", F.when(F.col("_bad"), F.col("_was")).otherwise(F.col("new_content")))
                .withColumn("chunks_applied", F.when(F.col("_bad"), F.lit(0)).otherwise(F.col("chunks_applied")))
+               .withColumn("match_kind", F.when(~F.col("_bad"), F.col("match_kind")))
                .withColumn("status", F.when(F.col("_bad") & (F.col("status") == OK), F.lit(ABORTED)).otherwise(F.col("status"))))
-    return out.select("repo", "patch_id", "file_ord", "path", "status", "chunks_applied", "new_content", "error")
+    return out.select("repo", "patch_id", "file_ord", "path", "status", "chunks_applied", "match_kind", "new_content",
+                      "error")
 
 
 def patched_files(files: DataFrame, applied: DataFrame) -> DataFrame:
     """New corpus version: applied files replaced, every other file kept."""
-    # A file patched by several patches keeps the one with the highest id (last write wins), behind its last section.
+    # The last applied section holds the edits of all applied sections before it.
     w = Window.partitionBy("repo", "path").orderBy(F.col("patch_id").desc(), F.col("file_ord").desc())
     upd = (applied.where(F.col("status") == OK)
            .withColumn("_rk", F.row_number().over(w)).where("_rk = 1")

@@ -68,36 +68,39 @@ def size_cap(files: DataFrame, max_bytes: int = rules.MAX_FILE_BYTES) -> DataFra
     return files.where(size <= max_bytes)
 
 
-def glob_regex(glob: str) -> str:
-    """fnmatch-style glob -> Java regex body: '*' crosses '/', '?' one char, [..] and [!..] classes."""
-    out, i = [], 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif c == "[":
-            j = glob.find("]", i + 2 if glob[i + 1:i + 2] in ("!", "]") else i + 1)
-            if j < 0:
-                out.append("\\[")
-            else:
-                body = glob[i + 1:j]
-                body = "^" + body[1:] if body.startswith("!") else body
-                out.append("[" + body.replace("\\", "\\\\") + "]")
-                i = j
-        else:
-            out.append("\\" + c if not c.isalnum() and c != "_" and c != "/" else c)
-        i += 1
-    return "".join(out)
-
-
-def _rule_regexes(patterns: Sequence[str]) -> tuple[str, str]:
-    """(prefix regex, segment regex) for a rule list; '' when a kind has no rule."""
-    path_rx = [glob_regex(p) for p in patterns if not p.endswith("/")]
-    seg_rx = [glob_regex(p.rstrip("/")) for p in patterns]
-    wrap = lambda xs: ("(?s)^(?:" + "|".join(xs) + ")$") if xs else ""
-    return wrap(path_rx), wrap(seg_rx)
+#: A class ([..], [!..]; a ']' that stands first belongs to it) or any one character.
+_GLOB_TOKEN = r"(?s)(\[!?\]?[^\]]*\]|.)"
+#: A range or any one character of a class.
+_CLASS_ITEM = r"(?s)(.-.|.)"
+
+
+def glob_regex_col(glob: Column) -> Column:
+    """fnmatch-style glob -> Java regex body: '*' crosses '/', '?' one character, [..] and [!..] classes.
+
+    A bracket that isn't closed is a plain character; a range that runs backwards is empty, so every glob yields a
+    valid regex.
+    """
+    def quoted(text):
+        return F.regexp_replace(text, r"([^\p{Alnum}])", r"\\$1")
+
+    def item(it):
+        return F.when(F.length(it) == 3, F.concat(quoted(F.left(it, F.lit(1))), F.lit("-"), quoted(F.right(it, F.lit(1))))) \
+            .otherwise(quoted(it))
+
+    def char_class(token):
+        negated = token.startswith("[!")
+        body = F.substr(token, F.when(negated, 3).otherwise(2), F.length(token) - F.when(negated, 3).otherwise(2))
+        kept = F.filter(F.regexp_extract_all(body, F.lit(_CLASS_ITEM), 1),
+                        lambda it: (F.length(it) < 3) | (F.left(it, F.lit(1)) <= F.right(it, F.lit(1))))
+        inner = F.array_join(F.transform(kept, item), "")
+        return F.when((inner == "") & negated, F.lit(".")).when(inner == "", F.lit("(?!)")) \
+            .otherwise(F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), inner, F.lit("]")))
+
+    def piece(token):
+        return (F.when(token == "*", F.lit(".*")).when(token == "?", F.lit("."))
+                .when(F.length(token) > 1, char_class(token)).otherwise(quoted(token)))
+
+    return F.array_join(F.transform(F.regexp_extract_all(glob, F.lit(_GLOB_TOKEN), 1), piece), "")
 
 
 def gitignore_patterns(lines: Sequence[str], builtins: Sequence[str] = rules.GITIGNORE_BUILTINS) -> list[str]:
@@ -110,44 +113,39 @@ def _ignored(segs: Column, rx_path: Column, rx_seg: Column) -> Column:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda i: F.array_join(F.slice(segs, 1, i), "/"))
 
     def any_match(arr: Column, rx: Column) -> Column:
-        return F.when(rx.isNull() | (rx == ""), F.lit(False)).otherwise(F.exists(arr, lambda s: F.regexp_like(s, rx)))
+        return F.coalesce(F.exists(arr, lambda s: F.regexp_like(s, rx)), F.lit(False))
 
     return any_match(prefixes, rx_path) | any_match(segs, rx_seg)
 
 
+def _any_of(regexes: Column) -> Column:
+    """One regex that matches a whole text when any of the array does; null for none."""
+    return F.when(F.size(regexes) > 0, F.concat(F.lit("(?s)^(?:"), F.array_join(regexes, "|"), F.lit(")$")))
+
+
 def apply_ignore_rules(files: DataFrame, patterns: Sequence[str] = rules.GITIGNORE_BUILTINS,
                        repo_rules: DataFrame | None = None) -> DataFrame:
     """Drop files matched by an ignore rule at the file or at any ancestor directory.
 
     A rule ending in '/' tests every path segment; other rules test each path
     prefix (ancestor directories and the file itself), hence also its last
-    segment, and every segment.  `patterns` apply to every repo and compile to
-    two alternation regexes on the driver (a fixed list); `repo_rules`
-    (repo, pattern) are folded the same way per repo and attached with a
-    left join on repo.  The test is a per-row `rlike`: no rule x file pairs.
+    segment, and every segment.  `patterns` apply to every repo and fold into
+    two constant regexes; the rules of `repo_rules` (repo, pattern) fold the
+    same way per repo and are attached with a left join on repo.  The test is
+    per row: no rule x file pairs.
     """
-    g_path, g_seg = _rule_regexes(list(patterns))
     segs = path_segments("path")
-    bad = _ignored(segs, F.lit(g_path), F.lit(g_seg))
-    out = files
-    if repo_rules is not None:
-        rx = F.concat(F.lit("(?s)^(?:"), _glob_col(F.regexp_replace("pattern", "/+$", "")), F.lit(")$"))
-        per = (repo_rules.withColumn("rx", rx).withColumn("dir_only", F.col("pattern").endswith("/"))
-               .groupBy("repo").agg(
-                   F.concat_ws("|", F.collect_list(F.when(~F.col("dir_only"), F.col("rx")))).alias("_rx_path"),
-                   F.concat_ws("|", F.collect_list("rx")).alias("_rx_seg")))
-        out = out.join(per, "repo", "left")
-        bad = bad | _ignored(segs, F.col("_rx_path"), F.col("_rx_seg"))
-        return out.where(~bad).drop("_rx_path", "_rx_seg")
-    return out.where(~bad)
-
-
-def _glob_col(glob: Column) -> Column:
-    """Column version of glob_regex for rules held in a table (no bracket-class validation)."""
-    esc = F.regexp_replace(glob, r"([.^$+(){}|\\])", r"\\$1")
-    esc = F.regexp_replace(esc, r"\[!", "[^")
-    esc = F.regexp_replace(esc, r"\*", ".*")
-    return F.regexp_replace(esc, r"\?", ".")
+    fixed_path = _any_of(F.array(*[glob_regex_col(F.lit(p)) for p in patterns if not p.endswith("/")]))
+    fixed_seg = _any_of(F.array(*[glob_regex_col(F.lit(p.rstrip("/"))) for p in patterns]))
+    bad = _ignored(segs, fixed_path, fixed_seg)
+    if repo_rules is None:
+        return files.where(~bad)
+    glob = glob_regex_col(F.regexp_replace("pattern", "/+$", ""))
+    per_repo = (repo_rules.where(F.col("pattern").isNotNull()).select("repo", F.col("pattern").endswith("/").alias("dirs"), glob.alias("rx"))
+                .groupBy("repo").agg(_any_of(F.collect_set(F.when(~F.col("dirs"), F.col("rx")))).alias("_rx_path"),
+                                     _any_of(F.collect_set("rx")).alias("_rx_seg")))
+    out = files.join(per_repo, "repo", "left")
+    return out.where(~(bad | _ignored(segs, F.col("_rx_path"), F.col("_rx_seg")))).drop("_rx_path", "_rx_seg")
 
 
 def dir_rollup(files: DataFrame, exts: Sequence[str] = rules.TREE_EXTENSIONS) -> DataFrame:

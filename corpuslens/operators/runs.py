@@ -15,14 +15,10 @@ from corpuslens import rules
 from corpuslens.operators import sequence
 
 
-def transitions_df(spark: SparkSession, config_json: str = rules.TRANSITIONS_JSON) -> DataFrame:
-    """(state, outcome, next_state, source) from the rules JSON plus the edges coded in the run loop."""
-    cfg = spark.createDataFrame([(config_json,)], "j STRING")
-    m = F.from_json("j", "struct<transitions: map<string, map<string, string>>>")
-    edges = (cfg.select(F.explode(m["transitions"]).alias("state", "outs"))
-             .select("state", F.explode("outs").alias("outcome", "next_state"))
-             .withColumn("source", F.lit("rules")))
-    return edges.unionByName(rules.coded_transitions_df(spark))
+def transitions_df(spark: SparkSession) -> DataFrame:
+    """(state, outcome, next_state, source): the rule file's edges and those coded in the run loop."""
+    return (rules.transition_rows(spark, rules.RULE_TRANSITIONS, "rules")
+            .unionByName(rules.transition_rows(spark, rules.CODED_TRANSITIONS, "code")))
 
 
 def load_transitions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +31,7 @@ def load_transitions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     edges = (p.select(F.explode("c.transitions").alias("state", "outs"))
              .select("state", F.explode("outs").alias("outcome", "next_state"))
              .withColumn("source", F.lit("rules"))
-             .unionByName(rules.coded_transitions_df(spark)))
+             .unionByName(rules.transition_rows(spark, rules.CODED_TRANSITIONS, "code")))
     settings = p.select(
         F.coalesce("c.retry_thresholds.max_patch_test_retries", F.lit(rules.DEFAULT_MAX_RETRIES)).alias("max_retries"),
         F.coalesce("c.retry_thresholds.sandbox_timeout_seconds", F.lit(rules.DEFAULT_SANDBOX_TIMEOUT)).alias("sandbox_timeout"),

@@ -510,10 +510,7 @@ SELECT repo, patch_id, path, new_content FROM pexp
 WHERE status = 'APPLIED' AND patch_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW'))
 """)
 def q_patch_apply_exact(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM", "5-LOW"))
-    a = _applied(spark, sf_dir).where(F.col("status") == "APPLIED")
-    return a.join(o.select(F.col("o_orderkey").alias("patch_id")), "patch_id", "left_semi") \
-            .select("repo", "patch_id", "path", "new_content")
+    return _applied(spark, sf_dir).where("match_kind = 'EXACT'").select("repo", "patch_id", "path", "new_content")
 
 
 @query("patch_apply_fuzzy", f"""
@@ -522,10 +519,7 @@ SELECT repo, patch_id, path, new_content FROM pexp
 WHERE status = 'APPLIED' AND patch_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH')
 """)
 def q_patch_apply_fuzzy(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "2-HIGH")
-    a = _applied(spark, sf_dir).where(F.col("status") == "APPLIED")
-    return a.join(o.select(F.col("o_orderkey").alias("patch_id")), "patch_id", "left_semi") \
-            .select("repo", "patch_id", "path", "new_content")
+    return _applied(spark, sf_dir).where("match_kind = 'FUZZY'").select("repo", "patch_id", "path", "new_content")
 
 
 AGENT_NOTES_SQL = ("SELECT repo, '.agents/review_' || CAST(o_orderkey AS STRING) || '.md' AS path, "

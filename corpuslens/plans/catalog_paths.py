@@ -74,35 +74,62 @@ def q_size_cap_filter(spark, sf_dir):
 
 
 IGNORE = paths.gitignore_patterns(["# build output", "tests/", "*.txt", "", "fr/src", "node_modules"])
-_RX_PATH, _RX_SEG = paths._rule_regexes(IGNORE)
+# What each rule of IGNORE and the built-in ones says of a path prefix p or a path segment s.
+_IGNORED_PREFIX = ("p LIKE '%.txt' OR p IN ('fr/src', 'node_modules', '.git', '__pycache__', '.agents', '.githooks', 'hooks') "
+                   "OR p LIKE '%.pyc' OR p LIKE '%.pyo' OR p LIKE '%.pyd'")
+_IGNORED_SEGMENT = _IGNORED_PREFIX.replace("p ", "s ") + " OR s = 'tests'"
 
 
-def _strip_anchor(rx: str) -> str:
-    return rx[len("(?s)^(?:"):-2]
+def _ignore_sql(files: str, extra_prefix: str = "false", extra_segment: str = "false") -> str:
+    """The files of a CTE (repo, path, ...) that no rule matches; the extra conditions may name repo."""
+    return f"""
+ig AS (SELECT *, string_split(path, '/') AS segs FROM {files}),
+kept AS (SELECT * FROM ig WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT unnest(segs) AS s, unnest(list_transform(range(1, len(segs) + 1), lambda i: array_to_string(segs[1:i], '/'))) AS p)
+  WHERE {_IGNORED_PREFIX} OR {_IGNORED_SEGMENT} OR {extra_prefix} OR {extra_segment}))"""
 
 
 @query("ignore_rules", f"""
-WITH {PF},
-s AS (SELECT repo, path, string_split(path, '/') AS segs FROM pf),
-p AS (SELECT repo, path, segs, list_transform(range(1, len(segs) + 1), lambda i: array_to_string(segs[1:i], '/')) AS prefixes FROM s)
-SELECT repo, path FROM p
-WHERE len(list_filter(prefixes, lambda x: regexp_full_match(x, {q(_strip_anchor(_RX_PATH))}))) = 0
-  AND len(list_filter(segs, lambda x: regexp_full_match(x, {q(_strip_anchor(_RX_SEG))}))) = 0
+WITH {PF}, {_ignore_sql('pf')}
+SELECT repo, path FROM kept
 """)
 def q_ignore_rules(spark, sf_dir):
     return paths.apply_ignore_rules(page_files(spark, sf_dir), IGNORE).select("repo", "path")
 
 
+# Rules of single repositories, among them classes, a bracket that isn't closed and a range that runs backwards.
+REPO_RULES_SQL = """
+SELECT repo, CASE length(repo) % 5 WHEN 0 THEN '*[02468].py' WHEN 1 THEN '[!a-eg-z]*' WHEN 2 THEN 'src[gen/'
+                                   WHEN 3 THEN 'page_[9-1]*' ELSE '[[.]cache/' END AS pattern
+FROM (SELECT DISTINCT repo FROM files) r
+UNION ALL
+SELECT DISTINCT repo, 'gen/' FROM files WHERE repo LIKE '%.net'"""
+
+
+@query("repo_ignore_rules", f"""
+WITH {PF}, {_ignore_sql('pf',
+    "(length(repo) % 5 = 0 AND (regexp_matches(p, '[02468][.]py$') OR regexp_matches(s, '[02468][.]py$'))) "
+    "OR (length(repo) % 5 = 1 AND (left(p, 1) NOT BETWEEN 'a' AND 'z' OR left(p, 1) = 'f' OR left(s, 1) NOT BETWEEN 'a' AND 'z' OR left(s, 1) = 'f'))",
+    "(length(repo) % 5 = 4 AND s = '.cache') OR (repo LIKE '%.net' AND s = 'gen')")}
+SELECT repo, path FROM kept
+""")
+def q_repo_ignore_rules(spark, sf_dir):
+    files = page_files(spark, sf_dir)
+    own = spark.sql(REPO_RULES_SQL.replace("FROM files", "FROM {files}"), files=files)
+    return paths.apply_ignore_rules(files, IGNORE, own).select("repo", "path")
+
+
 @query("dir_rollup", f"""
-WITH {PF},
-k AS (SELECT repo, string_split(path, '/') AS segs, strlen(content) AS b FROM pf
-      WHERE {' OR '.join(f"ends_with(path, {q(e)})" for e in rules.TREE_EXTENSIONS)}),
+WITH {PF}, {_ignore_sql('pf')},
+k AS (SELECT repo, segs, strlen(content) AS b FROM kept
+      WHERE {' OR '.join(f"(ends_with(path, {q(e)}) AND segs[-1] <> {q(e)})" for e in rules.TREE_EXTENSIONS)}),
 d AS (SELECT repo, b, unnest(list_transform(range(0, len(segs)),
         lambda i: CASE WHEN i = 0 THEN '' ELSE array_to_string(segs[1:i], '/') END)) AS dir FROM k)
 SELECT repo, dir, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(b) AS BIGINT) AS n_bytes FROM d GROUP BY repo, dir
 """)
 def q_dir_rollup(spark, sf_dir):
-    return paths.dir_rollup(page_files(spark, sf_dir))
+    """What the ignore rules leave, rolled up by directory."""
+    return paths.dir_rollup(paths.apply_ignore_rules(page_files(spark, sf_dir), IGNORE))
 
 
 SLICE_BY_LANG = {"en": (None, None), "fr": (0, 5), "de": (3, 999), "es": (5, 3)}

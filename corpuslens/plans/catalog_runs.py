@@ -112,6 +112,7 @@ RUN_SQL = (f"SELECT user_id AS run_id, event_id, ts, {_case('event_type', STATE_
 _EDGES = [(s, n) for s, d in {"AUDIT": ["PATCH", "ERROR"], "PATCH": ["TEST", "ERROR"],
                                 "TEST": ["COMMIT", "PATCH", "ERROR"], "COMMIT": ["COMPLETED", "ERROR"]}.items()
           for n in d] + [(s, n) for s, _, n in rules.CODED_TRANSITIONS]
+
 EDGES_SQL = "(VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in sorted(set(_EDGES))) + ") e(prev_state, state)"
 
 

@@ -15,6 +15,14 @@ from corpuslens.streaming import jobs
 
 
 # ------------------------------------------------------------------- S1 --
+def _call_stream(spark, sf_dir):
+    e = jobs.table_stream(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
+                    F.expr(R._case("event_type", R.MODEL_BY_EVENT)).alias("model"),
+                    (k * 100).alias("input_tokens"), (k * 10 + 5).alias("output_tokens"), F.col("value").alias("latency_s"))
+
+
 @query("stream_cost_window", f"""
 WITH c AS ({R.COSTED_SQL}),
 w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, model, count(*) AS total_calls,
@@ -25,17 +33,27 @@ SELECT window_start, model, CAST(total_calls AS BIGINT) AS total_calls, CAST(tot
 FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES
 """)
 def q_stream_cost_window(spark, sf_dir):
-    e = jobs.table_stream(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
-    calls = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                     F.expr(R._case("event_type", R.MODEL_BY_EVENT)).alias("model"),
-                     (k * 100).alias("input_tokens"), (k * 10 + 5).alias("output_tokens"), F.col("value").alias("latency_s"))
-    out = jobs.run_to_table(jobs.stream_cost_window(calls), "cost_window")
+    out = jobs.run_to_table(jobs.stream_cost_window(_call_stream(spark, sf_dir)), "cost_window")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model", "total_calls",
                       "total_input_tokens", "total_output_tokens",
                       F.round("total_estimated_cost_usd", 6).alias("total_estimated_cost_usd"))
 
 
+@query("stream_cost_summary", f"""
+SELECT model, CAST(count(*) AS BIGINT) AS total_calls, CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens,
+       CAST(sum(output_tokens) AS BIGINT) AS total_output_tokens,
+       round(coalesce(avg(latency_s), 0), 6) AS average_latency_seconds,
+       round(coalesce(sum(cost_usd), 0), 6) AS total_estimated_cost_usd
+FROM ({R.COSTED_SQL}) GROUP BY model
+""")
+def q_stream_cost_summary(spark, sf_dir):
+    """The live totals: every call counts, those of windows still open too."""
+    out = jobs.run_to_snapshot(jobs.stream_cost_summary(_call_stream(spark, sf_dir)), "cost_summary")
+    return out.select("model", "total_calls", "total_input_tokens", "total_output_tokens",
+                      F.round("average_latency_seconds", 6).alias("average_latency_seconds"),
+                      F.round("total_estimated_cost_usd", 6).alias("total_estimated_cost_usd"))
+
+
 # ------------------------------------------------------------------- S2 --
 @query("stream_run_state", f"""
 WITH r AS ({R.RUN_SQL}),

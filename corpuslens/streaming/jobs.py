@@ -59,6 +59,25 @@ def stream_cost_window(calls: DataFrame, window: str = "1 hour", watermark: str
                     "total_calls", "total_input_tokens", "total_output_tokens", "total_estimated_cost_usd"))
 
 
+def stream_cost_summary(calls: DataFrame) -> DataFrame:
+    """Live totals per model, the windows still open included: for output mode "complete" or "update"."""
+    return telemetry.metrics_summary(telemetry.call_cost(calls), by=["model"])
+
+
+def run_to_snapshot(df: DataFrame, name: str) -> DataFrame:
+    """Run a complete-mode stream over what there is; the last trigger's table, kept in the shared folder."""
+    spark = df.sparkSession
+    base = shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+
+    def on_batch(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    q = (df.writeStream.outputMode("complete").foreachBatch(on_batch)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 # ------------------------------------------------------------------ S2 --
 RUN_STATE_SCHEMA = ("run_id LONG, n_events LONG, last_seq_ts TIMESTAMP, last_event_id LONG, final_state STRING, "
                     "attempts LONG, illegal_transitions LONG, terminal BOOLEAN")
@@ -67,9 +86,8 @@ _STATE_SCHEMA = ("n_events LONG, last_ts TIMESTAMP, last_event_id LONG, last_sta
 
 
 def _legal_pairs() -> set[tuple[str, str]]:
-    cfg = rules.rules_config()["transitions"]
-    pairs = {(s, n) for s, outs in cfg.items() for n in outs.values()}
-    return pairs | {(s, n) for s, _, n in rules.CODED_TRANSITIONS}
+    pairs = {(s, n) for s, _, n in (*rules.RULE_TRANSITIONS, *rules.CODED_TRANSITIONS)}
+    return pairs | {("COMPLETED", "COMPLETED")}  # a run may say COMPLETED more than once
 
 
 def _run_state_fn(legal: set, terminal: tuple):
@@ -97,10 +115,10 @@ def stream_run_state(events: DataFrame, terminal=("COMPLETED", "ERROR")) -> Data
 
     Events of a run that arrive in one trigger are ordered by (ts, event_id)
     inside the state function (Structured Streaming allows no sort before a
-    stateful operator), so memory per run is bounded by the trigger size: cap
-    it with `table_stream(..., max_files=...)` / maxFilesPerTrigger.  The state
-    kept between triggers is six values per run.  The summary emitted last for
-    a run (largest n_events) is its current state.
+    stateful operator), so a run's events of one trigger meet in one task; for
+    runs too long for that, `stream_run_state_tables` spreads one run over many
+    tasks.  The state kept between triggers is six values per run.  The summary
+    emitted last for a run (largest n_events) is its current state.
     """
     fn = _run_state_fn(_legal_pairs(), terminal)
     return (events.groupBy("run_id")
@@ -155,9 +173,10 @@ def _merge_run_batch(batch: DataFrame, prev: DataFrame | None, edges: DataFrame)
                         .distinct().withColumn("_ok", F.lit(True)))  # fixed 13-edge dimension
     j = nb.join(legal, ["prev_state", "state"], "left")
     last = F.max_by(F.struct("ts", "event_id", "state"), F.struct("ts", "event_id"))
+    repeated = F.coalesce((F.col("state") == "COMPLETED") & (F.col("prev_state") == "COMPLETED"), F.lit(False))
     agg = (j.groupBy("run_id")
            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "PATCH").alias("a"),
-                F.count_if(F.col("prev_state").isNotNull() & F.col("_ok").isNull()).alias("i"),
+                F.count_if(F.col("prev_state").isNotNull() & F.col("_ok").isNull() & ~repeated).alias("i"),
                 last.alias("l")))
     if prev is None:
         return agg.select("run_id", F.col("n").alias("n_events"), F.col("l.ts").alias("last_ts"),

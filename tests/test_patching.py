@@ -96,3 +96,18 @@ def test_restore_and_diff(spark):
     assert restored == {".git/HEAD": "new", "AGENTS.md": "keep", "a.py": "orig", "b.py": "b"}
     diff = {r.path: r.change for r in patching.snapshot_diff(snap, cur).collect()}
     assert diff == {"a.py": "modified", "b.py": "removed", "AGENTS.md": "modified", ".git/HEAD": "added"}
+
+
+def test_patches_of_one_file_build_on_one_another(spark):
+    files = spark.createDataFrame([("r", "a.py", "x\ny\nfoo( z )\n")], "repo string, path string, content string")
+    rows = [("r", 2, 0, "a.py", 0, "X", "XX"), ("r", 1, 0, "./a.py", 0, "x", "X"), ("r", 3, 0, "a.py", 0, "nope", "-"),
+            ("r", 4, 0, "a.py", 0, "foo(z)", "bar")]
+    df = spark.createDataFrame(rows, "repo string, patch_id int, file_ord int, path string, chunk_ord int, search string, replace string")
+    out = {r.patch_id: r for r in patching.apply_patches(files, df).collect()}
+    assert [out[i].status for i in (1, 2, 3)] == ["APPLIED", "APPLIED", "SEARCH_NOT_FOUND"]
+    assert [out[i].match_kind for i in (1, 2, 3)] == ["EXACT", "EXACT", None]
+    assert out[2].new_content == out[3].new_content == "XX\ny\nfoo( z )\n"
+    new = patching.patched_files(files, patching.apply_patches(files, df)).first().content
+    assert new == (out[4].new_content if out[4].status == "APPLIED" else "XX\ny\nfoo( z )\n")
+    strict = {r.patch_id: r for r in patching.apply_patches(files, df, strict=True).collect()}
+    assert strict[2].status == "SEARCH_NOT_FOUND" and strict[1].new_content.startswith("X\n")  # each patch alone

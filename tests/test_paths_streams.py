@@ -140,8 +140,34 @@ def test_state_table_tracker_across_triggers(spark, tmp_path):
 
 def test_glob_classes(spark):
     import fnmatch
-    import re
-    names = ["a1.log", "b1.log", "ab.log", "x/y.log", "a-.txt", "[a].txt"]
-    for glob in ["[ab]1.log", "[!a]1.log", "*.log", "a?.log", "a-.txt", "[[]a].txt"]:
-        rx = re.compile("(?s)^(?:" + paths.glob_regex(glob) + ")$")
-        assert [n for n in names if rx.match(n)] == [n for n in names if fnmatch.fnmatchcase(n, glob)], glob
+    names = ["a1.log", "b1.log", "ab.log", "x/y.log", "a-.txt", "[a].txt", ".x", "*x", "foo[bar", "a&&b", "^a", "5.py", "-",
+             "a\\b", "é.log", "z", "a\nb"]
+    globs = ["[ab]1.log", "[!a]1.log", "*.log", "a?.log", "a-.txt", "[[]a].txt", "[*]x", "foo[bar", "a[&]&b", "[&&a]*", "[^a]a",
+             "[9-1].py", "[!9-1].py", "[0-9].py", "[a-]", "[]a]", "[!]a]", "a[\\]b", "[\\w]", "?.log", "a?b", "", "(z", "z|-"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for glob in globs:
+        rx = F.concat(F.lit("(?s)^(?:"), paths.glob_regex_col(F.lit(glob)), F.lit(r")\z"))
+        got = [r.name for r in df.where(F.regexp_like("name", rx)).collect()]
+        assert sorted(got) == sorted(n for n in names if fnmatch.fnmatchcase(n, glob)), glob
+
+
+def test_repo_rules_of_any_shape(spark):
+    files = spark.createDataFrame([("r", ".x", "1"), ("r", "foo[bar", "1"), ("r", "*x", "1"), ("s", "*x", "1"), (None, "*x", "1")],
+                                  "repo string, path string, content string")
+    own = spark.createDataFrame([("r", "foo[bar"), ("r", "[*]x"), ("r", None), ("t", "*")], "repo string, pattern string")
+    kept = {(r.repo, r.path) for r in paths.apply_ignore_rules(files, [], own).collect()}
+    assert kept == {("r", ".x"), ("s", "*x"), (None, "*x")}
+
+
+def test_run_trackers_allow_repeated_completion(spark, tmp_path):
+    from corpuslens.streaming import jobs
+    ev = spark.createDataFrame([(1, 1, "2024-01-01 00:00:01", "AUDIT"), (1, 2, "2024-01-01 00:00:02", "COMPLETED"),
+                                (1, 3, "2024-01-01 00:00:03", "COMPLETED"), (2, 4, "2024-01-01 00:00:04", "COMPLETED"),
+                                (2, 5, "2024-01-01 00:00:05", "AUDIT")], "run_id long, event_id long, ts string, state string")
+    ev.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "ev"))
+    stream = spark.readStream.schema("run_id long, event_id long, ts timestamp, state string").parquet(str(tmp_path / "ev"))
+    pandas_state = jobs.latest_run_state(jobs.run_to_table(jobs.stream_run_state(stream), "repeat"))
+    assert {r.run_id: r.illegal_transitions for r in pandas_state.collect()} == {1: 0, 2: 1}
+    jobs.stream_run_state_tables(stream, str(tmp_path / "state")).awaitTermination()
+    tables = jobs.latest_state_table(spark, str(tmp_path / "state"))
+    assert {r.run_id: r.illegal_transitions for r in tables.collect()} == {1: 0, 2: 1}
