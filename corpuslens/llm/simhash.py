@@ -281,10 +281,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     `near_dedup`.  Null texts count as empty; texts without words have
     fingerprint zero, linked like any other.  Empty input, empty result.
     """
-    key = own_name(docs.columns, "_key")
-    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    rows = with_fingerprints(keyed.withColumnRenamed(id_col, "_id"), text_col, "fp", ["_id", key], words_per)
-    rows = stored(rows.select(F.col("_id").alias("doc_id"), F.col(key).alias("key"), "fp"), "fingerprints")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = stored(with_fingerprints(keyed, "text", "fp", ["doc_id", "key"], words_per), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     per = stored(rows.groupBy("fp").agg(F.min(first).alias("low")), "distinct")
     roots = components(near_links(per.select("fp"), max_bits))

@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     got = model.toPandas()
     sent = spark.sparkContext.broadcast((got["feature"].to_numpy(), got["weight"].to_numpy()))
-    stay = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]
+    stay = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("score", "predicted")]
     raw = own_name(docs.columns, "_raw")
     src = docs.select(*stay, F.col(text_col).cast("binary").alias(raw))
     schema = src.select(*stay, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
