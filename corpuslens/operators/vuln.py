@@ -66,35 +66,40 @@ def _preorder(tree: ast.AST) -> Iterator[ast.AST]:
         stack.extend(reversed(list(ast.iter_child_nodes(node))))
 
 
-def file_facts(repo: str, path: str, content: str) -> list[dict]:
-    """Facts of one source file; a parse failure becomes one 'error' fact."""
-    base = dict(repo=repo, path=path, kind=None, ord=None, line=None, name=None, has_args=None, arg0_kind=None,
-                kw=None, value_is_str=None, value_len=None, code=None, error=None)
+def file_facts(content: str | None, callees: frozenset | None = None, targets: tuple | None = None) -> Iterator[tuple]:
+    """Facts of one source file in FACT_SCHEMA's order behind the path; a parse failure is one 'error' fact.
+
+    `callees` and `targets` leave out calls of other names and assignments of
+    anything but text to names without one of these words; `ord` counts all.
+    """
     try:
         tree = ast.parse(content or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [dict(base, kind="error", error=f"{type(e).__name__}: {e}")]
-    lines = (content or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    if lines and lines[-1] == "":
-        lines.pop()
+        yield ("error", *[None] * 9, f"{type(e).__name__}: {e}")
+        return
+    lines: list[str] = []
 
     def code(n: int) -> str:
+        if not lines:
+            lines.extend(content.replace("\r\n", "\n").replace("\r", "\n").split("\n"))
         return lines[n - 1].strip() if 0 < n <= len(lines) else ""
 
-    out = []
-    for node in _preorder(tree):  # ord: the running number of the file's facts
+    at = -1
+    for node in _preorder(tree):
         if isinstance(node, ast.Call):
-            out.append(dict(base, kind="call", ord=len(out), line=node.lineno, name=_callee(node.func),
-                            has_args=bool(node.args), arg0_kind=_arg0_kind(node),
-                            kw=[_kw(k) for k in node.keywords], code=code(node.lineno)))
+            at += 1
+            name = _callee(node.func)
+            if callees is None or name in callees:
+                yield ("call", at, node.lineno, name, bool(node.args), _arg0_kind(node), [_kw(k) for k in node.keywords],
+                       None, None, code(node.lineno), None)
         elif isinstance(node, ast.Assign):
             is_str = isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
             for t in node.targets:
                 if isinstance(t, ast.Name):
-                    out.append(dict(base, kind="assign", ord=len(out), line=node.lineno, name=t.id,
-                                    value_is_str=is_str, value_len=len(node.value.value) if is_str else None,
-                                    code=code(node.lineno)))
-    return out
+                    at += 1
+                    if targets is None or is_str and any(w in t.id.upper() for w in targets):
+                        yield ("assign", at, node.lineno, t.id, None, None, None, is_str,
+                               len(node.value.value) if is_str else None, code(node.lineno), None)
 
 
 _FACT_COLS = ["repo", "path", "kind", "ord", "line", "name", "has_args", "arg0_kind",
@@ -110,23 +115,28 @@ def _arrow_schema():
     return pa.schema([(c, types[c]) for c in _FACT_COLS])
 
 
-def _facts_arrow(batches):
-    """Arrow batches of (repo, path, content) -> Arrow batches of facts, built column-wise."""
-    import pyarrow as pa
-    schema = _arrow_schema()
-    for rb in batches:
-        cols = {c: [] for c in _FACT_COLS}
-        d = rb.to_pydict()
-        for repo, path, content in zip(d["repo"], d["path"], d["content"]):
-            for f in file_facts(repo, path, content):
-                for c in _FACT_COLS:
-                    cols[c].append(f[c])
-        yield pa.RecordBatch.from_pydict(cols, schema=schema)
+def _facts_arrow(callees: frozenset | None, targets: tuple | None):
+    """Arrow batches of (repo, path, content) -> Arrow batches of facts."""
+    def run(batches):
+        import pyarrow as pa
+        schema = _arrow_schema()
+        for rb in batches:
+            files = zip(*[rb.column(c).to_pylist() for c in ("repo", "path", "content")], strict=True)
+            rows = [(repo, path, *f) for repo, path, content in files for f in file_facts(content, callees, targets)]
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return run
 
 
-def python_facts(files: DataFrame) -> DataFrame:
-    """(repo, path, content) -> call / assign / error facts, parsed on executors in Arrow batches."""
-    return files.select("repo", "path", "content").mapInArrow(_facts_arrow, FACT_SCHEMA)
+def python_facts(files: DataFrame, ruled_only: bool = False) -> DataFrame:
+    """(repo, path, content) -> call / assign / error facts, parsed on executors in Arrow batches.
+
+    With `ruled_only`, only calls and assignments whose name some rule asks for cross over to the JVM.
+    """
+    callees = frozenset(name for _, names, *_ in rules.CWE_RULES for name in names) if ruled_only else None
+    targets = rules.CRED_NAME_WORDS if ruled_only else None
+    return files.select("repo", "path", "content").mapInArrow(_facts_arrow(callees, targets), FACT_SCHEMA)
 
 
 def ast_path_skip(files: DataFrame, strict: bool = False) -> DataFrame:
@@ -215,7 +225,7 @@ def scan_findings(files: DataFrame, prefilter: bool = True) -> DataFrame:
     py = ast_path_skip(files)
     if prefilter:
         py = py.where(may_have_findings(F.col("content")))
-    return findings(python_facts(py))
+    return findings(python_facts(py, ruled_only=True))
 
 
 def parse_errors(facts: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def stream_log_parse(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------ S6 --
 def stream_scan(files: DataFrame) -> DataFrame:
     """Findings for files as they arrive (stateless, append)."""
-    return vuln.findings(vuln.python_facts(vuln.ast_path_skip(files)))
+    return vuln.findings(vuln.python_facts(vuln.ast_path_skip(files), ruled_only=True))
 
 
 # ------------------------------------------------------- S2, Spark-only --

@@ -70,3 +70,17 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT shannon_entropy('aabbc') AS e, count_ci('Query( query(', 'QUERY(') AS c, "
                   "normalize_eol('a' || chr(13) || chr(10) || 'b' || chr(13)) AS n").first()
     assert abs(r.e - 1.5219280948873621) < 1e-12 and r.c == 2 and r.n == "a\nb\n"
+
+
+def test_ruled_facts_give_the_same_findings(spark):
+    src = ("import os, yaml\nAPI_KEY = Other = 'abcdefghijkl'\nx = 'abcdefghijkl'\ndef f(y):\n    g(y); eval(y); os.system('%s' % y)\n"
+           "    cursor.execute('select {}'.format(y)); cursor.execute('select %s' % y)\n    yaml.load(y); yaml.load(y, Loader=SafeLoader)\n"
+           "    my_Password = 'longer than eight'\r\n    subprocess.run(y, shell=True)\n")
+    files = spark.createDataFrame([("r", "a.py", src), ("r", "b.py", ""), ("r", "c.py", None), ("r", "d.py", "(")],
+                                  "repo string, path string, content string")
+    every, ruled = vuln.python_facts(files), vuln.python_facts(files, ruled_only=True)
+    found = sorted(vuln.findings(every).collect())
+    assert sorted(vuln.findings(ruled).collect()) == found
+    assert {"CWE-94", "CWE-78", "CWE-89", "CWE-502", "CWE-798"} == {r.cwe for r in found}
+    assert ruled.count() < every.count()
+    assert vuln.parse_errors(ruled).count() == vuln.parse_errors(every).count() == 1
