@@ -81,27 +81,31 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
     return F.when(n > 0, whole).otherwise(F.array(F.lit(0).cast("long")))
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, token, left, right) for the non-overlapping matches of a regex.
+def match_spans(text: Column, pattern: str, around: bool = False) -> Column:
+    """Array of (start, end, token) for the non-overlapping matches of a regex; with `around` also (left, right).
 
-    Positions are code points; left/right are the texts next to the match,
-    cut to 64 and 48 characters.  One pass splits off the gaps, one takes the
-    matches; texts without a match cost one search.
+    Positions are code points.  left is the text before the match from two
+    matches back, right the text after it over the next match, both uncut.
+    One pass splits off the gaps, one takes the matches; texts without a match
+    cost one search.
     """
     def build(pair):
         gaps, toks = pair["g"], pair["t"]
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(toks)), toks,
                            lambda g, t: (F.length(g) + F.length(t)).cast("long"))
-        rows = F.arrays_zip(F.slice(prefix_sums(steps), F.lit(2), F.size(toks)).alias("e"), toks.alias("t"),
-                            F.slice(gaps, F.lit(1), F.size(toks)).alias("g"),
-                            F.slice(gaps, F.lit(2), F.size(toks)).alias("h"))
-        return F.transform(rows, lambda r: F.struct(
-            (r["e"] - F.length(r["t"])).alias("start"), r["e"].alias("end"), r["t"].alias("token"),
-            F.right(r["g"], F.lit(64)).alias("left"), F.left(r["h"], F.lit(48)).alias("right")))
+        cols = [F.slice(prefix_sums(steps), F.lit(2), F.size(toks)).alias("e"), toks.alias("t")]
+        if around:
+            both, pad = F.zip_with(F.slice(gaps, F.lit(1), F.size(toks)), toks, lambda g, t: F.concat(g, t)), F.array(F.lit(""))
+            cols += [F.slice(c, F.lit(k), F.size(toks)).alias(n) for n, c, k in (
+                ("g", gaps, 1), ("h", gaps, 2), ("i", F.concat(gaps, pad), 3), ("s", F.concat(toks, pad), 2),
+                ("p", F.concat(pad, both), 1), ("o", F.concat(pad, pad, both), 1))]
+        sides = (lambda r: [F.concat(r["o"], r["p"], r["g"]).alias("left"), F.concat(r["h"], r["s"], r["i"]).alias("right")]) if around else lambda r: []
+        return F.transform(F.arrays_zip(*cols), lambda r: F.struct(
+            (r["e"] - F.length(r["t"])).alias("start"), r["e"].alias("end"), r["t"].alias("token"), *sides(r)))
 
     pair = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("t"))
     found = F.transform(F.array(pair), build)[0]
-    none = F.array().cast("array<struct<start:bigint,end:bigint,token:string,left:string,right:string>>")
+    none = F.array().cast(f"array<struct<start:bigint,end:bigint,token:string{',left:string,right:string' if around else ''}>>")
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 

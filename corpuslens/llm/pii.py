@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are what the base patterns find (e-mail, IP, card, phone).  The words
-around a mention form lexical patterns; patterns and the mentioned tokens form
-a graph, and Spark scores it in rounds: a pattern by the share of its tokens
-that are of a kind, an unknown token by the mean of its patterns.  Patterns of
-high confidence and enough different seeds then mark unknown tokens.
-Everything is DataFrame functions.
+Seeds are what the base patterns find (e-mail, IP, card, phone): every valid
+span, with its own context.  The words around a span form lexical patterns.
+Whatever else stands in the slot of a seeded pattern is an unknown token,
+with or without digits.  Patterns and tokens form a graph, and Spark scores it
+in rounds: a pattern by the share of its tokens that are of a kind, an unknown
+token by the mean of its patterns.  Patterns of high confidence and enough
+different seeds then mark unknown tokens.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -28,10 +29,17 @@ BASE = {
 }
 #: What a kind needs somewhere in the text; a cheap first look.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Tokens that can be identifiers: whole phone numbers and spaced cards, else 6 to 64 characters with a digit.
-MENTION = (BASE["phone"] + r"|(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])"
-           r"|(?<![A-Za-z0-9._%+@#/-])(?=[A-Za-z._%+@#/-]*+[0-9])[A-Za-z0-9._%+@#/-]{5,63}[A-Za-z0-9]"
-           r"(?![A-Za-z0-9_%+@#/-])(?!\.[A-Za-z0-9])")
+#: Unknown tokens of several words: phone numbers and spaced cards that do not count.
+LONG = BASE["phone"] + r"|(?<![0-9])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])"
+#: Other unknown tokens, inside a word: a run of INNER up to its last letter or digit, with what brackets or an apostrophe join to it.
+ALNUM = r"a-zA-Z0-9\p{L}\p{M}\p{N}"  # the plain ones first, as they are found first
+INNER = ALNUM + r"._%+@#/-"
+UNIT = (rf"(?<![{INNER}])[{INNER}]*[{ALNUM}]"
+        rf"(?:[(\[{{][{INNER}]*[{ALNUM}][)\]}}](?:[{INNER}]*[{ALNUM}])?|['’][{INNER}]*[{ALNUM}])*+")
+#: A word with one unit and what stands before and after it.
+WORD, ONE_UNIT = r"\S+", rf"([^{INNER}]*+)({UNIT})([^{ALNUM}]*+)"
+#: Bits (as a power of two) of the filter that keeps words outside any seeded pattern's slot from being shuffled.
+FILTER_BITS = 22
 #: Rounds of scoring; share of a kind that a pattern needs, different seeds it needs, and score that a token needs.
 ROUNDS, PATTERN_SCORE, PATTERN_SEEDS, TOKEN_SCORE = 3, 0.9, 5, 0.9
 
@@ -60,52 +68,131 @@ def valid(kind: str, token: Column) -> Column:
     return F.lit(True)
 
 
+def _may(text: Column, kind: str) -> Column:
+    may = text.contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
+    return may if kind == "email" else may & text.rlike("[0-9]")
+
+
+def _borders(spans: Column) -> Column:
+    return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+
+
 def base_spans(text: Column, kind: str) -> Column:
     """Array of (start, end): the kind's leftmost, non-overlapping matches that count."""
-    may = text.contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
-    if kind != "email":
-        may = may & text.rlike("[0-9]")
-    found = F.transform(F.filter(match_spans(text, BASE[kind]), lambda m: valid(kind, m["token"])),
-                        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
-    return F.when(may, found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    found = _borders(F.filter(match_spans(text, BASE[kind]), lambda m: valid(kind, m["token"])))
+    return F.when(_may(text, kind), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+
+
+def _patterns(before: Column, near: Column, after: Column) -> Column:
+    """The patterns of a slot, null where a side is empty: the two words to its left, and the words on both sides."""
+    return F.array(F.when((before != "") & (near != ""), F.concat(F.lit("L "), F.lower(F.concat(before, F.lit(" "), near)))),
+                   F.when((near != "") & (after != ""), F.concat(F.lit("B "), F.lower(F.concat(near, F.lit(" _ "), after)))))
+
+
+def _joined(left: Column) -> Column:
+    """What is joined to a slot's left without white space, from the last INNER run on."""
+    return F.regexp_extract(left, rf"(?:(?<![{INNER}])[{INNER}]++|(?<!\S))[^\s{INNER}]++\z|(?<![{INNER}])[{INNER}]++\z", 0)
+
+
+def _joined_after(right: Column) -> Column:
+    """What is joined to a slot's right without white space, up to the next letter or digit."""
+    return F.regexp_extract(right, rf"^[^\s{ALNUM}]+", 0)
+
+
+def _around(left: Column, right: Column) -> Column:
+    """Patterns of a slot from the text on its sides."""
+    joined = left.rlike(r"\S\z")
+    near = F.when(joined, _joined(left)).otherwise(F.regexp_extract(left, r"(?<!\S)(\S++)\s++\z", 1))
+    before = F.regexp_extract(left, r"(?<!\S)(\S++)\s++\S++\s*+\z", 1)
+    after = F.when(right.rlike(r"^\S"), _joined_after(right)).otherwise(F.regexp_extract(right, r"^\s+(\S+)", 1))
+    return F.filter(_patterns(before, near, after), lambda p: p.isNotNull())
 
 
-def _mentions(text: Column) -> Column:
-    """Array of (start, end, token, patterns) of the tokens that can be identifiers."""
-    def words(side, regex):
-        return F.regexp_replace(F.lower(F.regexp_extract(side, regex, 0)), r"\s+", " ")
+INSTANCES = "array<struct<start:bigint,end:bigint,token:string,kind:string,patterns:array<string>>>"
 
-    def one(m):
-        left = words(F.rtrim(m["left"]), r"\S+\s+\S+$")
-        near, after = words(F.rtrim(m["left"]), r"\S+$"), words(F.ltrim(m["right"]), r"^\S+")
-        patterns = F.filter(F.array(F.when(left != "", F.concat(F.lit("L "), left)),
-                                    F.when((near != "") & (after != ""), F.concat(F.lit("B "), near, F.lit(" _ "), after))),
-                            lambda p: p.isNotNull())
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["token"].alias("token"), patterns.alias("patterns"))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,token:string,patterns:array<string>>>")
-    return F.when(text.rlike("[0-9]"), F.transform(match_spans(text, MENTION), one)).otherwise(none)
+def _instances(text: Column, base: str) -> Column:
+    """Array of (start, end, token, kind, patterns): the valid base spans, and with null for a kind the LONG tokens clear of them."""
+    def of(kind):
+        return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["token"].alias("token"),
+                                  F.lit(kind).cast("string").alias("kind"), _around(m["left"], m["right"]).alias("patterns"))
+
+    def seeds(kind):
+        found = F.filter(match_spans(text, BASE[kind], around=True), lambda m: valid(kind, m["token"]))
+        return F.when(F.size(f"{base}.{kind}") > 0, F.transform(found, of(kind))).otherwise(none)
+
+    none = F.array().cast(INSTANCES)
+    every = F.concat(*[F.col(f"{base}.{k}") for k in KINDS])
+    other = F.filter(match_spans(text, LONG, around=True), lambda m: ~F.exists(every, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return F.concat(*map(seeds, KINDS), F.when(text.rlike("[0-9]"), F.transform(other, of(None))).otherwise(none))
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """(row, word, start, end, token, pattern) of every UNIT of the texts: number of the word, place inside it, whole words around.
+
+    Words of one unit, nearly all, go without higher-order functions, which generated code can't hold.
+    """
+    words = F.col("w")
+    zipped = F.arrays_zip(F.concat(F.array(F.lit(""), F.lit("")), words).alias("before"), F.concat(F.array(F.lit("")), words).alias("near"),
+                          words.alias("text"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("after"))
+    said = rows.select("row", F.regexp_extract_all("text", F.lit(WORD), 0).alias("w")).select("row", F.posexplode(zipped).alias("word", "x"))
+    said = said.select("row", "word", "x.*").where("text IS NOT NULL")
+    text = F.col("text")
+    plain = text.rlike(r"^[a-zA-Z0-9]++\z")
+    single, some = plain | text.rlike(rf"^{ONE_UNIT}\z"), text.rlike(rf"[{ALNUM}]")
+    parts = [F.when(plain, text if k == 2 else F.lit("")).otherwise(F.regexp_extract(text, rf"^{ONE_UNIT}\z", k)) for k in (1, 2, 3)]
+    one = said.where(single).select("row", "word", "before", "near", "after", *[p.alias(n) for p, n in zip(parts, ("left", "token", "right"), strict=True)])
+    one = one.select("*", F.length("left").cast("long").alias("start"), F.length(F.concat("left", "token")).cast("long").alias("end"))
+    more = said.where(~single & some).select("row", "word", "before", "near", "after", F.inline(match_spans(text, UNIT, around=True)))
+    both = one.unionByName(more)
+    joined = F.col("left") != ""
+    near = F.when(joined, _joined(F.col("left"))).otherwise(F.col("near"))
+    before = F.when(joined, F.col("near")).otherwise(F.col("before"))
+    after = F.when(F.col("right") != "", _joined_after(F.col("right"))).otherwise(F.coalesce("after", F.lit("")))
+    both = both.select("row", "word", "start", "end", "token", before.alias("before"), near.alias("near"), after.alias("after"))
+    slots = _patterns(F.col("before"), F.col("near"), F.col("after"))
+    return both.select("row", "word", "start", "end", "token", F.explode(slots).alias("pattern")).where("pattern IS NOT NULL")
+
+
+def _word_starts(rows: DataFrame) -> DataFrame:
+    """(row, word, at): where each word of the texts starts."""
+    starts = F.transform(match_spans(F.col("text"), WORD), lambda m: m["start"])
+    return rows.select("row", F.posexplode(starts).alias("word", "at"))
+
+
+def _in_slots(said: DataFrame, seeded: DataFrame) -> DataFrame:
+    """The rows of `said` (one per pattern) whose pattern is one of `seeded`.
+
+    A bit filter of fixed size goes to every task first, so that of the words
+    of a large corpus only those in a slot, and few others, are shuffled.
+    """
+    spot = F.xxhash64("pattern").bitwiseAND(2 ** FILTER_BITS - 1)
+    bits = seeded.select(F.shiftright(spot, 6).alias("id"), spot.bitwiseAND(63).cast("int").alias("bit"))
+    bits = bits.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    cells = said.sparkSession.range(0, 2 ** (FILTER_BITS - 6), 1, 1).join(bits, "id", "left")
+    cells = cells.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("cells"))
+    cells = cells.select(F.col("cells.bits").alias("cells"))
+    maybe = said.withColumn("spot", spot).join(
+        F.broadcast(cells), F.expr("(shiftright(cells[cast(shiftright(spot, 6) AS int)], cast(spot & 63 AS int)) & 1L) = 1L"), "left_semi")
+    return stored(maybe.drop("spot"), "maybe").join(seeded.select("pattern"), "pattern")
 
 
-def seed_kind(token: Column) -> Column:
-    """The kind whose base pattern a whole token is, else null."""
-    tests = [F.when(token.rlike(f"^(?:{BASE[k]})$"), valid(k, token)).otherwise(F.lit(False)) for k in KINDS]
-    return F.coalesce(*[F.when(t, F.lit(k)) for k, t in zip(KINDS, tests, strict=True)])
+def seeded_patterns(seeds: DataFrame) -> DataFrame:
+    """(pattern, seeds, n_<kind>): counts of the different seed tokens of each pattern; seeds: (token, pattern, kind), repeats allowed."""
+    seeds = seeds.select("token", "pattern", "kind").distinct()
+    return stored(seeds.groupBy("pattern").agg(F.count("*").alias("seeds"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS]), "patterns")
 
 
-def bootstrap(mentions: DataFrame, rounds: int = ROUNDS, pattern_score: float = PATTERN_SCORE,
+def bootstrap(seeds: DataFrame, unknown: DataFrame, rounds: int = ROUNDS, pattern_score: float = PATTERN_SCORE,
               pattern_seeds: int = PATTERN_SEEDS, token_score: float = TOKEN_SCORE) -> DataFrame:
     """(token, pattern, kind): unknown tokens and the patterns that mark them as a kind.
 
-    mentions: (token, pattern), repeats allowed.  Edges count once, so copies
-    of a text give no evidence, and hot patterns are combined before shuffling.
+    seeds: from `seeded_patterns`; unknown: (token, pattern) of tokens in the slots of those, repeats allowed.
+    Edges count once, so copies of a text give no evidence, and hot patterns are combined before shuffling.
     """
-    edges = mentions.distinct().withColumn("seed", seed_kind(F.col("token")))
-    seeds = edges.groupBy("pattern").agg(F.count("*").alias("tokens"), *[F.count(F.when(F.col("seed") == k, 1)).alias(f"n_{k}") for k in KINDS])
-    # Only patterns that a seed induces can ever score.
-    seeds = stored(seeds.where(reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in KINDS]) > 0), "patterns")
-    edges = stored(edges.join(seeds.select("pattern"), "pattern"), "graph")
-    unknown = edges.where("seed IS NULL").select("token", "pattern")
+    unknown = stored(unknown.select("token", "pattern").distinct(), "graph")
+    seeds = seeds.join(unknown.groupBy("pattern").agg(F.count("*").alias("others")), "pattern", "left")
+    seeds = stored(seeds.withColumn("tokens", F.col("seeds") + F.coalesce("others", F.lit(0))), "patterns")
     score = seeds.select("pattern", *[(F.col(f"n_{k}") / F.col("tokens")).alias(f"s_{k}") for k in KINDS])
     token = None
     for _ in range(rounds):
@@ -127,16 +214,29 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found also holds what the bootstrap adds, which never overlaps a base span.
     Positions are code points, ends exclusive.  A null text counts as empty;
     repeated rows and null identifiers are rows like others; empty input gives
-    an empty result.  Whole texts are read, once.
+    an empty result.  Whole texts are read, once, and stored for the later steps.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[base_spans(text, k).alias(k) for k in KINDS]).alias("base"),
-                       _mentions(text).alias("mentions")).withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows, "pii")
-    said = rows.select("row", F.inline("mentions")).select("row", "start", "end", "token", F.explode("patterns").alias("pattern"))
-    marks = bootstrap(said.select("token", "pattern"), **settings)
-    added = (said.join(marks, ["token", "pattern"]).groupBy("row", "kind").agg(
-        F.collect_set(F.struct("start", "end")).alias("spans")))  # of one document and kind
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct(*[base_spans(text, k).alias(k) for k in KINDS]).alias("base"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pii")
+    spans = stored(rows.select("row", _instances(F.col("text"), "base").alias("instances")).where("size(instances) > 0"), "spans")
+    listed = spans.select("row", F.inline("instances")).select("row", "start", "end", "token", "kind", F.explode("patterns").alias("pattern"))
+    seeded = seeded_patterns(listed.where("kind IS NOT NULL"))
+    said = _in_slots(_units(rows), seeded)
+    # What overlaps an instance is no unknown token; only texts with instances need their words' places for that.
+    taken = _word_starts(rows.join(spans.select("row"), "row", "left_semi")).join(spans.select("row", _borders(F.col("instances")).alias("taken")), "row")
+    said = said.join(taken.join(said.select("row", "word").distinct(), ["row", "word"], "left_semi"), ["row", "word"], "left").where(
+        "taken IS NULL OR NOT exists(taken, b -> b.start < at + end AND at + start < b.end)")
+    word = F.lit(None).cast("int").alias("word")  # instances have their places in the text already
+    columns = ["row", "word", "start", "end", "token", "pattern"]
+    said = stored(said.select(columns).unionByName(
+        listed.where("kind IS NULL").join(seeded.select("pattern"), "pattern", "left_semi").select("row", word, "start", "end", "token", "pattern")), "said")
+    marks = bootstrap(seeded, said.select("token", "pattern"), **settings)
+    marked = stored(said.join(marks, ["token", "pattern"]).select("row", "word", "start", "end", "kind").distinct(), "marked")
+    starts = _word_starts(rows.join(marked.where("word IS NOT NULL").select("row"), "row", "left_semi"))
+    at = F.coalesce("at", F.lit(0).cast("long"))
+    added = (marked.join(starts, ["row", "word"], "left").groupBy("row", "kind").agg(
+        F.collect_set(F.struct((at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"))).alias("spans")))  # of one document and kind
     added = added.groupBy("row").agg(*[F.first(F.when(F.col("kind") == k, F.col("spans")), ignorenulls=True).alias(f"a_{k}") for k in KINDS])
     out = rows.select("row", "doc_id", "base").join(added, "row", "left")
     every = F.concat(*[F.col(f"base.{k}") for k in KINDS])

@@ -274,6 +274,43 @@ def test_pii_bootstrap_adds_unseen_identifiers(spark):
     assert all(got[i].found == got[i].base for i in range(12))
 
 
+def test_pii_seeds_are_base_spans_and_candidates_need_no_digit(spark):
+    name = ["anna", "bert", "cleo", "dora", "emil", "fritz", "gerd", "hans", "ilse", "jana"]
+    card = ["371449635398431", "378282246310005", "371449635398431", "340000000000009", "341111111111111", "343434343434343", "346827630435344", "370000000000002"]
+    rows = [(i, f"{n} says: write mail to {n}.smith@example.org, please") for i, n in enumerate(name)]
+    rows += [(20 + i, f"{n} paid by amex card {c[:4]} {c[4:10]} {c[10:]} yesterday") for i, (n, c) in enumerate(zip(name, card))]
+    rows += [(40 + i, f"see host at http://10.0.0.{i}/path now") for i in range(6)]
+    rows += [(60 + i, f"{n} long: reach mailbox {n * 20}@example.org soon") for i, n in enumerate(name)]
+    extra = [("write mail to anna(at)example.org, please", "anna(at)example.org", "email"), ("paid by amex card pending-x yesterday", "pending-x", "card"),
+             ("see host at http://localhost/path now", None, "ip"), ("reach mailbox nobody(at)example.org soon", "nobody(at)example.org", "email")]
+    rows += [(100 + i, t) for i, (t, _, _) in enumerate(extra)]
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, rows), pattern_score=0.8).collect()}
+    for i, (text, token, kind) in enumerate(extra):
+        want = [(text.index(token), text.index(token) + len(token))] if token else []
+        assert [(x.start, x.end) for x in got[100 + i].found[kind]] == want, text
+    assert all(got[i].found == got[i].base for i, _ in rows if i < 100)
+
+
+def test_pii_instances_and_units_see_the_same_slots(spark):
+    texts = ["tel +1 366 555-1000 or +1 366 555-1001 or +1 366 555-1002 now", "say mailto:a.b@example.org; and (c.d@example.org) or 'x'",
+             "ip http://10.0.0.1/path and 4000 000000 00002x " + "w" * 200 + " e@f.gh \n i@j.kl", "no one", "", "\u00e9 1.2.3.4\n", "=" * 20_000 + " a@b.cd"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    rows = rows.withColumn("base", F.struct(*[pii.base_spans(F.col("text"), k).alias(k) for k in pii.KINDS]))
+    seeds = {(r.row, s.token): s for r in rows.select("row", pii._instances(F.col("text"), "base").alias("i")).collect() for s in r.i}
+    assert {k[1]: s.patterns for k, s in seeds.items() if k[0] == 0} == {
+        "+1 366 555-1000": ["B tel _ or"], "+1 366 555-1001": ["L 555-1000 or", "B or _ or"], "+1 366 555-1002": ["L 555-1001 or", "B or _ now"]}
+    assert seeds[2, "e@f.gh"].patterns[0] == "L 00002x " + "w" * 200 and seeds[2, "10.0.0.1"].kind == "ip"
+    assert seeds[1, "a.b@example.org"].patterns == ["L say mailto:", "B mailto: _ ;"] and seeds[1, "c.d@example.org"].patterns == ["L and (", "B ( _ )"]
+    units = {}
+    for r in pii._units(rows).join(pii._word_starts(rows), ["row", "word"]).collect():
+        assert texts[r.row][r["at"] + r.start:r["at"] + r.end] == r.token
+        units.setdefault((r.row, r["at"] + r.start, r.token), []).append(r.pattern)
+    for (row, token), s in seeds.items():
+        assert texts[row][s.start:s.end] == token
+        assert sorted(units.get((row, s.start, token), s.patterns)) == sorted(s.patterns), (row, token)
+    assert any((row, s.start, token) in units for (row, token), s in seeds.items())
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     rows, k = [], 0
