@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from corpuslens.llm.chat_trees import conversations, digests, linear_replies
 from corpuslens.llm.common import table
 from corpuslens.llm.exact_dedup import exact_dedup
+from corpuslens.llm.hard_negatives import hard_negatives
 from corpuslens.llm.mixing import placed
 from corpuslens.llm.packing import pack_documents, piece_digests
 from corpuslens.llm.pii import KINDS, find_pii, joined_spans
 from corpuslens.llm.secrets import BASE_RULES, MORE_RULES, scan
 from corpuslens.llm.simhash import groups
+from corpuslens.llm.token_counts import count_tokens
 from corpuslens.llm.toxicity import held_out, toxicity
+from corpuslens.llm.turn_repair import damaged, repair_digests, with_ids
 from corpuslens.llm.url_filter import judge
 from corpuslens.llm.vector_lsh import near_vectors
 
@@ -174,3 +177,90 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return rows.select("doc_id", *map(count, base), F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
                        joined(F.col("secrets")).alias("spans"))
+
+
+@query("op11_hard_negatives", r"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS a, a.vec_id AS anchor_id, b.rid AS b, b.vec_id AS vec_id, a.label = b.label AS same,
+             CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.rid <> b.rid AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's positives with their hard negatives; some labels are moved on first."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens."""
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op13_turn_repair", r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hit AS (
+  SELECT said.*, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT),
+           lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) % 20 AS h FROM said, crc),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM rows_),
+told AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                                     WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair FROM seen),
+v AS (
+  SELECT conv_id, count(*) + 1 AS n, {'c': 0, 'p': '', 't': []::VARCHAR[]} AS e, {'c': 6, 'p': 'II', 't': ['user:', 'assistant:']} AS s,
+         {'c': 3, 'p': 'I', 't': ['assistant:']} AS u, {'c': 0, 'p': '', 't': []::VARCHAR[]} AS a FROM told GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n, least(we, {'c': 3 + vu.c, 'p': 'I' || vu.p, 't': ['user:'] || vu.t}), least(ws, {'c': 3 + vu.c, 'p': 'I' || vu.p, 't': ['user:'] || vu.t}),
+         vu, least(wa, {'c': 3 + wu.c, 'p': 'I' || wu.p, 't': ['user:'] || wu.t})
+  FROM (SELECT *, least(wu, {'c': 3 + wa.c, 'p': 'I' || wa.p, 't': ['assistant:'] || wa.t}) AS vu
+        FROM (SELECT conv_id, n,
+                     least({'c': 4 + e.c, 'p': 'D' || e.p, 't': e.t}, CASE WHEN ok AND i = 's' THEN ks WHEN ok AND i = 'u' THEN ku END, CASE WHEN ok THEN ru END) AS we,
+                     least({'c': 4 + s.c, 'p': 'D' || s.p, 't': s.t}, CASE WHEN ok AND i = 'u' THEN ku END, CASE WHEN ok THEN ru END) AS ws,
+                     least({'c': 4 + u.c, 'p': 'D' || u.p, 't': u.t}, CASE WHEN ok AND i = 'a' THEN ka END, CASE WHEN ok THEN ra END) AS wu,
+                     least({'c': 4 + a.c, 'p': 'D' || a.p, 't': a.t}, CASE WHEN ok AND i = 'u' THEN ku END, CASE WHEN ok THEN ru END) AS wa
+              FROM (SELECT r.conv_id, r.n, r.i, e, s, u, a, r.fault NOT IN ('blank', 'duplicate') AS ok,
+                           {'c': x.s.c + cut, 'p': 'K' || x.s.p, 't': [line] || x.s.t} AS ks, {'c': x.u.c + cut, 'p': 'K' || x.u.p, 't': [line] || x.u.t} AS ku,
+                           {'c': x.a.c + cut, 'p': 'K' || x.a.p, 't': [line] || x.a.t} AS ka,
+                           {'c': 3 + x.u.c + cut, 'p': 'R' || x.u.p, 't': ['user:' || r.text] || x.u.t} AS ru,
+                           {'c': 3 + x.a.c + cut, 'p': 'R' || x.a.p, 't': ['assistant:' || r.text] || x.a.t} AS ra
+                    FROM v x JOIN (SELECT *, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS cut, role || ':' || text AS line FROM told) r
+                         ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.n = x.n - 1)))),
+f AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+         count_if(fault = 'truncated') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v.e.c, 0) AS BIGINT) AS cost,
+       coalesce(v.e.p, '') AS audit, sha256(coalesce(array_to_string(v.e.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+     LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM o.conv_id AND v.n = 1
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = with_ids(told.select("conv_id").distinct(), repair_digests(damaged(told)), "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
