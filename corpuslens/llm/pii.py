@@ -2,11 +2,12 @@
 
 Seeds are what the base patterns find (e-mail, IP, card, phone): every valid
 span, with its own context.  The words around a span form lexical patterns.
-Whatever else stands in the slot of a seeded pattern is an unknown token,
-with or without digits.  Patterns and tokens form a graph, and Spark scores it
-in rounds: a pattern by the share of its tokens that are of a kind, an unknown
-token by the mean of its patterns.  Patterns of high confidence and enough
-different seeds then mark unknown tokens.  Everything is DataFrame functions.
+A pattern counts once it has enough different seeds of one kind.  Whatever
+else stands in the slot of such a pattern is an unknown token, with or without
+digits.  Patterns and tokens form a graph, and Spark scores it in rounds until
+nothing crosses a threshold: a pattern by the share of its tokens that are of
+a kind, an unknown token by the mean of its patterns.  Patterns of high
+confidence then mark unknown tokens.  Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -38,10 +39,10 @@ UNIT = (rf"(?<![{INNER}])[{INNER}]*[{ALNUM}]"
         rf"(?:[(\[{{][{INNER}]*[{ALNUM}][)\]}}](?:[{INNER}]*[{ALNUM}])?|['’][{INNER}]*[{ALNUM}])*+")
 #: A word with one unit and what stands before and after it.
 WORD, ONE_UNIT = r"\S+", rf"([^{INNER}]*+)({UNIT})([^{ALNUM}]*+)"
-#: Bits (as a power of two) of the filter that keeps words outside any seeded pattern's slot from being shuffled.
-FILTER_BITS = 22
-#: Rounds of scoring; share of a kind that a pattern needs, different seeds it needs, and score that a token needs.
-ROUNDS, PATTERN_SCORE, PATTERN_SEEDS, TOKEN_SCORE = 3, 0.9, 5, 0.9
+#: Up to so many patterns go to every task as 64-bit numbers, 8 bytes each, so that no word outside their slots is shuffled.
+BROADCAST_PATTERNS = 2_000_000
+#: Rounds of scoring at most; share of a kind that a pattern needs, different seeds it needs, and score that a token needs.
+ROUNDS, PATTERN_SCORE, PATTERN_SEEDS, TOKEN_SCORE = 30, 0.9, 5, 0.9
 
 
 def _digits(token: Column) -> Column:
@@ -163,24 +164,24 @@ def _word_starts(rows: DataFrame) -> DataFrame:
 def _in_slots(said: DataFrame, seeded: DataFrame) -> DataFrame:
     """The rows of `said` (one per pattern) whose pattern is one of `seeded`.
 
-    A bit filter of fixed size goes to every task first, so that of the words
-    of a large corpus only those in a slot, and few others, are shuffled.
+    The patterns' numbers pick the rows first, from every task's own copy while
+    the patterns are few enough, else by a join; equal patterns decide.
+    """
+    numbers = seeded.select(F.xxhash64("pattern").alias("number")).distinct()
+    if seeded.count() <= BROADCAST_PATTERNS:
+        numbers = F.broadcast(numbers)
+    maybe = said.withColumn("number", F.xxhash64("pattern")).join(numbers, "number", "left_semi").drop("number")
+    return stored(maybe, "maybe").join(seeded.select("pattern"), "pattern", "left_semi")
+
+
+def seeded_patterns(seeds: DataFrame, pattern_seeds: int = PATTERN_SEEDS) -> DataFrame:
+    """(pattern, seeds, n_<kind>): counts of the different seed tokens of each pattern with `pattern_seeds` of one kind.
+
+    seeds: (token, pattern, kind), repeats allowed.  Other patterns could never mark a token, and stay out of the graph.
     """
-    spot = F.xxhash64("pattern").bitwiseAND(2 ** FILTER_BITS - 1)
-    bits = seeded.select(F.shiftright(spot, 6).alias("id"), spot.bitwiseAND(63).cast("int").alias("bit"))
-    bits = bits.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    cells = said.sparkSession.range(0, 2 ** (FILTER_BITS - 6), 1, 1).join(bits, "id", "left")
-    cells = cells.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("cells"))
-    cells = cells.select(F.col("cells.bits").alias("cells"))
-    maybe = said.withColumn("spot", spot).join(
-        F.broadcast(cells), F.expr("(shiftright(cells[cast(shiftright(spot, 6) AS int)], cast(spot & 63 AS int)) & 1L) = 1L"), "left_semi")
-    return stored(maybe.drop("spot"), "maybe").join(seeded.select("pattern"), "pattern")
-
-
-def seeded_patterns(seeds: DataFrame) -> DataFrame:
-    """(pattern, seeds, n_<kind>): counts of the different seed tokens of each pattern; seeds: (token, pattern, kind), repeats allowed."""
     seeds = seeds.select("token", "pattern", "kind").distinct()
-    return stored(seeds.groupBy("pattern").agg(F.count("*").alias("seeds"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS]), "patterns")
+    counts = seeds.groupBy("pattern").agg(F.count("*").alias("seeds"), *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS])
+    return stored(counts.where(F.greatest(*[F.col(f"n_{k}") for k in KINDS]) >= pattern_seeds), "patterns")
 
 
 def bootstrap(seeds: DataFrame, unknown: DataFrame, rounds: int = ROUNDS, pattern_score: float = PATTERN_SCORE,
@@ -189,22 +190,37 @@ def bootstrap(seeds: DataFrame, unknown: DataFrame, rounds: int = ROUNDS, patter
 
     seeds: from `seeded_patterns`; unknown: (token, pattern) of tokens in the slots of those, repeats allowed.
     Edges count once, so copies of a text give no evidence, and hot patterns are combined before shuffling.
+    Rounds end with the first in which no pattern and no token crosses its threshold, at the latest after `rounds`.
     """
     unknown = stored(unknown.select("token", "pattern").distinct(), "graph")
     seeds = seeds.join(unknown.groupBy("pattern").agg(F.count("*").alias("others")), "pattern", "left")
     seeds = stored(seeds.withColumn("tokens", F.col("seeds") + F.coalesce("others", F.lit(0))), "patterns")
-    score = seeds.select("pattern", *[(F.col(f"n_{k}") / F.col("tokens")).alias(f"s_{k}") for k in KINDS])
-    token = None
+
+    def sure(prefix, needed, also):
+        """The kinds that are over a threshold."""
+        return F.array_compact(F.array(*[F.when((F.col(f"{prefix}_{k}") >= needed) & also(k), F.lit(k)) for k in KINDS]))
+
+    enough = lambda k: F.col(f"n_{k}") >= pattern_seeds
+    none = F.array().cast("array<string>")
+    score = seeds.select("pattern", *[(F.col(f"n_{k}") / F.col("tokens")).alias(f"s_{k}") for k in KINDS], none.alias("over"), F.lit(True).alias("crossed"))
+    token = unknown.select("token", none.alias("over")).distinct()
     for _ in range(rounds):
-        token = unknown.join(score, "pattern").groupBy("token").agg(*[F.avg(f"s_{k}").alias(f"t_{k}") for k in KINDS])
-        token = stored(token, "tokens")
+        means = unknown.join(score, "pattern").groupBy("token").agg(*[F.avg(f"s_{k}").alias(f"t_{k}") for k in KINDS])
+        over = sure("t", token_score, lambda k: F.lit(True))
+        token = stored(means.join(token.select("token", F.col("over").alias("was")), "token").select(
+            "token", *[f"t_{k}" for k in KINDS], over.alias("over"), (over != F.col("was")).alias("crossed")), "tokens")
         gained = unknown.join(token, "token").groupBy("pattern").agg(*[F.sum(f"t_{k}").alias(f"g_{k}") for k in KINDS])
-        score = stored(seeds.join(gained, "pattern", "left").select(
-            "pattern", *[((F.col(f"n_{k}") + F.coalesce(f"g_{k}", F.lit(0.0))) / F.col("tokens")).alias(f"s_{k}") for k in KINDS]), "scores")
-    sure = F.coalesce(*[F.when((F.col(f"s_{k}") >= pattern_score) & (F.col(f"n_{k}") >= pattern_seeds), F.lit(k)) for k in KINDS])
-    patterns = score.join(seeds, "pattern").select("pattern", sure.alias("kind")).where("kind IS NOT NULL")
-    known = F.coalesce(*[F.when((F.col("kind") == k) & (F.col(f"t_{k}") >= token_score), F.lit(True)) for k in KINDS])
-    return (unknown.join(patterns, "pattern").join(token, "token").where(known).select("token", "pattern", "kind"))
+        shares = seeds.join(gained, "pattern", "left").select("pattern", *[f"n_{k}" for k in KINDS], *[
+            ((F.col(f"n_{k}") + F.coalesce(f"g_{k}", F.lit(0.0))) / F.col("tokens")).alias(f"s_{k}") for k in KINDS])
+        over = sure("s", pattern_score, enough)
+        score = stored(shares.join(score.select("pattern", F.col("over").alias("was")), "pattern").select(
+            "pattern", *[f"s_{k}" for k in KINDS], over.alias("over"), (over != F.col("was")).alias("crossed")), "scores")
+        if score.where("crossed").unionByName(token.where("crossed"), allowMissingColumns=True).isEmpty():
+            break
+    # A pattern marks as the first kind, in the order of KINDS, that it is sure of.
+    patterns = score.where("size(over) > 0").select("pattern", F.get("over", F.lit(0)).alias("kind"))
+    marks = unknown.join(patterns, "pattern").join(token.select("token", "over"), "token")
+    return marks.where(F.array_contains("over", F.col("kind"))).select("token", "pattern", "kind")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -221,11 +237,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pii")
     spans = stored(rows.select("row", _instances(F.col("text"), "base").alias("instances")).where("size(instances) > 0"), "spans")
     listed = spans.select("row", F.inline("instances")).select("row", "start", "end", "token", "kind", F.explode("patterns").alias("pattern"))
-    seeded = seeded_patterns(listed.where("kind IS NOT NULL"))
-    said = _in_slots(_units(rows), seeded)
-    # What overlaps an instance is no unknown token; only texts with instances need their words' places for that.
-    taken = _word_starts(rows.join(spans.select("row"), "row", "left_semi")).join(spans.select("row", _borders(F.col("instances")).alias("taken")), "row")
-    said = said.join(taken.join(said.select("row", "word").distinct(), ["row", "word"], "left_semi"), ["row", "word"], "left").where(
+    seeded = seeded_patterns(listed.where("kind IS NOT NULL"), settings.get("pattern_seeds", PATTERN_SEEDS))
+    said = stored(_in_slots(_units(rows), seeded), "slots")
+    # Where the words in slots start; what overlaps an instance is no unknown token.
+    starts = _word_starts(rows.join(said.select("row").distinct(), "row", "left_semi"))
+    starts = stored(starts.join(said.select("row", "word").distinct(), ["row", "word"], "left_semi"), "starts")
+    taken = starts.join(spans.select("row", _borders(F.col("instances")).alias("taken")), "row")
+    said = said.join(taken, ["row", "word"], "left").where(
         "taken IS NULL OR NOT exists(taken, b -> b.start < at + end AND at + start < b.end)")
     word = F.lit(None).cast("int").alias("word")  # instances have their places in the text already
     columns = ["row", "word", "start", "end", "token", "pattern"]
@@ -233,7 +251,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         listed.where("kind IS NULL").join(seeded.select("pattern"), "pattern", "left_semi").select("row", word, "start", "end", "token", "pattern")), "said")
     marks = bootstrap(seeded, said.select("token", "pattern"), **settings)
     marked = stored(said.join(marks, ["token", "pattern"]).select("row", "word", "start", "end", "kind").distinct(), "marked")
-    starts = _word_starts(rows.join(marked.where("word IS NOT NULL").select("row"), "row", "left_semi"))
     at = F.coalesce("at", F.lit(0).cast("long"))
     added = (marked.join(starts, ["row", "word"], "left").groupBy("row", "kind").agg(
         F.collect_set(F.struct((at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"))).alias("spans")))  # of one document and kind
