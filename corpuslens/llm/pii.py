@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import match_spans, prefix_sums, stored
+from corpuslens.llm.common import match_spans, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's base patterns.  Each may only start where a run starts (or the last match ended) and never gives
@@ -129,33 +129,36 @@ def _instances(text: Column, base: str) -> Column:
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """(row, place, start, end, token, pattern) of every UNIT of the texts: where its word starts, place inside it, whole words around.
+    """(row, word, start, end, token, pattern) of every UNIT of the texts: number of the word, place inside it, whole words around.
 
     Words of one unit, nearly all, go without higher-order functions, which generated code can't hold.
     """
     words = F.col("w")
-    rows = rows.select("row", F.regexp_extract_all("text", F.lit(WORD), 0).alias("w"), F.split("text", WORD, -1).alias("gaps"))
-    steps = F.zip_with(F.slice("gaps", F.lit(1), F.size("w")), words, lambda g, t: (F.length(g) + F.length(t)).cast("long"))
-    rows = rows.select("row", "w", steps.alias("steps")).select("row", "w", prefix_sums(F.col("steps"), 128).alias("ends"))
-    zipped = F.arrays_zip(F.slice("ends", F.lit(2), F.size("w")).alias("stop"), F.concat(F.array(F.lit(""), F.lit("")), words).alias("before"), F.concat(F.array(F.lit("")), words).alias("near"),
+    zipped = F.arrays_zip(F.concat(F.array(F.lit(""), F.lit("")), words).alias("before"), F.concat(F.array(F.lit("")), words).alias("near"),
                           words.alias("text"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("after"))
-    said = rows.select("row", F.explode(zipped).alias("x")).select("row", "x.*").where("text IS NOT NULL")
-    said = said.select("row", (F.col("stop") - F.length("text")).alias("place"), "before", "near", "text", "after")
+    said = rows.select("row", F.regexp_extract_all("text", F.lit(WORD), 0).alias("w")).select("row", F.posexplode(zipped).alias("word", "x"))
+    said = said.select("row", "word", "x.*").where("text IS NOT NULL")
     text = F.col("text")
     plain = text.rlike(r"^[a-zA-Z0-9]++\z")
     single, some = plain | text.rlike(rf"^{ONE_UNIT}\z"), text.rlike(rf"[{ALNUM}]")
     parts = [F.when(plain, text if k == 2 else F.lit("")).otherwise(F.regexp_extract(text, rf"^{ONE_UNIT}\z", k)) for k in (1, 2, 3)]
-    one = said.where(single).select("row", "place", "before", "near", "after", *[p.alias(n) for p, n in zip(parts, ("left", "token", "right"), strict=True)])
+    one = said.where(single).select("row", "word", "before", "near", "after", *[p.alias(n) for p, n in zip(parts, ("left", "token", "right"), strict=True)])
     one = one.select("*", F.length("left").cast("long").alias("start"), F.length(F.concat("left", "token")).cast("long").alias("end"))
-    more = said.where(~single & some).select("row", "place", "before", "near", "after", F.inline(match_spans(text, UNIT, around=True)))
+    more = said.where(~single & some).select("row", "word", "before", "near", "after", F.inline(match_spans(text, UNIT, around=True)))
     both = one.unionByName(more)
     joined = F.col("left") != ""
     near = F.when(joined, _joined(F.col("left"))).otherwise(F.col("near"))
     before = F.when(joined, F.col("near")).otherwise(F.col("before"))
     after = F.when(F.col("right") != "", _joined_after(F.col("right"))).otherwise(F.coalesce("after", F.lit("")))
-    both = both.select("row", "place", "start", "end", "token", before.alias("before"), near.alias("near"), after.alias("after"))
+    both = both.select("row", "word", "start", "end", "token", before.alias("before"), near.alias("near"), after.alias("after"))
     slots = _patterns(F.col("before"), F.col("near"), F.col("after"))
-    return both.select("row", "place", "start", "end", "token", F.explode(slots).alias("pattern")).where("pattern IS NOT NULL")
+    return both.select("row", "word", "start", "end", "token", F.explode(slots).alias("pattern")).where("pattern IS NOT NULL")
+
+
+def _word_starts(rows: DataFrame) -> DataFrame:
+    """(row, word, at): where each word of the texts starts."""
+    starts = F.transform(match_spans(F.col("text"), WORD), lambda m: m["start"])
+    return rows.select("row", F.posexplode(starts).alias("word", "at"))
 
 
 def _in_slots(said: DataFrame, seeded: DataFrame) -> DataFrame:
@@ -235,14 +238,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     spans = stored(rows.select("row", _instances(F.col("text"), "base").alias("instances")).where("size(instances) > 0"), "spans")
     listed = spans.select("row", F.inline("instances")).select("row", "start", "end", "token", "kind", F.explode("patterns").alias("pattern"))
     seeded = seeded_patterns(listed.where("kind IS NOT NULL"), settings.get("pattern_seeds", PATTERN_SEEDS))
-    said = _in_slots(_units(rows), seeded).select("row", (F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("end")).alias("end"), "token", "pattern")
-    # What overlaps an instance is no unknown token.
-    said = said.join(spans.select("row", _borders(F.col("instances")).alias("taken")), "row", "left").where(
-        "taken IS NULL OR NOT exists(taken, b -> b.start < end AND start < b.end)").drop("taken")
-    long = listed.where("kind IS NULL").join(seeded.select("pattern"), "pattern", "left_semi").select("row", "start", "end", "token", "pattern")
-    said = stored(said.unionByName(long), "said")
+    said = stored(_in_slots(_units(rows), seeded), "slots")
+    # What overlaps an instance is no unknown token; only texts with instances need their words' places for that.
+    both = spans.join(said.select("row").distinct(), "row", "left_semi")
+    starts = _word_starts(rows.join(both.select("row"), "row", "left_semi")).join(said.select("row", "word").distinct(), ["row", "word"], "left_semi")
+    taken = starts.join(both.select("row", _borders(F.col("instances")).alias("taken")), "row")
+    said = said.join(taken, ["row", "word"], "left").where(
+        "taken IS NULL OR NOT exists(taken, b -> b.start < at + end AND at + start < b.end)")
+    word = F.lit(None).cast("int").alias("word")  # instances have their places in the text already
+    columns = ["row", "word", "start", "end", "token", "pattern"]
+    said = stored(said.select(columns).unionByName(
+        listed.where("kind IS NULL").join(seeded.select("pattern"), "pattern", "left_semi").select("row", word, "start", "end", "token", "pattern")), "said")
     marks = bootstrap(seeded, said.select("token", "pattern"), **settings)
-    added = said.join(marks, ["token", "pattern"]).groupBy("row", "kind").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # of one document and kind
+    marked = stored(said.join(marks, ["token", "pattern"]).select("row", "word", "start", "end", "kind").distinct(), "marked")
+    starts = _word_starts(rows.join(marked.where("word IS NOT NULL").select("row").distinct(), "row", "left_semi"))
+    at = F.coalesce("at", F.lit(0).cast("long"))
+    added = (marked.join(starts, ["row", "word"], "left").groupBy("row", "kind").agg(
+        F.collect_set(F.struct((at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"))).alias("spans")))  # of one document and kind
     added = added.groupBy("row").agg(*[F.first(F.when(F.col("kind") == k, F.col("spans")), ignorenulls=True).alias(f"a_{k}") for k in KINDS])
     out = rows.select("row", "doc_id", "base").join(added, "row", "left")
     every = F.concat(*[F.col(f"base.{k}") for k in KINDS])
