@@ -185,13 +185,14 @@ def restore_snapshot(current: DataFrame, snapshot: DataFrame,
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(repo, path, change) with change in added / removed / modified / unchanged."""
-    b = before.select("repo", "path", F.xxhash64("content").alias("h0"), F.length("content").alias("n0"))
-    a = after.select("repo", "path", F.xxhash64("content").alias("h1"), F.length("content").alias("n1"))
+    """(repo, path, change) with change in added / removed / modified / unchanged; equal SHA-256 digests are equal texts."""
+    digest = F.sha2(F.coalesce("content", F.lit("")), 256)
+    b = before.select("repo", "path", digest.alias("h0"))
+    a = after.select("repo", "path", digest.alias("h1"))
     j = b.join(a, ["repo", "path"], "full")
     change = (F.when(F.col("h0").isNull(), F.lit("added"))
               .when(F.col("h1").isNull(), F.lit("removed"))
-              .when((F.col("h0") != F.col("h1")) | (F.col("n0") != F.col("n1")), F.lit("modified"))
+              .when(F.col("h0") != F.col("h1"), F.lit("modified"))
               .otherwise(F.lit("unchanged")))
     return j.select("repo", "path", change.alias("change"))
 

@@ -274,3 +274,24 @@ def q_payload_audit(spark, sf_dir):
     cmd = F.when(F.col("event_type") == "signup", F.replace("cmd", F.lit(" "), F.lit("\t"))).otherwise(F.col("cmd"))
     p = c.select("event_id", F.struct(F.lit("shell").alias("tool"), cmd.alias("cmd")).alias("payload"))
     return guardrails.audit_payloads(p).select("event_id", "rule_id", "blocked")
+
+
+# ------------------------------------------------ neighbours on ties ----
+_TIED = "CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 1 ELSE user_id % 50 END"
+
+
+@query("neighbors_tied", f"""
+WITH e AS (SELECT {_TIED} AS run_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE date_trunc('month', ts) END AS month, event_id, event_type FROM events)
+SELECT coalesce(run_id, -1) AS run_id, event_id, coalesce(lag(event_id) OVER w, -1) AS prev_event_id, coalesce(lead(event_id) OVER w, -1) AS next_event_id,
+       lag(event_type) OVER w AS prev_event_type, lead(event_type) OVER w AS next_event_type
+FROM e WINDOW w AS (PARTITION BY run_id ORDER BY month NULLS FIRST, event_id)
+""")
+def q_neighbors_tied(spark, sf_dir):
+    """Neighbours where many rows share an order value, keys and order values are null and one key holds a third of all rows."""
+    from corpuslens.operators import sequence
+    month = F.when(F.col("event_id") % 11 != 0, F.date_trunc("month", F.col("ts").cast("timestamp")))
+    e = table(spark, sf_dir, "events").select(F.expr(_TIED).alias("run_id"), month.alias("month"), "event_id", "event_type")
+    out = sequence.neighbors(e, "run_id", ["month"], ["event_id", "event_type"], partitions=50)
+    none = F.lit(-1).cast("long")
+    return out.select(*[F.coalesce(F.col(c).cast("long"), none).alias(c) for c in ("run_id", "event_id", "prev_event_id", "next_event_id")],
+                      "prev_event_type", "next_event_type")

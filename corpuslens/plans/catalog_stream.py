@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpuslens.operators import vuln
 from corpuslens.plans import catalog_runs as R
-from corpuslens.plans.catalog import (ORDER_SRC_SQL, _applied, _expected_findings_sql,
-                                      _expected_patch_sql, _order_findings, query, table)
+from corpuslens.plans.catalog import (ORDER_FILES_SQL, ORDER_SRC_SQL, _applied, _expected_findings_sql, _expected_patch_sql,
+                                      _order_findings, _report_sql, order_files, query, table, table_sql)
 from corpuslens.session import shared_dir
-from corpuslens.sources import corpus, logs, sinks
-from corpuslens.streaming import jobs
+from corpuslens.sources import corpus, logs, sinks, tree
+from corpuslens.streaming import jobs, tracker
 
 
 # ------------------------------------------------------------------- S1 --
@@ -182,16 +183,22 @@ def q_stream_scan(spark, sf_dir):
 
 
 # ---------------------------------------------------------- A1 / A7 / A8 --
-@query("corpus_scan", """
-SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size_bytes, md5(text || chr(10)) AS content_md5 FROM documents
+SCAN_PATH_SQL = """CASE doc_id % 6 WHEN 0 THEN '_internal/doc_' || {id} || '.py' WHEN 1 THEN 'pkg_' || {id} || '/__init__.py'
+    WHEN 2 THEN '.hidden/doc_' || {id} || '.py' WHEN 3 THEN 'src/.env_' || {id} || '.py' WHEN 4 THEN 'src/s p/doc ' || {id} || '%20.py'
+    ELSE 'src/notes/doc_' || {id} || '.md' END""".format(id="CAST(doc_id AS STRING)")
+
+
+@query("corpus_scan", f"""
+SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,
+       md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_md5
+FROM (SELECT {SCAN_PATH_SQL} AS path, text FROM documents) WHERE path LIKE '%.py' AND octet_length(encode(text)) <= 50000
 """)
 def q_corpus_scan(spark, sf_dir):
-    """Every document written as a file of its own, and the folder scanned with contents."""
+    """Every document written as a file of its own, names with _ and . among them, and the folder scanned with contents."""
     root = shared_dir(spark, f"corpus-{uuid.uuid4().hex[:8]}")
-    table(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(root)
-    files = corpus.scan_corpus(spark, root, exts=[".txt", ".text"])
-    return files.select(F.regexp_extract("path", r"^doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "size_bytes",
-                        F.md5("content").alias("content_md5"))
+    tree.write_files(table(spark, sf_dir, "documents").selectExpr(f"{SCAN_PATH_SQL} AS path", "text AS content"), root)
+    files = corpus.scan_corpus(spark, root, exts=[".py"], max_bytes=50_000)
+    return files.select("path", "size_bytes", F.md5("content").alias("content_md5"))
 
 
 @query("remediated_export", f"""
@@ -218,6 +225,85 @@ def q_findings_sink(spark, sf_dir):
                        "severity", "code", "description")
 
 
+@query("remediated_status", f"""
+WITH {_expected_patch_sql()},
+r AS (SELECT 'run_' || substr(repo, 6, 1) AS run_id, path, status, new_content FROM pexp),
+asked AS (SELECT DISTINCT run_id FROM r UNION ALL SELECT 'run_x')
+SELECT asked.run_id, CASE WHEN count(r.path) FILTER (status = 'APPLIED') > 0 THEN 'EXPORTED'
+                          WHEN count(r.path) > 0 THEN 'NOTHING_MODIFIED' ELSE 'UNKNOWN_RUN' END AS status,
+       CAST(count(r.path) FILTER (status = 'APPLIED') AS BIGINT) AS files,
+       CAST(coalesce(sum(octet_length(encode(new_content))) FILTER (status = 'APPLIED'), 0) AS BIGINT) AS bytes
+FROM asked LEFT JOIN r ON asked.run_id = r.run_id GROUP BY asked.run_id
+""")
+def q_remediated_status(spark, sf_dir):
+    """What an export says of every asked run, one of them unknown; runs are cut into parts of 64 KB here."""
+    applied = _applied(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run_"), F.substring("repo", 6, 1)))
+    asked = applied.select("run_id").unionByName(spark.createDataFrame([("run_x",)], "run_id string"))
+    return sinks.write_remediated(applied, shared_dir(spark, f"remediated-{uuid.uuid4().hex[:8]}"), asked=asked, task_bytes=1 << 16)
+
+
+#: What the second scan of the findings stream holds: F orders' files are emptied, P orders' get another fault, O orders' aren't scanned.
+RESCAN_SQL = "CASE o_orderstatus WHEN 'F' THEN '' ELSE 'def f(x):' || chr(10) || '    exec(x)' || chr(10) END"
+
+
+@query("findings_upsert_stream", f"""
+WITH {_expected_findings_sql()}
+SELECT exp.repo, exp.path, CAST(line AS INTEGER) AS line, cwe, code FROM exp JOIN ofiles ON exp.repo = ofiles.repo AND exp.path = ofiles.path
+WHERE o_orderstatus = 'O'
+UNION ALL
+SELECT repo, path, 2, 'CWE-94', 'exec(x)' FROM ofiles WHERE o_orderstatus NOT IN ('F', 'O')
+""")
+def q_findings_upsert_stream(spark, sf_dir):
+    """All files stream into a findings table, then changed ones; the second trigger runs twice, as after a failure."""
+    base = shared_dir(spark, f"findings-{uuid.uuid4().hex[:8]}")
+    files = table_sql(spark, sf_dir, ORDER_FILES_SQL)
+    first = files.select("repo", "path", "content", F.lit(1).alias("scan"))
+    again = files.where("o_orderstatus <> 'O'").selectExpr("repo", "path", f"{RESCAN_SQL} AS content", "2 AS scan")
+    for scan in (first, again):
+        scan.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(first.schema).parquet(f"{base}/in")
+        jobs.stream_findings(source, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    assert not sinks.upsert_findings(spark.createDataFrame([], sinks.FINDINGS_SCHEMA), again, f"{base}/table", 1)
+    return sinks.read_findings(spark, f"{base}/table").select("repo", "path", "line", "cwe", "code")
+
+
+@query("report_sink", f"""
+WITH {_report_sql()}
+SELECT repo, n_findings, CAST(length(report) AS BIGINT) AS report_chars, md5(report) AS report_md5 FROM rep
+""")
+def q_report_sink(spark, sf_dir):
+    """Reports written as numbered parts in order, read back and digested line by line."""
+    path = shared_dir(spark, f"report-{uuid.uuid4().hex[:8]}")
+    sinks.write_report(vuln.findings_report_lines(_order_findings(spark, sf_dir), order_files(spark, sf_dir)), path)
+    return sinks.report_digests(sinks.read_report(spark, path))
+
+
+@query("stream_run_tracker", f"""
+WITH r AS ({R.RUN_SQL}),
+l AS (SELECT *, lag(state) OVER (PARTITION BY run_id ORDER BY seq) AS prev_state FROM r),
+j AS (SELECT l.*, e.state IS NULL AND l.prev_state IS NOT NULL AS illegal
+      FROM l LEFT JOIN {R.EDGES_SQL} ON l.prev_state = e.prev_state AND l.state = e.state)
+SELECT run_id, arg_max(state, seq) AS final_state, CAST(count(*) FILTER (WHERE state = 'PATCH') AS BIGINT) AS attempts,
+       CAST(count(*) FILTER (WHERE illegal) AS BIGINT) AS illegal_transitions,
+       arg_max(state, seq) IN ('COMPLETED', 'ERROR') AS terminal, CAST(count(*) AS BIGINT) AS n_events
+FROM j GROUP BY run_id
+""")
+def q_stream_run_tracker(spark, sf_dir):
+    """Events in three files that overlap by up to an hour, so that some come late, over two starts of one tracker."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+                                              F.expr(R._case("event_type", R.STATE_BY_EVENT)).alias("state"))
+    base = shared_dir(spark, f"tracker-{uuid.uuid4().hex[:8]}")
+    low, high = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    third = ((high or 0) - (low or 0)) // 3 + 1
+    arrives = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3600))
+    slot = F.least(F.floor((arrives - (low or 0)) / third), F.lit(2))
+    for i, stop in ((0, False), (1, True), (2, True)):
+        e.where(slot == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if stop:
+            source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            tracker.start_tracker(tracker.stream_run_tracker(source, delay="1 hour"), base).awaitTermination()
+    return jobs.latest_run_state(spark.read.parquet(f"{base}/rows"))
+
 
 @query("stream_run_state_tables", f"""
 WITH r AS ({R.RUN_SQL}),

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpuslens import rules
 from corpuslens.operators import guardrails, telemetry, vuln
 from corpuslens.session import shared_dir
+from corpuslens.sources import sinks
 from corpuslens.sources.logs import parse_log_lines
+from corpuslens.streaming.tracker import legal_pairs
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -30,14 +31,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(sf_dir)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream to completion (availableNow) into parquet under spark.checkpoint.dir; read it back.
 
-    The checkpoint sits next to the output in the shared folder, so a restarted
-    query resumes where it stopped and the file sink stays exactly-once.
+    The checkpoint sits next to the output.  Without `folder`, both get a new
+    one; a call with the `folder` of an earlier one goes on where that ended,
+    and the file sink stays exactly-once.
     """
     spark = df.sparkSession
-    base = shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+    base = folder or shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
     q = (df.writeStream.outputMode(mode).format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
@@ -85,11 +87,6 @@ _STATE_SCHEMA = ("n_events LONG, last_ts TIMESTAMP, last_event_id LONG, last_sta
                  "illegal LONG")
 
 
-def _legal_pairs() -> set[tuple[str, str]]:
-    pairs = {(s, n) for s, _, n in (*rules.RULE_TRANSITIONS, *rules.CODED_TRANSITIONS)}
-    return pairs | {("COMPLETED", "COMPLETED")}  # a run may say COMPLETED more than once
-
-
 def _run_state_fn(legal: set, terminal: tuple):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
@@ -120,7 +117,7 @@ def stream_run_state(events: DataFrame, terminal=("COMPLETED", "ERROR")) -> Data
     tasks.  The state kept between triggers is six values per run.  The summary
     emitted last for a run (largest n_events) is its current state.
     """
-    fn = _run_state_fn(_legal_pairs(), terminal)
+    fn = _run_state_fn(legal_pairs(), terminal)
     return (events.groupBy("run_id")
             .applyInPandasWithState(fn, RUN_STATE_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
 
@@ -156,6 +153,22 @@ def stream_scan(files: DataFrame) -> DataFrame:
     return vuln.findings(vuln.python_facts(vuln.ast_path_skip(files), ruled_only=True))
 
 
+def stream_findings(files: DataFrame, path: str, checkpoint: str, version_col: str = "scan"):
+    """Start a stream of (repo, path, content, scan) that keeps a findings table at its files' last scans.
+
+    Of a file that comes several times in one trigger the last scan counts.  Each
+    trigger is one version of the table; a trigger repeated after a failure
+    changes nothing.  Returns the StreamingQuery.
+    """
+    def on_batch(batch: DataFrame, epoch_id: int) -> None:
+        last = batch.groupBy("repo", "path").agg(F.max_by("content", version_col).alias("content"))
+        last = last.persist()  # scanned and listed
+        sinks.upsert_findings(vuln.scan_findings(last), last, path, epoch_id)
+        last.unpersist()
+
+    return files.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 # ------------------------------------------------------- S2, Spark-only --
 STATE_TABLE_COLS = ("run_id", "n_events", "last_ts", "last_event_id", "final_state", "attempts", "illegal_transitions")
 
@@ -166,9 +179,9 @@ def _merge_run_batch(batch: DataFrame, prev: DataFrame | None, edges: DataFrame)
     ev = batch.select("run_id", "event_id", "ts", "state")
     nb = sequence.neighbors(ev, "run_id", ["ts", "event_id"], ["state"]).drop("next_state")
     if prev is not None:
-        carried = prev.select("run_id", F.col("final_state").alias("_carried"))
-        nb = (nb.join(carried, "run_id", "left")
-              .withColumn("prev_state", F.coalesce("prev_state", "_carried")).drop("_carried"))
+        carried = prev.select(F.col("run_id").alias("_run"), F.col("final_state").alias("_carried"))
+        nb = (nb.join(carried, F.col("run_id").eqNullSafe(F.col("_run")), "left")
+              .withColumn("prev_state", F.coalesce("prev_state", "_carried")).drop("_run", "_carried"))
     legal = (edges.select(F.col("state").alias("prev_state"), F.col("next_state").alias("state"))
                         .distinct().withColumn("_ok", F.lit(True)))  # fixed 13-edge dimension
     j = nb.join(legal, ["prev_state", "state"], "left")
@@ -182,7 +195,9 @@ def _merge_run_batch(batch: DataFrame, prev: DataFrame | None, edges: DataFrame)
         return agg.select("run_id", F.col("n").alias("n_events"), F.col("l.ts").alias("last_ts"),
                           F.col("l.event_id").alias("last_event_id"), F.col("l.state").alias("final_state"),
                           F.col("a").alias("attempts"), F.col("i").alias("illegal_transitions"))
-    m = prev.join(agg, "run_id", "full")
+    fresh = agg.withColumnRenamed("run_id", "_run").withColumn("_new", F.lit(True))
+    m = prev.join(fresh, F.col("run_id").eqNullSafe(F.col("_run")), "full")
+    m = m.withColumn("run_id", F.when(F.col("_new"), F.col("_run")).otherwise(F.col("run_id")))
     z = F.lit(0).cast("long")
     return m.select(
         "run_id",
