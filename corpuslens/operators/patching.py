@@ -31,20 +31,28 @@ def _sections(t: Column) -> Column:
 
 
 def patches_without_chunks(patch_texts: DataFrame) -> DataFrame:
-    """The patches (all columns but text) that hold no chunk at all, with status NO_CHUNKS; `parse_patch` has no row for them."""
+    """The patches (all columns but text) that hold no chunk at all, with status NO_CHUNKS."""
     keys = [c for c in patch_texts.columns if c != "text"]
     some = F.exists(_sections(F.coalesce("text", F.lit(""))), lambda s: s["body"].rlike(CHUNK_RE))
     return patch_texts.where(~some).select(*keys, F.lit(NO_CHUNKS).alias("status"))
 
 
-def parse_patch(patch_texts: DataFrame) -> DataFrame:
+def parse_patch(patch_texts: DataFrame, keep_empty: bool = False) -> DataFrame:
     """(…, patch_id, text) -> (…, patch_id, file_ord, path, chunk_ord, search, replace, parse_warning).
 
     Sections start at line-initial 'FILE:'; text before the first header is
     ignored.  Without any header the whole text is one nameless section
-    (path '').  Sections without chunks vanish.
+    (path '').  Sections without chunks vanish.  With `keep_empty`, a patch
+    without any chunk leaves one row with a null chunk_ord, which
+    `apply_patches` answers with NO_CHUNKS.
     """
     keys = [c for c in patch_texts.columns if c != "text"]
+    if keep_empty:
+        null = F.lit(None)
+        none = patches_without_chunks(patch_texts).select(
+            *keys, F.lit(-1).alias("file_ord"), null.cast("string").alias("path"), null.cast("int").alias("chunk_ord"), null.cast("string").alias("search"),
+            null.cast("string").alias("replace"), F.lit(False).alias("parse_warning"))
+        return parse_patch(patch_texts).unionByName(none)
     sec = patch_texts.select(*keys, F.posexplode(_sections(F.col("text"))).alias("file_ord", "s"))
     chunks = F.arrays_zip(F.regexp_extract_all(F.col("s.body"), F.lit(CHUNK_RE), 1).alias("search"),
                           F.regexp_extract_all(F.col("s.body"), F.lit(CHUNK_RE), 2).alias("replace"))
@@ -107,8 +115,31 @@ def _fold(text: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, init, step)
 
 
+def _streamed(files: DataFrame, sections: DataFrame, strict: bool) -> DataFrame:
+    """Outcomes of sections (repo, patch_id, target, file_ord, chunks) with each file held once; see `patch_stream`."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from corpuslens.operators import patch_stream
+
+    one_file = ["repo", "target", "patch_id"] if strict else ["repo", "target"]
+    status = F.when(F.col("target").isNull(), F.lit(NO_TARGET)).when(escapes_base(F.col("target")), F.lit(TRAVERSAL))
+    rows = sections.select(*one_file, *[c for c in ("patch_id",) if c not in one_file], "file_ord", "chunks", status.alias("status"), F.lit(True).alias("is_section"),
+                           F.lit(None).cast("string").alias("content"))
+    named = files.select("repo", F.col("path").alias("target"), "content")
+    held = sections.where(F.col("target").isNotNull() & ~escapes_base(F.col("target"))).select(*one_file).distinct().join(named, ["repo", "target"])
+    rows = rows.unionByName(held.withColumn("is_section", F.lit(False)), allowMissingColumns=True)
+    rows = rows.repartition(*one_file).sortWithinPartitions(*one_file, "is_section", "patch_id", "file_ord")
+    id_type = sections.schema["patch_id"].dataType
+    shape = pa.schema([("repo", pa.string()), ("path", pa.string()), ("_was", pa.string()), ("patch_id", to_arrow_type(id_type)), ("file_ord", pa.int32()),
+                       ("status", pa.string()), ("chunks_applied", pa.int32()), ("match_kind", pa.string()), ("new_content", pa.string()), ("error", pa.string())])
+    return rows.mapInArrow(patch_stream.sections_applied(shape, strict, OK, NOT_FOUND, SEARCH_MISS),
+                           f"repo string, path string, _was string, patch_id {id_type.simpleString()}, file_ord int, status string, chunks_applied int, "
+                           "match_kind string, new_content string, error string")
+
+
 def apply_patches(files: DataFrame, patches: DataFrame, default_file: str | None = None,
-                  strict: bool = False) -> DataFrame:
+                  strict: bool = False, hot_files: bool = False) -> DataFrame:
     """Apply parsed chunks to files.
 
     files: (repo, path, content); patches: (repo, patch_id, file_ord, path, chunk_ord, search, replace).
@@ -119,15 +150,38 @@ def apply_patches(files: DataFrame, patches: DataFrame, default_file: str | None
     with other whitespace (FUZZY).  Paths are normalised before they are looked up.  A failure is a status, never an
     exception; with `strict`, any failure in a patch marks its other sections ABORTED (no chunk applied, the original
     content), and since a patch may be taken back as a whole, each patch works on the original files.
+
+    A file's sections normally meet in its row, which suits files with a few.  With `hot_files` they stream past
+    the file's text instead, with the same result: for inputs where a file may get thousands.  A patch without
+    chunks (see `parse_patch`) gives one row with file_ord -1 and NO_CHUNKS.
     """
+    empty = patches.where(F.col("chunk_ord").isNull())
+    patches = patches.where(F.col("chunk_ord").isNotNull())
     one_file = ["repo", "patch_id", "target"] if strict else ["repo", "target"]
     raw = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit(default_file))
     target = F.when(escapes_base(raw), raw).otherwise(normalised_path(raw))
     sections = (patches.withColumn("target", target)
                 .groupBy("repo", "patch_id", "target", "file_ord")
-                .agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "search", "replace"))).alias("chunks"))
-                .groupBy(*one_file)
-                .agg(F.array_sort(F.collect_list(F.struct("patch_id", "file_ord", "chunks"))).alias("sections")))
+                .agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "search", "replace"))).alias("chunks")))
+    out = _streamed(files, sections, strict) if hot_files else _gathered(files, sections, one_file)
+    if strict:
+        w = Window.partitionBy("repo", "patch_id")
+        out = out.withColumn("_bad", F.max((F.col("status") != OK).cast("int")).over(w) > 0)
+        out = (out.withColumn("new_content", F.when(F.col("_bad"), F.col("_was")).otherwise(F.col("new_content")))
+               .withColumn("chunks_applied", F.when(F.col("_bad"), F.lit(0)).otherwise(F.col("chunks_applied")))
+               .withColumn("match_kind", F.when(~F.col("_bad"), F.col("match_kind")))
+               .withColumn("status", F.when(F.col("_bad") & (F.col("status") == OK), F.lit(ABORTED)).otherwise(F.col("status"))))
+    columns = ["repo", "patch_id", "file_ord", "path", "status", "chunks_applied", "match_kind", "new_content", "error"]
+    null = F.lit(None).cast("string")
+    none = empty.select("repo", "patch_id", "file_ord", null.alias("path"), F.lit(NO_CHUNKS).alias("status"), F.lit(0).alias("chunks_applied"),
+                        *[null.alias(c) for c in columns[6:]])
+    return out.select(*columns).unionByName(none)
+
+
+def _gathered(files: DataFrame, sections: DataFrame, one_file: list[str]) -> DataFrame:
+    """Outcomes of sections, those on one file folded in its row."""
+    id_type = sections.schema["patch_id"].dataType.simpleString()
+    sections = sections.groupBy(*one_file).agg(F.array_sort(F.collect_list(F.struct("patch_id", "file_ord", "chunks"))).alias("sections"))
     joined = sections.join(files.select("repo", F.col("path").alias("target"), "content"), ["repo", "target"], "left")
 
     def outcome(sec, st, text, applied, fuzzy, failed):
@@ -144,7 +198,6 @@ def apply_patches(files: DataFrame, patches: DataFrame, default_file: str | None
         return let(_fold(acc["text"], sec["chunks"]), after)
 
     content = F.col("content")
-    id_type = patches.schema["patch_id"].dataType.simpleString()
     rows = (f"array<struct<patch_id:{id_type},file_ord:int,status:string,chunks_applied:int,match_kind:string,"
             "new_content:string,error:string>>")
     folded = F.aggregate("sections", F.struct(content.alias("text"), F.array().cast(rows).alias("rows")), step)["rows"]
@@ -152,17 +205,8 @@ def apply_patches(files: DataFrame, patches: DataFrame, default_file: str | None
               .otherwise(F.lit(NOT_FOUND)))
     none = F.transform("sections", lambda s: outcome(s, status, content, F.lit(0), F.lit(False), F.lit(None).cast("string")))
     usable = content.isNotNull() & F.col("target").isNotNull() & ~escapes_base(F.col("target"))
-    out = joined.select("repo", F.col("target").alias("path"), content.alias("_was"),
-                        F.inline(F.when(usable, folded).otherwise(none)))
-    if strict:
-        w = Window.partitionBy("repo", "patch_id")
-        out = out.withColumn("_bad", F.max((F.col("status") != OK).cast("int")).over(w) > 0)
-        out = (out.withColumn("new_content", F.when(F.col("_bad"), F.col("_was")).otherwise(F.col("new_content")))
-               .withColumn("chunks_applied", F.when(F.col("_bad"), F.lit(0)).otherwise(F.col("chunks_applied")))
-               .withColumn("match_kind", F.when(~F.col("_bad"), F.col("match_kind")))
-               .withColumn("status", F.when(F.col("_bad") & (F.col("status") == OK), F.lit(ABORTED)).otherwise(F.col("status"))))
-    return out.select("repo", "patch_id", "file_ord", "path", "status", "chunks_applied", "match_kind", "new_content",
-                      "error")
+    return joined.select("repo", F.col("target").alias("path"), content.alias("_was"),
+                         F.inline(F.when(usable, folded).otherwise(none)))
 
 
 def patched_files(files: DataFrame, applied: DataFrame) -> DataFrame:

@@ -485,6 +485,43 @@ pexp AS (
 )"""
 
 
+@query("patch_no_chunks", f"""
+WITH {_expected_patch_sql()}
+SELECT repo, patch_id, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE path END AS path, CASE WHEN o_orderstatus = 'F' THEN 'NO_CHUNKS' ELSE status END AS status,
+       CASE WHEN o_orderstatus = 'F' THEN 0 ELSE chunks_applied END AS chunks_applied
+FROM pexp JOIN (SELECT o_orderkey, o_orderstatus FROM orders) ON patch_id = o_orderkey
+""")
+def q_patch_no_chunks(spark, sf_dir):
+    """Patches of which those on F orders hold no chunk: every patch has a status."""
+    from corpuslens.operators import patching
+    text = f"CASE WHEN o_orderstatus = 'F' THEN 'FILE: ' || path || chr(10) || 'nothing to do' ELSE {PATCH_TEXT_SQL} END"
+    texts = spread(table_sql(spark, sf_dir, f"SELECT repo, o_orderkey AS patch_id, {text} AS text FROM ({ORDER_FILES_SQL}) f"))
+    out = patching.apply_patches(order_files(spark, sf_dir).select("repo", "path", "content"), patching.parse_patch(texts, keep_empty=True))
+    return out.select("repo", "patch_id", "path", "status", "chunks_applied")
+
+
+@query("patch_hot_file", """
+WITH o AS (SELECT o_custkey % 10 AS repo, o_orderkey AS patch_id, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS n,
+                  o_orderstatus FROM orders),
+a AS (SELECT *, max(CASE WHEN o_orderstatus <> 'P' THEN n END) OVER (PARTITION BY repo ORDER BY n) AS last FROM o)
+SELECT 'r' || CAST(repo AS VARCHAR) AS repo, patch_id, CASE WHEN o_orderstatus = 'P' THEN 'SEARCH_NOT_FOUND' ELSE 'APPLIED' END AS status,
+       'log = [' || chr(10) || '  "at ' || CAST(coalesce(last, 0) AS VARCHAR) || '",' || chr(10) || ']' || chr(10) AS new_content
+FROM a
+""")
+def q_patch_hot_file(spark, sf_dir):
+    """A tenth of all patches on each of ten files, each working on what the one before it left; those on P orders look for what isn't there."""
+    from corpuslens.operators import patching
+    o = table_sql(spark, sf_dir, """
+        SELECT 'r' || CAST(o_custkey % 10 AS STRING) AS repo, o_orderkey AS patch_id, o_orderstatus,
+               row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS n FROM orders""")
+    last = F.expr("coalesce(max(CASE WHEN o_orderstatus <> 'P' THEN n END) OVER (PARTITION BY repo ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    patches = o.select("repo", "patch_id", F.lit(0).alias("file_ord"), F.lit("log.py").alias("path"), F.lit(0).alias("chunk_ord"),
+                       F.when(F.col("o_orderstatus") == "P", "nowhere").otherwise(F.concat(F.lit('"at '), last.cast("string"), F.lit('"'))).alias("search"),
+                       F.concat(F.lit('"at '), F.col("n").cast("string"), F.lit('"')).alias("replace"))
+    files = patches.select("repo", "path").distinct().withColumn("content", F.lit('log = [\n  "at 0",\n]\n'))
+    return patching.apply_patches(files, patches, hot_files=True).select("repo", "patch_id", "status", "new_content")
+
+
 @query("patch_status", f"""
 WITH {_expected_patch_sql()}
 SELECT repo, patch_id, path, status, chunks_applied FROM pexp
