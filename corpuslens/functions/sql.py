@@ -20,3 +20,57 @@ def register_sql_functions(spark: SparkSession) -> None:
     """Temporary SQL functions (no Python at run time): shannon_entropy, count_ci, normalize_eol."""
     for name, body in _FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+
+
+def register_fact_function(spark: SparkSession, name: str = "python_facts") -> None:
+    """A table function over one file's text, for SQL users: `FROM files f, LATERAL python_facts(f.content) x`.
+
+    It gives the columns of `vuln.FACT_SCHEMA` behind repo and path, in Arrow batches.
+    """
+    from pyspark.sql.functions import udtf
+
+    from corpuslens.operators import vuln
+
+    facts, shape = vuln.file_facts, vuln.FACT_SCHEMA.removeprefix("repo STRING, path STRING, ")
+
+    class PythonFacts:
+        def eval(self, content):
+            yield from facts(content)
+
+    spark.udtf.register(name, udtf(PythonFacts, returnType=shape, useArrow=True))
+
+
+def findings_sql(files: str, facts: str = "python_facts") -> str:
+    """SQL text that finds what `vuln.scan_findings` finds, over a table or view (repo, path, content) called `files`."""
+    from corpuslens import rules
+
+    def quoted(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def listed(values) -> str:
+        return ", ".join(map(quoted, values))
+
+    def any_of(expr: str, words) -> str:
+        return "(" + " OR ".join(f"contains({expr}, {quoted(w)})" for w in words) + ")"
+
+    callees = {r: names for r, names, *_ in rules.CWE_RULES}
+    case = f"""CASE WHEN kind = 'call' THEN
+         CASE WHEN name IN ({listed(callees[1])}) THEN 1
+              WHEN name IN ({listed(callees[2])}) THEN 2
+              WHEN name IN ({listed(callees[3])}) THEN IF(exists(kw, k -> coalesce(k.name = 'shell' AND k.is_true, false)), 3, NULL)
+              WHEN name IN ({listed(callees[4])}) THEN 4
+              WHEN name IN ({listed(callees[5])}) THEN IF(name = 'yaml.unsafe_load' OR
+                   NOT exists(kw, k -> coalesce(k.name = 'Loader' AND k.attr IN ({listed(rules.SAFE_YAML_LOADERS)}), false)), 5, NULL)
+              WHEN name IN ({listed(callees[6])}) THEN IF(arg0_kind IN ('fstring', 'mod', 'format') AND {any_of('lower(code)', rules.SQL_WORDS)}, 6, NULL) END
+       WHEN kind = 'assign' AND {any_of('upper(name)', rules.CRED_NAME_WORDS)} AND value_is_str
+            AND value_len > {rules.CRED_MIN_LENGTH_EXCLUSIVE} AND NOT {any_of('lower(code)', rules.CRED_LINE_PLACEHOLDERS)} THEN 7 END"""
+    dim = [(r, *rest) for r, _, *rest in rules.CWE_RULES] + [(7, *rules.CRED_RULE)]
+    values = ", ".join(f"({r}, {listed(rest)})" for r, *rest in dim)
+    return f"""
+WITH facts AS (SELECT f.repo, f.path, x.* FROM {files} f, LATERAL {facts}(f.content) x
+               WHERE f.path LIKE '%.py' AND NOT {any_of("regexp_extract(f.path, '^(.*)/[^/]*$', 1)", rules.AST_SKIP_SUBSTRINGS)}),
+hits AS (SELECT *, {case} AS rule FROM facts),
+rules AS (SELECT * FROM VALUES {values} AS r(rule, cwe, vulnerability, severity, template))
+SELECT repo, path, ord, line, cwe, vulnerability, severity, code,
+       replace(replace(template, '%s', name), '%d', coalesce(CAST(value_len AS STRING), '')) AS description
+FROM hits JOIN rules USING (rule)"""

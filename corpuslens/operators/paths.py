@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import rules
-from corpuslens.functions.text import split_lines
+from corpuslens.functions.text import normalize_eol, split_lines
 
 
 def path_segments(path) -> Column:
@@ -162,26 +162,54 @@ def dir_rollup(files: DataFrame, exts: Sequence[str] = rules.TREE_EXTENSIONS) ->
             .groupBy("repo", "dir").agg(F.count(F.lit(1)).alias("n_files"), F.sum("b").cast("long").alias("n_bytes")))
 
 
-def slice_lines(files: DataFrame, requests: DataFrame) -> DataFrame:
+#: Lines of one block of a file's line index.
+SLICE_BLOCK = 256
+
+
+def line_blocks(files: DataFrame, block: int = SLICE_BLOCK) -> DataFrame:
+    """(repo, path, block, lines): every file split once, into blocks of lines with their breaks; LF, CRLF and CR end a line."""
+    lines = F.regexp_extract_all(normalize_eol(F.col("content")), F.lit(r"[^\n]*\n|[^\n]+\z"), 0)
+    split = files.where("content <> ''").select("repo", "path", lines.alias("lines"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(lines) - 1) div {block} AS int)")),
+                      lambda b: F.slice("lines", b * block + 1, F.lit(block)))
+    return split.select("repo", "path", F.posexplode(cut).alias("block", "lines"))
+
+
+def slice_lines(files: DataFrame, requests: DataFrame, block: int = SLICE_BLOCK) -> DataFrame:
     """C20: (request_id, repo, path, start_line, end_line) -> header + 1-based inclusive slice, clamped.
 
-    Lines keep their line breaks (a readlines view).  start > end after clamping is an error text.
+    Lines keep their line breaks (a readlines view, breaks as LF).  start > end
+    after clamping is an error text.  A file's text is split once, however many
+    requests it gets: a request meets just the blocks of lines that it asks
+    for, and many requests for one block are spread by the skew join.  Paths
+    are unique in a repo; repeated requests are answered one by one.
     """
-    j = requests.join(files.select("repo", "path", "content"), ["repo", "path"], "left")
-    lines = F.regexp_extract_all(F.col("content"), F.lit(r"[^\n]*\n|[^\n]+\z"), 0)
-    n = F.size(lines)
-    s = F.greatest(F.coalesce(F.col("start_line"), F.lit(1)), F.lit(1))
-    e = F.least(F.coalesce(F.col("end_line"), n), n)
-    body = F.array_join(F.slice(lines, s, F.greatest(e - s + 1, F.lit(0))), "")
-    name = path_name("path")
-    ok = F.concat(F.lit("=== File: "), name, F.lit(" (Lines "), s.cast("string"), F.lit(" to "), e.cast("string"),
-                  F.lit(" of "), n.cast("string"), F.lit(") ===\n"), body)
-    err = F.concat(F.lit("Error: start_line ("), s.cast("string"), F.lit(") cannot exceed end_line ("),
-                   e.cast("string"), F.lit("). Total lines: "), n.cast("string"), F.lit("."))
-    status = F.when(F.col("content").isNull(), F.lit("NOT_FOUND")).when(s > e, F.lit("RANGE_ERROR")).otherwise(F.lit("OK"))
-    return j.select("request_id", "repo", "path", status.alias("status"), s.cast("int").alias("start_line"),
-                    e.cast("int").alias("end_line"), n.cast("int").alias("total_lines"),
-                    F.when(status == "OK", ok).when(status == "RANGE_ERROR", err).alias("text"))
+    text = normalize_eol(F.col("content"))
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = (breaks + F.when((text != "") & ~text.endswith("\n"), 1).otherwise(0)).cast("int")
+    heads = files.select("repo", "path", n_lines.alias("_n"), F.col("content").isNotNull().alias("_found"))
+    j = requests.select("request_id", "repo", "path", "start_line", "end_line").withColumn("_rid", F.monotonically_increasing_id())
+    j = j.join(heads, ["repo", "path"], "left")
+    n = F.col("_n")
+    j = (j.withColumn("_s", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).cast("int"))
+         .withColumn("_e", F.least(F.coalesce(F.col("end_line"), n), n).cast("int")))
+    s, e = F.col("_s"), F.col("_e")
+    status = F.when(F.coalesce("_found", F.lit(False)), F.when(s > e, F.lit("RANGE_ERROR")).otherwise(F.lit("OK"))).otherwise(F.lit("NOT_FOUND"))
+    j = j.withColumn("status", status)
+    keys = ["_rid", "request_id", "repo", "path", "status", "_s", "_e", "_n"]
+    asked = j.where("status = 'OK'").select(*keys, F.explode(F.expr(f"cast(sequence((_s - 1) div {block}, (_e - 1) div {block}) AS array<int>)")).alias("block"))
+    first = F.greatest(s - F.col("block") * block, F.lit(1))
+    last = F.least(e - F.col("block") * block, F.lit(block))
+    parts = asked.join(line_blocks(files, block), ["repo", "path", "block"]).select(
+        *keys, F.struct("block", F.array_join(F.slice("lines", first, last - first + 1), "").alias("text")).alias("part"))
+    body = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))  # of one request's lines
+    told = [c.cast("string") for c in (s, e, n)]
+    ok = F.concat(F.lit("=== File: "), path_name("path"), F.lit(" (Lines "), told[0], F.lit(" to "), told[1], F.lit(" of "), told[2], F.lit(") ===\n"),
+                  F.array_join(F.transform("parts", lambda p: p["text"]), ""))
+    err = F.concat(F.lit("Error: start_line ("), told[0], F.lit(") cannot exceed end_line ("), told[1], F.lit("). Total lines: "), told[2], F.lit("."))
+    columns = ["request_id", "repo", "path", "status", s.alias("start_line"), e.alias("end_line"), n.alias("total_lines")]
+    return body.select(*columns, ok.alias("text")).unionByName(
+        j.where("status <> 'OK'").select(*columns, F.when(F.col("status") == "RANGE_ERROR", err).alias("text")))
 
 
 def explode_lines(files: DataFrame) -> DataFrame:

@@ -312,6 +312,18 @@ def q_ast_findings(spark, sf_dir):
                                                  "code", "description")
 
 
+@query("ast_findings_sql", f"""
+WITH {_expected_findings_sql()}
+SELECT repo, path, CAST(line AS INTEGER) AS line, cwe, vulnerability, severity, code, description FROM exp
+""")
+def q_ast_findings_sql(spark, sf_dir):
+    """The same findings in SQL alone, by the table function for facts."""
+    from corpuslens.functions import sql
+    sql.register_fact_function(spark)
+    order_files(spark, sf_dir).createOrReplaceTempView("cl_order_files")
+    return spark.sql(f"SELECT repo, path, line, cwe, vulnerability, severity, code, description FROM ({sql.findings_sql('cl_order_files')})")
+
+
 @query("findings_rollup", f"""
 WITH {_expected_findings_sql()}
 SELECT repo, severity, cwe, CAST(count(*) AS BIGINT) AS n_findings FROM exp GROUP BY ROLLUP (repo, severity, cwe)

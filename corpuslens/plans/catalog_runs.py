@@ -276,6 +276,22 @@ def q_payload_audit(spark, sf_dir):
     return guardrails.audit_payloads(p).select("event_id", "rule_id", "blocked")
 
 
+_PAYLOAD_CMD = "CASE WHEN event_type IN ('signup', 'click') THEN replace(cmd, ' ', chr(9)) ELSE cmd END"
+
+
+@query("payload_audit_strict", f"""
+WITH c AS ({CMD_SQL}), p AS (SELECT event_id, cmd AS c0, {_PAYLOAD_CMD} AS cmd FROM c),
+j AS (SELECT event_id, cmd, {_rule_sql("CAST(to_json({'tool': 'shell', 'args': {'note': 'n', 'cmds': ['ls', cmd]}}) AS VARCHAR)")} AS js, {_rule_sql('cmd')} AS raw FROM p)
+SELECT event_id, least(js, raw) AS rule_id, least(js, raw) IS NOT NULL AS blocked, CASE WHEN raw = least(js, raw) THEN '$.args.cmds[1]' END AS blocked_at FROM j
+""")
+def q_payload_audit_strict(spark, sf_dir):
+    """Commands in a nested payload, many with tabs for blanks: the values as they are count, too."""
+    p = commands(spark, sf_dir).withColumn("cmd", F.expr(_PAYLOAD_CMD))
+    args = F.struct(F.lit("n").alias("note"), F.array(F.lit("ls"), F.col("cmd")).alias("cmds"))
+    p = p.select("event_id", F.struct(F.lit("shell").alias("tool"), args.alias("args")).alias("payload"))
+    return guardrails.audit_payloads(p, strict=True).select("event_id", "rule_id", "blocked", "blocked_at")
+
+
 # ------------------------------------------------ neighbours on ties ----
 _TIED = "CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 1 ELSE user_id % 50 END"
 
