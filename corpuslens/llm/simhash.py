@@ -276,12 +276,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Fingerprints link at `max_bits` or fewer differing bits; component_id is
     the smallest identifier reachable over links, the document's own included
     (null only if none of them has one).  Of each component one document is
-    kept: the one with the smallest identifier, then key (a hash of the row's
-    identifier and text); rows that agree in both are all marked, see
-    `near_dedup`.  Null texts count as empty; texts without words have
+    kept: the one with the smallest identifier, then key (the text's SHA-256);
+    rows that agree in both are all marked, see `near_dedup`.  Null texts count as empty; texts without words have
     fingerprint zero, linked like any other.  Empty input, empty result.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), _text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     rows = stored(with_fingerprints(keyed, "text", "fp", ["doc_id", "key"], words_per), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     per = stored(rows.groupBy("fp").agg(F.min(first).alias("low")), "distinct")
@@ -294,11 +293,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                       (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("kept"))
 
 
+def _text_key(text_col: str) -> Column:
+    """The text's SHA-256; a null text has that of no bytes and a mark of its own."""
+    return F.concat(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), F.when(F.col(text_col).isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
+
+
 def near_dedup(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` with one document of each group of near duplicates."""
-    key, rn = own_name(docs.columns, "_key"), own_name(docs.columns, "_rn")
-    keep = groups(docs, **settings).where("kept").select(F.col("key").alias(key)).distinct()
-    out = docs.withColumn(key, F.xxhash64(settings.get("id_col", "doc_id"), settings.get("text_col", "text"))).join(keep, key)
+    """`docs` with one document of each group of near duplicates.
+
+    Rows that agree in identifier and text are one document, of which any row
+    stays.  Null identifiers are identifiers like others; nulls, empty texts
+    and empty tables are as in `groups`.
+    """
+    id_col = settings.get("id_col", "doc_id")
+    key, rn, doc = (own_name(docs.columns, n) for n in ("_key", "_rn", "_doc"))
+    keep = groups(docs, **settings).where("kept").select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct()
+    mine = own_name(docs.columns, "_mine")
+    out = docs.withColumn(mine, _text_key(settings.get("text_col", "text")))
+    out = out.join(keep, (F.col(mine) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(doc)))
     from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(F.lit(0))
+    w = Window.partitionBy(id_col, mine).orderBy(F.lit(0))
     return out.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).select(*docs.columns)

@@ -21,9 +21,10 @@ ship(__name__)
 
 #: Features: hash space, and words kept in a task's word table before it is emptied.
 BITS, WORDS_KEPT = 20, 300_000
-#: Training rows at most (those with the smallest hash of their identifier), passes over them, and FTRL's rates.
+#: Training rows at most (those with the smallest hash of their identifier), passes over them, and FTRL's rates,
+#: chosen on a fifth of the training rows of two tables (3,155 and 9,681 rows).
 MAX_TRAIN, EPOCHS = 24_000, 2
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 #: Words in a training row whose features are taken one text block at a time; blocks bound memory for any text length.
 BLOCK_WORDS = 1 << 16
 
@@ -107,8 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Learns from at most `max_rows` labelled rows that are not held out, those
     with the smallest hash of their identifier.  Null labels or identifiers
     are no training rows; of several labels of one identifier the largest
-    counts; repeated documents train once each.  Without labelled rows there
-    are no weights and every score is 0.5.
+    counts; repeated documents train once each, up to 2 * `max_rows` rows in
+    all, those with the smallest hash of identifier and text.  Without labelled
+    rows there are no weights and every score is 0.5.
     """
     pick = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna()
             .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))

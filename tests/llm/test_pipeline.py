@@ -65,9 +65,8 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
     got = queries.QUERIES[name](spark, SMOKE).toPandas()
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMOKE}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name]).df()[list(got.columns)]
-    key = got.columns[0]
-    got, want = (x.sort_values(key).reset_index(drop=True) for x in (got, want))
+    got, want = (x.sort_values(list(got.columns)).reset_index(drop=True) for x in (got, want))
     assert len(got) == len(want) and all((got[c] == want[c]).all() for c in got.columns)
