@@ -11,15 +11,16 @@ from corpuslens import rules
 
 
 def call_cost(calls: DataFrame, pricing: DataFrame | None = None) -> DataFrame:
-    """cost_usd = in/1e6*price_in + out/1e6*price_out on lower(model); unknown models cost 0.
+    """cost_usd = in/1e6*price_in + out/1e6*price_out on lower(model); unknown models cost 0, a null count counts as 0.
 
     Of several price rows of one model (in any case) the largest prices count, so that no call is counted twice.
     """
     pricing = pricing if pricing is not None else rules.pricing_df(calls.sparkSession)
     p = pricing.groupBy(F.lower("model").alias("_m")).agg(F.max("in_usd").alias("in_usd"), F.max("out_usd").alias("out_usd"))
     j = calls.join(p, F.lower(calls["model"]) == p["_m"], "left")
-    cost = (F.col("input_tokens") / 1e6 * F.coalesce("in_usd", F.lit(0.0)) +
-            F.col("output_tokens") / 1e6 * F.coalesce("out_usd", F.lit(0.0)))
+    none = F.lit(0)
+    cost = (F.coalesce("input_tokens", none) / 1e6 * F.coalesce("in_usd", F.lit(0.0)) +
+            F.coalesce("output_tokens", none) / 1e6 * F.coalesce("out_usd", F.lit(0.0)))
     return j.withColumn("cost_usd", cost).drop("_m", "in_usd", "out_usd")
 
 

@@ -93,3 +93,12 @@ def test_sequence_ops_hot_key_equal_windows(spark):
 def test_guardrail_unicode_whitespace(spark):
     cmds = spark.createDataFrame([("rm -rf /",), ("shred　x",)], "cmd string")
     assert [r.rule_id for r in guardrails.audit_commands(cmds).collect()] == [1, 8]
+
+
+def test_null_token_counts_cost_nothing(spark):
+    from corpuslens.operators import telemetry
+    calls = spark.createDataFrame([("qwen-max", None, 1_000_000), ("QWEN-MAX", 1_000_000, None), ("no such model", 5, 5)],
+                                  "model string, input_tokens long, output_tokens long")
+    costs = [r.cost_usd for r in telemetry.call_cost(calls).collect()]
+    prices = {m: (i, o) for m, i, o in ((r.model, r.in_usd, r.out_usd) for r in telemetry.rules.pricing_df(spark).collect())}
+    assert sorted(costs) == sorted([prices["qwen-max"][1], prices["qwen-max"][0], 0.0])
