@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions.text import normalize_eol, split_lines
+from corpuslens.operators import sequence
 
 
 def path_segments(path) -> Column:
@@ -162,6 +163,31 @@ def dir_rollup(files: DataFrame, exts: Sequence[str] = rules.TREE_EXTENSIONS) ->
             .groupBy("repo", "dir").agg(F.count(F.lit(1)).alias("n_files"), F.sum("b").cast("long").alias("n_bytes")))
 
 
+def tree_listing(files: DataFrame, exts: Sequence[str] = rules.TREE_EXTENSIONS) -> DataFrame:
+    """(repo, pos, path, depth, is_dir, n_files, n_bytes): kept files and the directories above them, in tree order.
+
+    Below each directory come its directories, then its files, each by lower
+    name (equal ones by name); `pos` counts a repo's entries from 1.  An
+    entry's sort key says per path segment whether it's a file, and its names,
+    so a directory sorts right before what it holds; ranges of (repo, key) are
+    numbered by `sequence.running_count`, and one huge repo spans many tasks.
+    Repeated rows of a path are one entry with their count.
+    """
+    kept = files.where(path_suffix("path").isin(*exts))
+    segs = path_segments("path")
+    size = F.col("size_bytes") if "size_bytes" in files.columns else F.octet_length("content")
+    up_to = F.transform(F.sequence(F.lit(1), F.size(segs)), lambda i: F.struct(
+        F.array_join(F.slice(segs, 1, i), "/").alias("path"), i.alias("depth"), (i < F.size(segs)).alias("is_dir")))
+    entries = (kept.select("repo", F.explode(up_to).alias("e"), size.alias("b")).groupBy("repo", "e")
+               .agg(F.count(F.lit(1)).alias("n_files"), F.sum("b").cast("long").alias("n_bytes"))
+               .select("repo", "e.path", "e.depth", "e.is_dir", "n_files", "n_bytes"))
+    key = F.transform(segs, lambda s, i: F.struct((~F.col("is_dir") & (i == F.col("depth") - 1)).alias("is_file"),
+                                                  F.lower(s).alias("low"), s.alias("name")))
+    keyed = entries.withColumn("_key", key).withColumn("_one", F.lit(True))
+    return (sequence.running_count(keyed, "repo", ["_key"], "_one", "pos")
+            .select("repo", "pos", "path", "depth", "is_dir", "n_files", "n_bytes"))
+
+
 #: Lines of one block of a file's line index.
 SLICE_BLOCK = 256
 

@@ -66,6 +66,24 @@ def run_outcome(events: DataFrame, terminal_ok=("COMPLETED",), terminal_err=("ER
                         .otherwise(F.lit("RUNNING"))))
 
 
+def run_modified(outcome: DataFrame, applied: DataFrame, run_col: str = "run_id") -> tuple[DataFrame, DataFrame]:
+    """What runs modified: `outcome` with n_modified, and the rows (run_id, path).
+
+    applied: patch results (run, path, status).  A run that ended in SUCCESS
+    modified each path of an applied section once; any other was rolled back
+    and modified nothing.  The paths stay rows, so that a run with a third of
+    all files is never one row.  Null runs are one run; a null path is no file.
+    """
+    paths = (applied.where((F.col("status") == "APPLIED") & F.col("path").isNotNull())
+             .select(F.col(run_col).alias("_run"), "path").distinct())
+    done = outcome.where("outcome = 'SUCCESS'").select("run_id")
+    rows = done.join(paths, F.col("run_id").eqNullSafe(F.col("_run"))).select("run_id", "path")
+    counts = rows.groupBy(F.col("run_id").alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+    told = (outcome.join(counts, F.col("run_id").eqNullSafe(F.col("_run")), "left")
+            .withColumn("n_modified", F.coalesce("_n", F.lit(0)).cast("long")).drop("_run", "_n"))
+    return told, rows
+
+
 def run_attempts(events: DataFrame, skew_safe: bool = True) -> DataFrame:
     """Attempt number at every event = PATCH entries so far in the run."""
     flagged = events.select("run_id", "seq", "state", (F.col("state") == "PATCH").alias("_is_patch"))

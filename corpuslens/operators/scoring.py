@@ -8,12 +8,14 @@ stage; only ranking and the import graph shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions.text import let, line_of_first, shannon_entropy, split_lines
+from corpuslens.session import kept
 
 
 def _kw_array(keywords) -> Column:
@@ -185,31 +187,36 @@ def resolve_imports(imports: DataFrame, project_files: DataFrame) -> DataFrame:
             .select("repo", "src", "dst").distinct())
 
 
+#: Frontiers of an import cascade that are written as one.
+MERGE_ROUNDS = 16
+
+
 def live_importers(scored: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, src) of files that boost their imports when candidates are visited in path order.
 
     A file boosts its imports if its score is positive when visited: either its
     own score is, or an importer visited before it (smaller path) was itself
-    live and lifted it.  The closure is computed by bounded iteration (each
-    round is a distributed join); every round's frontier is checkpointed so the
-    lineage stays short.  Runs to the fixed point: each round adds at least one
-    file, so it ends after at most (longest forward import chain) rounds.
+    live and lifted it.  The closure is computed by bounded iteration: each
+    round is a distributed join that writes its frontier and nothing else.
+    Frontiers are merged MERGE_ROUNDS at a time, merged ones likewise, so a
+    file found is rewritten a logarithmic number of times, however long the
+    chains.  Runs to the fixed point: each round adds at least one file, so it
+    ends after at most (longest forward import chain) rounds.
     """
-    from corpuslens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(scored.sparkSession)
     cand = scored.select("repo", F.col("path").alias("dst"))
-    fwd = (edges.where(F.col("src") < F.col("dst"))
-           .join(cand, ["repo", "dst"], "left_semi"))
-    live = scored.where(F.col("score") > 0).select("repo", F.col("path").alias("src")).checkpoint(eager=True)
-    frontier = live
+    fwd = kept(edges.where(F.col("src") < F.col("dst")).join(cand, ["repo", "dst"], "left_semi"), "forward")
+    frontier = kept(scored.where(F.col("score") > 0).select("repo", F.col("path").alias("src")), "live")
+    first, found = frontier, []  # found: (how often merged, files), newest last
     while True:
-        new = (fwd.join(frontier, ["repo", "src"], "left_semi").select("repo", F.col("dst").alias("src")).distinct()
-               .join(live, ["repo", "src"], "left_anti")).checkpoint(eager=True)
-        if new.isEmpty():
-            break
-        live = live.unionByName(new).checkpoint(eager=True)
-        frontier = new
-    return live
+        live = reduce(DataFrame.unionByName, [first, *[f for _, f in found]])
+        frontier = kept(fwd.join(frontier, ["repo", "src"], "left_semi").select("repo", F.col("dst").alias("src")).distinct()
+                        .join(live, ["repo", "src"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return live
+        found.append((0, frontier))
+        while len({level for level, _ in found[-MERGE_ROUNDS:]}) == 1 and len(found) >= MERGE_ROUNDS:
+            level, some = found[-1][0], [f for _, f in found[-MERGE_ROUNDS:]]
+            found[-MERGE_ROUNDS:] = [(level + 1, kept(reduce(DataFrame.unionByName, some), "live"))]
 
 
 def import_boost(scored: DataFrame, edges: DataFrame, cascade: bool = False) -> DataFrame:

@@ -132,6 +132,23 @@ def q_dir_rollup(spark, sf_dir):
     return paths.dir_rollup(paths.apply_ignore_rules(page_files(spark, sf_dir), IGNORE))
 
 
+@query("tree_listing", f"""
+WITH {PF}, {_ignore_sql('pf')},
+k AS (SELECT repo, segs, path, strlen(content) AS b FROM kept
+      WHERE {' OR '.join(f"(ends_with(path, {q(e)}) AND segs[-1] <> {q(e)})" for e in rules.TREE_EXTENSIONS)}),
+e AS (SELECT repo, unnest(list_transform(range(1, len(segs) + 1), lambda i: {{'p': segs[1:i], 'd': i < len(segs)}})) AS x, b FROM k),
+g AS (SELECT repo, x.p AS p, x.d AS is_dir, count(*) AS n_files, sum(b) AS n_bytes FROM e GROUP BY ALL)
+SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY list_transform(p, lambda s, i:
+         {{'f': CASE WHEN NOT is_dir AND i = len(p) THEN 1 ELSE 0 END, 'l': lower(s), 's': s}})) AS pos,
+       array_to_string(p, '/') AS path, CAST(len(p) AS INTEGER) AS depth, is_dir,
+       CAST(n_files AS BIGINT) AS n_files, CAST(n_bytes AS BIGINT) AS n_bytes
+FROM g
+""")
+def q_tree_listing(spark, sf_dir):
+    """What the ignore rules leave, as the numbered entries of every repo's tree."""
+    return paths.tree_listing(paths.apply_ignore_rules(page_files(spark, sf_dir), IGNORE))
+
+
 SLICE_BY_LANG = {"en": (None, None), "fr": (0, 5), "de": (3, 999), "es": (5, 3)}
 
 

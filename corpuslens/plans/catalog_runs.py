@@ -140,6 +140,35 @@ def q_run_outcome(spark, sf_dir):
     return runs.run_outcome(run_events(spark, sf_dir), terminal_ok=("COMMIT",))
 
 
+# The paths of a run are the pages its user saw; those of its errors were not applied.
+_APPLIED_SQL = f"""SELECT user_id AS run_id, event_type || '/' || CAST(event_id % 50 AS STRING) || '.py' AS path,
+  CASE event_type WHEN 'error' THEN 'SEARCH_NOT_FOUND' ELSE 'APPLIED' END AS status FROM events"""
+
+
+def _outcome_and_paths(spark, sf_dir):
+    return runs.run_modified(runs.run_outcome(run_events(spark, sf_dir), terminal_ok=("COMMIT",)), table_sql(spark, sf_dir, _APPLIED_SQL))
+
+
+_ENDED_SQL = f"""r AS ({RUN_SQL}), o AS (SELECT run_id, arg_max(state, seq) AS final_state FROM r GROUP BY run_id),
+a AS (SELECT DISTINCT run_id, path FROM ({_APPLIED_SQL}) WHERE status = 'APPLIED')"""
+
+
+@query("run_modified", f"""
+WITH {_ENDED_SQL}
+SELECT o.run_id, final_state, CAST(count(path) FILTER (final_state = 'COMMIT') AS BIGINT) AS n_modified
+FROM o LEFT JOIN a ON o.run_id = a.run_id GROUP BY o.run_id, final_state
+""")
+def q_run_modified(spark, sf_dir):
+    return _outcome_and_paths(spark, sf_dir)[0].select("run_id", "final_state", "n_modified")
+
+
+@query("run_modified_files", f"""
+WITH {_ENDED_SQL} SELECT o.run_id, path FROM o JOIN a ON o.run_id = a.run_id WHERE final_state = 'COMMIT'
+""")
+def q_run_modified_files(spark, sf_dir):
+    return _outcome_and_paths(spark, sf_dir)[1]
+
+
 @query("run_attempts", f"""
 WITH r AS ({RUN_SQL})
 SELECT run_id, CAST(seq AS BIGINT) AS seq, state,

@@ -40,6 +40,20 @@ def q_stream_cost_window(spark, sf_dir):
                       F.round("total_estimated_cost_usd", 6).alias("total_estimated_cost_usd"))
 
 
+@query("stream_cost_live", f"""
+WITH c AS ({R.COSTED_SQL}),
+w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, model, count(*) AS total_calls, sum(input_tokens) AS total_input_tokens,
+             sum(output_tokens) AS total_output_tokens, sum(cost_usd) AS cost FROM c GROUP BY ALL)
+SELECT window_start, model, CAST(total_calls AS BIGINT) AS total_calls, CAST(total_input_tokens AS BIGINT) AS total_input_tokens,
+       CAST(total_output_tokens AS BIGINT) AS total_output_tokens, round(cost, 6) AS total_estimated_cost_usd FROM w
+""")
+def q_stream_cost_live(spark, sf_dir):
+    """Every window and model as of now, the open ones too: update mode into a keyed table."""
+    out = jobs.run_to_keyed(jobs.stream_cost_window(_call_stream(spark, sf_dir)), "cost_live", ["window_start", "window_end", "model"])
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model", "total_calls", "total_input_tokens",
+                      "total_output_tokens", F.round("total_estimated_cost_usd", 6).alias("total_estimated_cost_usd"))
+
+
 @query("stream_cost_summary", f"""
 SELECT model, CAST(count(*) AS BIGINT) AS total_calls, CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens,
        CAST(sum(output_tokens) AS BIGINT) AS total_output_tokens,

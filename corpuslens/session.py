@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written below spark.checkpoint.dir and read back: evaluated once, whatever reads it (range sampling, several writers)."""
+    path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into spark.checkpoint.dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

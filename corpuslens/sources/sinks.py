@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corpuslens.session import shared_dir
+from corpuslens.session import kept
 
 #: Bytes of contents that one writer task of an export takes, and parts that a run may be cut into.
 EXPORT_BYTES, EXPORT_PARTS = 1 << 28, 4096
 #: Buckets of a findings table that is updated in place; a scan rewrites those of the repos it touches.
 BUCKETS = 64
+#: Epochs of a keyed table after which its latest rows are written as a whole.
+MERGE_EVERY = 16
 #: Statuses of an export, one row per asked run.
 EXPORTED, NOTHING_MODIFIED, UNKNOWN_RUN = "EXPORTED", "NOTHING_MODIFIED", "UNKNOWN_RUN"
 FINDINGS_SCHEMA = ("repo STRING, path STRING, ord INT, line INT, cwe STRING, vulnerability STRING, severity STRING, "
                    "code STRING, description STRING")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written below spark.checkpoint.dir and read back: evaluated once, whatever reads it (range sampling, several writers)."""
-    path = shared_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ------------------------------------------------------------------ A7 --
 def write_remediated(applied: DataFrame, path: str, run_col: str = "run_id", asked: DataFrame | None = None,
                      task_bytes: int = EXPORT_BYTES) -> DataFrame:
@@ -47,7 +44,7 @@ def write_remediated(applied: DataFrame, path: str, run_col: str = "run_id", ask
         rows = _semi(rows, wanted, run_col)
     order = F.struct(*[F.col(c) for c in ("repo", "patch_id", "file_ord") if c in applied.columns], F.lit(0))
     out = rows.groupBy(run_col, "path").agg(F.max_by("new_content", order).alias("content"))
-    out = _kept(out.withColumn("_slot", F.pmod(F.xxhash64("path"), F.lit(EXPORT_PARTS)).cast("int"))
+    out = kept(out.withColumn("_slot", F.pmod(F.xxhash64("path"), F.lit(EXPORT_PARTS)).cast("int"))
                 .withColumn("_bytes", F.octet_length("content").cast("long")), "export")
     # At most EXPORT_PARTS slots a run, whatever it holds.
     slots = out.groupBy(run_col, "_slot").agg(F.sum("_bytes").alias("_b"))
@@ -78,7 +75,7 @@ def write_findings(findings: DataFrame, path: str, mode: str = "overwrite", file
     the written findings, so the sources are parsed once.
     """
     n = files or findings.sparkSession.sparkContext.defaultParallelism
-    (_kept(findings, "findings").repartitionByRange(n, "repo", "path").sortWithinPartitions("repo", "path")
+    (kept(findings, "findings").repartitionByRange(n, "repo", "path").sortWithinPartitions("repo", "path")
      .write.mode(mode).parquet(path))
 
 
@@ -86,9 +83,9 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("repo"), F.lit(buckets)).cast("int")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions: those whose list of buckets was written to its end."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/heads/version=*/_SUCCESS")
+def _versions(spark: SparkSession, path: str, folder: str = "heads/version") -> list[int]:
+    """Committed versions: those whose folder was written to its end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}=*/_SUCCESS")
     found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
     return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
 
@@ -130,7 +127,7 @@ def upsert_findings(findings: DataFrame, scanned: DataFrame, path: str, version:
     if done and version < done[-1]:
         raise ValueError(f"version {version} comes after {done[-1]}")
     heads = _heads(spark, path)
-    scanned = _kept(scanned.select("repo", "path").distinct(), "scanned")
+    scanned = kept(scanned.select("repo", "path").distinct(), "scanned")
     touched = {r.bucket for r in scanned.select(_bucket(buckets).alias("bucket")).distinct().collect()}
     gone = scanned.select(F.col("repo").alias("_repo"), F.col("path").alias("_path"))
     old = read_findings(spark, path, touched).join(
@@ -152,7 +149,7 @@ def write_report(lines: DataFrame, path: str, parts: int | None = None) -> None:
     the order, and read one after another they are the reports.
     """
     n = parts or lines.sparkSession.sparkContext.defaultParallelism
-    (_kept(lines.select("repo", "idx", "text"), "report").repartitionByRange(n, "repo", "idx").sortWithinPartitions("repo", "idx")
+    (kept(lines.select("repo", "idx", "text"), "report").repartitionByRange(n, "repo", "idx").sortWithinPartitions("repo", "idx")
      .withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(path))
 
 
@@ -187,3 +184,43 @@ def report_digests(lines: DataFrame) -> DataFrame:
 
     told = lines.select("repo", "idx", "text").repartition("repo").sortWithinPartitions("repo", "idx").select("repo", "text")
     return told.mapInPandas(run, "repo string, n_findings long, report_chars long, report_md5 string")
+
+
+# ------------------------------------------------------------------ S1 --
+def _epochs(spark: SparkSession, path: str, before: int | None = None) -> tuple[list[int], list[int]]:
+    """The last whole table (none or one) older than `before`, and the changes after it that were written to their end."""
+    whole = [e for e in _versions(spark, path, "whole/epoch") if before is None or e < before][-1:]
+    return whole, [e for e in _versions(spark, path, "changes/epoch") if not whole or e > whole[0]]
+
+
+def _latest(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], whole: list[int], changes: list[int]) -> DataFrame:
+    cols = [f.name for f in schema.fields]
+    parts = [spark.read.schema(schema).parquet(f"{path}/{kind}/epoch={e}").select(*cols, F.lit(e).alias("_epoch"))
+             for kind, epochs in (("whole", whole), ("changes", changes)) for e in epochs]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = reduce(DataFrame.unionByName, parts)
+    values = [c for c in cols if c not in keys]
+    last = F.max_by(F.struct(*values), "_epoch").alias("_v")
+    return rows.groupBy(*keys).agg(last).select(*[c if c in keys else F.col(f"_v.{c}").alias(c) for c in cols])
+
+
+def write_keyed(changed: DataFrame, path: str, keys: Sequence[str], epoch: int, merge_every: int = MERGE_EVERY) -> None:
+    """The changed rows of one trigger (at most one a key), to be read back as the latest row of every key.
+
+    A trigger writes nothing but its changes, into a folder of its epoch: one
+    that runs again after a failure writes the same folder.  Every
+    `merge_every` epochs the latest rows are written as a whole, so a read
+    never opens more than that many folders.  Null keys are keys like others.
+    """
+    spark = changed.sparkSession
+    changed.write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+    if (epoch + 1) % merge_every == 0:
+        whole, changes = _epochs(spark, path, epoch)
+        rows = _latest(spark, path, changed.schema, keys, whole, [e for e in changes if e <= epoch])
+        rows.write.mode("overwrite").parquet(f"{path}/whole/epoch={epoch}")
+
+
+def read_keyed(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """The latest row of every key, as the last finished trigger left it; empty before the first."""
+    return _latest(spark, path, schema, keys, *_epochs(spark, path))

@@ -8,7 +8,7 @@ message de-duplication) or `applyInPandasWithState` (per-run state machine).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +80,22 @@ def run_to_snapshot(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
+def run_to_keyed(df: DataFrame, name: str, keys: Sequence[str], folder: str | None = None, merge_every: int = sinks.MERGE_EVERY) -> DataFrame:
+    """Run an update-mode stream over what there is; the latest row of every key.
+
+    Each trigger writes the groups it changed and no others.  With the `folder`
+    of an earlier call the stream goes on where that ended.  Groups that a
+    watermark closed keep their last row; events later than it are left out.
+    """
+    spark = df.sparkSession
+    base = folder or shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}")
+    q = (df.writeStream.outputMode("update")
+         .foreachBatch(lambda batch, epoch: sinks.write_keyed(batch, f"{base}/table", keys, epoch, merge_every))
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sinks.read_keyed(spark, f"{base}/table", df.schema, keys)
+
+
 # ------------------------------------------------------------------ S2 --
 RUN_STATE_SCHEMA = ("run_id LONG, n_events LONG, last_seq_ts TIMESTAMP, last_event_id LONG, final_state STRING, "
                     "attempts LONG, illegal_transitions LONG, terminal BOOLEAN")
