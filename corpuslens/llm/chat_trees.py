@@ -2,8 +2,9 @@
 
 Iterative self-joins double the known stretch of every message's way to its
 root, so a tree of depth d takes log2(d) joins.  Leaves rank by the score of
-their branch; each chosen root-to-leaf path is formatted as one conversation,
-a sequence of formatted turns.  No step gathers a tree or a path in one row.
+their branch; each chosen root-to-leaf path is formatted as one conversation, a
+text in parts of bounded size with its loss mask.  No step gathers a tree or a
+path in one row.
 
 Template: `[INST] text [/INST]` for a user, `<s> text</s>` for an assistant,
 `<<ROLE:name>> text <</ROLE>>` for any other role (name percent-encoded).
@@ -29,8 +30,10 @@ ship(__name__)
 CONTROL = re.compile(r"\\|\[(?=/?INST\])|<(?=/?s>|<ROLE:|</ROLE>>)")
 TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<s> (?P<assistant>.*?)</s>|<<ROLE:(?P<name>.*?)>> (?P<other>.*?) <</ROLE>>",
                   re.DOTALL)
-#: Turns of a conversation that are put in order together.
-CHUNK = 1024
+#: What ends a turn, and the length of the longest of them.
+END, LONGEST_END = re.compile(r"\[/INST\]|</s>|<</ROLE>>"), 10
+#: Turns of a conversation that are put in order together, and code points of a part of its text.
+CHUNK, PART_CHARS = 1024, 1 << 16
 
 
 def escape(text: str) -> str:
@@ -157,21 +160,114 @@ def conversations(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     return rows.mapInArrow(run, shape)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """(tree, leaf, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from formatted turns.
+def conversation_texts(formatted: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Rows (tree, leaf, part, text, loss_starts, loss_ends): each conversation as one text, its loss mask beside it.
 
-    A conversation's rows stream past in order; only hash states are held.
+    formatted: rows of `conversations`.  The parts of a (tree, leaf), joined in
+    their order from 0, are the conversation's text; all but the last hold
+    `part_chars` code points, wherever that cuts, so that a text of any length
+    makes rows of bounded size.  The mask's spans are code points of the whole
+    text, end exclusive, divided where parts are.  Nulls among trees and leaves
+    are values like others; empty input, empty result.
     """
     keys = ["tree", "leaf"]
-    shape = formatted.select(*keys, F.lit(0).cast("long").alias("n_turns"), F.lit("").alias("turns_sha256"),
-                             F.lit(0).cast("long").alias("loss_chars"), F.lit("").alias("loss_sha256"),
-                             F.lit(0).cast("long").alias("formatted_chars")).schema
+    spans = F.array(F.lit(0).cast("long"))
+    shape = formatted.select(*keys, F.lit(0).cast("long").alias("part"), F.lit("").alias("text"), spans.alias("loss_starts"),
+                             spans.alias("loss_ends")).schema
     names = shape.names
 
     def run(batches):
-        key, n, chars, loss, turns, masked = None, 0, 0, 0, None, None
+        key, part, at, held, marks = None, 0, 0, "", []
+
+        def cut(whole):
+            """The parts that `held` fills, or at the end of a conversation all of it."""
+            nonlocal part, at, held, marks
+            rows, used = [], 0
+            while len(held) - used >= part_chars or whole and used < len(held):
+                text = held[used:used + part_chars]
+                end = at + len(text)
+                inside = [(max(s, at), min(e, end)) for s, e in marks if s < end and e > at]
+                rows.append((*key, part, text, [s for s, _ in inside], [e for _, e in inside]))
+                marks = [m for m in marks if m[1] > end]
+                part, at, used = part + 1, end, used + len(text)
+            held = held[used:]
+            return rows
+
+        for b in batches:
+            kinds = [*[b.schema.field(k).type for k in keys], pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            done = []
+            for r in zip(*[b.column(c).to_pylist() for c in (*keys, "formatted", "loss_start", "loss_end")], strict=True):
+                if r[:2] != key:
+                    if key is not None:
+                        done += cut(True)
+                    key, part, at, held, marks = r[:2], 0, 0, "", []
+                if r[4] > r[3]:
+                    marks.append((at + len(held) + r[3], at + len(held) + r[4]))
+                held += r[2]
+                done += cut(False)
+            if done:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
+        if key is not None and held:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*cut(True), strict=True), kinds, strict=True)], names)
+
+    return (formatted.select(*keys, "depth", "formatted", "loss_start", "loss_end").repartition(*keys)
+            .sortWithinPartitions(*keys, "depth").mapInArrow(run, shape))
+
+
+class TurnReader:
+    """Reads turns back from the parts of a text, cut anywhere; holds one part and what it knows of one turn."""
+
+    def __init__(self):
+        self.held, self.seam = [], ""
+
+    def feed(self, text: str) -> list[tuple[str, str]]:
+        """The turns that end in this part.  Texts hold no end mark of a turn, as `escape` takes them apart."""
+        seen = self.seam + text
+        self.seam = seen[1 - LONGEST_END:]
+        ends = [m.end() for m in END.finditer(seen)]
+        self.held.append(text)
+        if not ends:
+            return []
+        whole = "".join(self.held)
+        cut = len(whole) - (len(seen) - ends[-1])
+        self.held, self.seam = [whole[cut:]], whole[cut:][1 - LONGEST_END:]
+        return parse_turns(whole[:cut])
+
+    def close(self) -> None:
+        if any(self.held):
+            raise ValueError("the text ends within a turn")
+
+
+class MaskReader:
+    """Takes escapes back in pieces of a text, cut anywhere."""
+
+    def __init__(self):
+        self.open = ""
+
+    def feed(self, text: str) -> str:
+        text = self.open + text
+        odd = (len(text) - len(text.rstrip("\\"))) % 2  # a backslash whose character comes with the next piece
+        self.open = text[len(text) - odd:]
+        return unescape(text[:len(text) - odd])
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """(tree, leaf, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from texts and masks alone.
+
+    texts: rows of `conversation_texts`.  A conversation's parts stream past in
+    order; only hash states, one part and the turn it ends in are held.
+    """
+    keys = ["tree", "leaf"]
+    shape = texts.select(*keys, F.lit(0).cast("long").alias("n_turns"), F.lit("").alias("turns_sha256"),
+                         F.lit(0).cast("long").alias("loss_chars"), F.lit("").alias("loss_sha256"),
+                         F.lit(0).cast("long").alias("formatted_chars")).schema
+    names = shape.names
+
+    def run(batches):
+        key, n, chars, loss, turns, masked, reader, mask = None, 0, 0, 0, None, None, None, None
 
         def row():
+            reader.close()
             return (*key, n, turns.hexdigest(), loss, masked.hexdigest(), chars)
 
         def batch(rows, kinds):
@@ -181,22 +277,23 @@ def digests(formatted: DataFrame) -> DataFrame:
         for b in batches:
             kinds = [b.schema.field(k).type for k in keys] + [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             done = []
-            for r in zip(*[b.column(c).to_pylist() for c in (*keys, "formatted", "loss_start", "loss_end")], strict=True):
+            for r in zip(*[b.column(c).to_pylist() for c in (*keys, "text", "loss_starts", "loss_ends")], strict=True):
                 if r[:2] != key:
                     if key is not None:
                         done.append(row())
                     key, n, chars, loss, turns, masked = r[:2], 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                chars += len(r[2])
-                for role, text in parse_turns(r[2]):
+                    reader, mask = TurnReader(), MaskReader()
+                for role, text in reader.feed(r[2]):
                     n += 1
                     turns.update(f"{role}\n{text}\n".encode())
-                if r[4] > r[3]:
-                    under = unescape(r[2][r[3]:r[4]])
+                for start, end in zip(r[3], r[4], strict=True):
+                    under = mask.feed(r[2][start - chars:end - chars])
                     loss += len(under)
                     masked.update(under.encode())
+                chars += len(r[2])
             if done:
                 yield batch(done, kinds)
         if key is not None:
             yield batch([row()], kinds)
 
-    return formatted.repartition(*keys).sortWithinPartitions(*keys, "depth").mapInArrow(run, shape)
+    return texts.repartition(*keys).sortWithinPartitions(*keys, "part").mapInArrow(run, shape)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.chat_trees import conversations, digests, linear_replies
+from corpuslens.llm.chat_trees import conversation_texts, conversations, digests, linear_replies
 from corpuslens.llm.common import table
 from corpuslens.llm.exact_dedup import exact_dedup
 from corpuslens.llm.hard_negatives import hard_negatives
@@ -140,7 +140,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     told = told.unionByName(spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], told.schema))
     replies = linear_replies(told, "conv_id", "turn", "role", "text")
-    out = digests(conversations(replies))
+    out = digests(conversation_texts(conversations(replies)))
     return out.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

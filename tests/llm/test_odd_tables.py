@@ -63,7 +63,8 @@ def test_other_inputs_with_extra_columns(spark):
             (vecs, "vec_id long, embedding array<double>, label int", {"label"}, vector_lsh.near_vectors),
             (pages, "page_id long, url string", set(), lambda d: url_filter.judge(d, URL_RULES).select("page_id", "host", "path", "rule", "verdict")),
             (talk, "conv_id long, turn int, role string, text string", set(),
-             lambda d: chat_trees.digests(chat_trees.conversations(chat_trees.linear_replies(d, "conv_id", "turn", "role", "text"))))):
+             lambda d: chat_trees.digests(chat_trees.conversation_texts(chat_trees.conversations(
+                 chat_trees.linear_replies(d, "conv_id", "turn", "role", "text")))))):
         d = spark.createDataFrame(data, shape)
         more = d.select("*", *[F.lit(f"own {c}").alias(c) for c in EXTRA if c.lower() not in own])
         assert rows_of(op(more)) == rows_of(op(d))

@@ -223,11 +223,35 @@ def test_reply_trees(spark):
     assert chat_trees.parse_turns(path(2)[0].formatted) == [("tool >>", "t")]
     assert len(path(5)) == 70 and len(path(None)) == 1 and not path(3) and not path(4)
     assert chat_trees.paths(m, per_tree=5).where("tree = 1").select("leaf").distinct().count() == 2
-    d = {r.tree: r for r in chat_trees.digests(chat_trees.conversations(m)).collect()}
+    d = {r.tree: r for r in chat_trees.digests(chat_trees.conversation_texts(chat_trees.conversations(m))).collect()}
     assert d[1].loss_sha256 == hashlib.sha256(b"b").hexdigest() and d[1].loss_chars == 1 and d[5].n_turns == 70
     assert d[5].loss_sha256 == hashlib.sha256("".join(f"t{i}" for i in range(1, 70, 2)).encode()).hexdigest()
 
 
+def test_conversation_texts_read_back_however_cut(spark):
+    rnd = random.Random(4)
+    bits = ["</s>", "[INST]", " [/INST]", "<s> ", "\\", "<", "[", "<<ROLE:x>> ", "<</ROLE>>", "a", "é😀", " ", "\n"]
+    rows = [(c, i, rnd.choice(["user", "assistant", "tool >>", "", None]), "".join(rnd.choices(bits, k=rnd.randrange(8))) or None)
+            for c in (1, 2, None) for i in range(25)] + [(3, 0, "assistant", "</s>\\" * 4000), (4, 0, "user", None)]
+    made = chat_trees.conversations(chat_trees.linear_replies(spark.createDataFrame(rows, "c long, t long, role string, text string"), "c", "t", "role", "text"))
+    for chars in (1, 7, 500, 1 << 16):
+        parts = chat_trees.conversation_texts(made, chars)
+        got = {r.tree: r for r in chat_trees.digests(parts).collect()}
+        assert len(got) == 5
+        for c, r in got.items():
+            said = [(role or "", text or "") for key, _, role, text in rows if key == c]
+            under = "".join(text for role, text in said if role == "assistant")
+            assert r.n_turns == len(said) and r.loss_chars == len(under)
+            assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+            assert r.loss_sha256 == hashlib.sha256(under.encode()).hexdigest()
+            mine = sorted((x for x in parts.where(F.col("tree").eqNullSafe(F.lit(c))).collect()), key=lambda x: x.part)
+            assert [x.part for x in mine] == list(range(len(mine))) and all(len(x.text) == chars for x in mine[:-1])
+            whole = "".join(x.text for x in mine)
+            assert chat_trees.parse_turns(whole) == said and len(whole) == r.formatted_chars
+    with pytest.raises(ValueError):
+        chat_trees.TurnReader().feed("[INST] a [/INST]?[INST] b [/INST]")
+
+
 def test_linear_replies_order(spark):
     rows = [(1, t, "user", f"x{t}") for t in (5000, 3, 1, 2048, 70)] + [(1, None, "user", "first"), (1, 3, "assistant", "tie")]
     r = chat_trees.linear_replies(spark.createDataFrame(rows, "c long, turn long, role string, text string"), "c", "turn", "role", "text")
