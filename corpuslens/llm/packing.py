@@ -12,6 +12,7 @@ two, which need no padding either.
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,11 +39,50 @@ WORDS_KEPT, TEXT_BYTES = 600_000, 1 << 23
 STOP = r"([a-z0-9À-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(\s|$)"
 
 
+#: How a tokenizer must normalise and split texts to be one that works word by word.
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def works_by_words(tokenizer) -> bool:
+    """Whether the tokenizer's own settings are those that WordIds takes for granted: lower case, no token over white space."""
+    def settings(part):
+        return json.loads(part.__getstate__()) if part else {}
+
+    normal = [n["type"] for n in settings(tokenizer.normalizer).get("normalizers", [])]
+    pre = settings(tokenizer.pre_tokenizer).get("pretokenizers", [])
+    return (getattr(tokenizer.model, "end_of_word_suffix", None) == "</w>" and normal == WORD_NORMALIZERS
+            and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": WORD_SPLIT}
+            and pre[0]["invert"] and pre[0]["behavior"] == "Removed" and not pre[1]["use_regex"] and not pre[1]["add_prefix_space"])
+
+
+def ids_by(tokenizer_file: str, end_id: int = END_ID) -> WordIds | TextIds:
+    """The ids of texts by a tokenizer file: by words where its settings allow it, else by whole texts."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    return (WordIds if works_by_words(tokenizer) else TextIds)(tokenizer, end_id)
+
+
+class TextIds:
+    """Ids of whole texts, for any tokenizer; one that truncates or pads doesn't do so here."""
+
+    def __init__(self, tokenizer, end_id: int = END_ID):
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.tokenizer, self.end_id = tokenizer, end_id
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """All ids of each text, the end id behind them."""
+        told = self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)
+        return [np.array([*t.ids, self.end_id], np.uint32) for t in told]
+
+
 class WordIds:
     """Number of a word, whose ids stand in `flat`; the vocabulary works word by word, white space never joins two."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer, end_id: int = END_ID):
+        self.tokenizer, self.end_id = tokenizer, end_id
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a token of the pre-tokenizer
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.reset()
@@ -83,7 +123,7 @@ class WordIds:
             self._add([w], ids, np.array([len(ids)]))
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
-        """All ids of each text, END_ID at the end."""
+        """All ids of each text, the end id behind them."""
         if len(self.known) > WORDS_KEPT or self.used > 1 << 24:
             self.reset()
         texts = pc.fill_null(texts, "")
@@ -101,10 +141,10 @@ class WordIds:
         at = np.repeat(first - ends + n, n)
         at += np.arange(total)
         stop = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return [np.append(x, np.uint32(END_ID)) for x in np.split(self.flat[at], stop[1:-1])]
+        return [np.append(x, np.uint32(self.end_id)) for x in np.split(self.flat[at], stop[1:-1])]
 
 
-def tokenised(words: WordIds, names: list, texts: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
+def tokenised(words: WordIds | TextIds, names: list, texts: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
     """(name, ids) of every text, a bounded number of bytes at a time."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     first, size = 0, 0
@@ -168,11 +208,12 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
-                   capacity: int = CAPACITY, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+                   capacity: int = CAPACITY, window_tokens: int = WINDOW_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, start, length, doc_tokens, sequence_id, offset, ids), one per piece.
 
-    A document's ids are those of its whole text, then END_ID; a null text
-    counts as empty, so that every row has a piece.  `ids` are the piece's ids
+    A document's ids are those of its whole text by the tokenizer file, without
+    special tokens, then `end_id`; a null text counts as empty, so that every
+    row has a piece.  `ids` are the piece's ids
     as little-endian unsigned 32-bit numbers; start counts the document's ids
     before the piece.  Each id lies in exactly one piece; repeated rows are
     packed one by one; null identifiers stay null.  Sequences are numbered by
@@ -183,9 +224,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     shape = src.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in names[1:6]], F.lit(b"").alias("ids")).schema
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_file(tokenizer_file))
+        words = ids_by(tokenizer_file, end_id)
         sequence = TaskContext.get().partitionId() << 33
         held, tokens, id_type = [], 0, None
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -400,6 +401,32 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("name,by_words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_packing_follows_the_tokenizer_file(spark, tmp_path, name, by_words):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = str(public_tokenizers.path(name))
+    t = Tokenizer.from_file(path)
+    assert packing.works_by_words(t) == by_words
+    rows = [*dict(TEXTS).items(), (60, "Hello World, THE End"), (61, "  two  spaces\r\n"), (62, "<|endoftext|> x"), (63, None), (64, "é😀 " * 3000)]
+    got = packing.pack_documents(docs(spark, rows), path, window_tokens=5000, end_id=7).collect()
+    by_doc = {}
+    for r in sorted(got, key=lambda r: r.start):
+        by_doc.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    said = dict(rows)
+    assert {i: by_doc[i] for i in said if i is not None} == {i: [*t.encode(x or "", add_special_tokens=False).ids, 7] for i, x in said.items() if i is not None}
+    # The same words, but by a file that keeps upper case: its own settings count.
+    kept = json.loads(t.to_str())
+    kept["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(kept))
+    other = Tokenizer.from_file(str(tmp_path / "t.json"))
+    ids = packing.ids_by(str(tmp_path / "t.json"))
+    assert isinstance(ids, packing.TextIds)
+    assert ids.ids(pa.array(["A Big day", None]))[0].tolist() == [*other.encode("A Big day", add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_pack_fills_every_sequence():
     rnd = random.Random(1)
     for _ in range(200):
