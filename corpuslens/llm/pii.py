@@ -37,9 +37,8 @@ ALNUM = r"a-zA-Z0-9\p{L}\p{M}\p{N}"  # the plain ones first, as they are found f
 INNER = ALNUM + r"._%+@#/-"
 UNIT = (rf"(?<![{INNER}])[{INNER}]*[{ALNUM}]"
         rf"(?:[(\[{{][{INNER}]*[{ALNUM}][)\]}}](?:[{INNER}]*[{ALNUM}])?|['’][{INNER}]*[{ALNUM}])*+")
-#: A word with one unit and what stands before and after it.
-WORD, ONE_UNIT = r"\S+", rf"([^{INNER}]*+)({UNIT})([^{ALNUM}]*+)"
-#: Up to so many patterns go to every task as 64-bit numbers, 8 bytes each, so that no word outside their slots is shuffled.
+WORD = r"\S+"
+#: Up to so many patterns, or rows with a mark, go to every task as 64-bit numbers, 8 bytes each, so that no word outside their slots and no text is shuffled.
 BROADCAST_PATTERNS = 2_000_000
 #: Rounds of scoring at most; share of a kind that a pattern needs, different seeds it needs, and score that a token needs.
 ROUNDS, PATTERN_SCORE, PATTERN_SEEDS, TOKEN_SCORE = 30, 0.9, 5, 0.9
@@ -128,37 +127,53 @@ def _instances(text: Column, base: str) -> Column:
     return F.concat(*map(seeds, KINDS), F.when(text.rlike("[0-9]"), F.transform(other, of(None))).otherwise(none))
 
 
-def _units(rows: DataFrame) -> DataFrame:
-    """(row, word, start, end, token, pattern) of every UNIT of the texts: number of the word, place inside it, whole words around.
+def _near_seeded(said: DataFrame, seeded: DataFrame, also: Column) -> DataFrame:
+    """The rows of `said` that meet a condition and, while patterns are few enough for every task, have the near word of one of `seeded`."""
+    if seeded.count() > BROADCAST_PATTERNS:
+        return said.where(also)
+    near = F.when(F.col("pattern").startswith("L "), F.substring_index("pattern", " ", -1)).otherwise(
+        F.substring_index(F.expr("substr(pattern, 3)"), " ", 1))
+    nears = seeded.groupBy(F.xxhash64(near).alias("number")).agg(F.count("*").alias("met"))
+    met = said.withColumn("number", F.xxhash64(F.lower("near"))).join(F.broadcast(nears), "number")
+    return met.where(F.when(F.col("met") > 0, also)).drop("number", "met")  # the cheaper look first
 
-    Words of one unit, nearly all, go without higher-order functions, which generated code can't hold.
+
+def _units(rows: DataFrame, seeded: DataFrame | None = None) -> DataFrame:
+    """(row, word, start, end, token, pattern) of the texts' UNITs, with `seeded` at least of those in the slots of its patterns.
+
+    word is the number of the word, start and end are places inside it; the words around are whole.  A word that begins with
+    its only unit, as nearly all do, needs no search for units, and only if the word before it is a near word.
     """
     words = F.col("w")
     zipped = F.arrays_zip(F.concat(F.array(F.lit(""), F.lit("")), words).alias("before"), F.concat(F.array(F.lit("")), words).alias("near"),
                           words.alias("text"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("after"))
-    said = rows.select("row", F.regexp_extract_all("text", F.lit(WORD), 0).alias("w")).select("row", F.posexplode(zipped).alias("word", "x"))
-    said = said.select("row", "word", "x.*").where("text IS NOT NULL")
     text = F.col("text")
-    plain = text.rlike(r"^[a-zA-Z0-9]++\z")
-    single, some = plain | text.rlike(rf"^{ONE_UNIT}\z"), text.rlike(rf"[{ALNUM}]")
-    parts = [F.when(plain, text if k == 2 else F.lit("")).otherwise(F.regexp_extract(text, rf"^{ONE_UNIT}\z", k)) for k in (1, 2, 3)]
-    one = said.where(single).select("row", "word", "before", "near", "after", *[p.alias(n) for p, n in zip(parts, ("left", "token", "right"), strict=True)])
-    one = one.select("*", F.length("left").cast("long").alias("start"), F.length(F.concat("left", "token")).cast("long").alias("end"))
-    more = said.where(~single & some).select("row", "word", "before", "near", "after", F.inline(match_spans(text, UNIT, around=True)))
-    both = one.unionByName(more)
+
+    def said(rows):
+        words = rows.select("row", F.regexp_extract_all("text", F.lit(WORD), 0).alias("w"))
+        return words.select("row", F.posexplode(zipped).alias("word", "x")).select("row", "word", "x.*").where(text.isNotNull())
+
+    some, headed = text.rlike(rf"[{ALNUM}]"), text.rlike(rf"^[{INNER}]++[^{ALNUM}]*+\z")
+    one = said(rows).where(some & headed) if seeded is None else _near_seeded(said(rows), seeded, some & headed)
+    right = F.when(text.rlike(rf"[{ALNUM}]\z"), F.lit("")).otherwise(F.regexp_extract(text, rf"(?<=[{ALNUM}])[^{ALNUM}]++\z", 0))
+    one = one.withColumn("right", right).withColumn("end", (F.length("text") - F.length("right")).cast("long"))
+    one = one.select("row", "word", F.lit(0).cast("long").alias("start"), "end", F.left("text", F.col("end").cast("int")).alias("token"),
+                     "before", "near", F.when(F.col("right") != "", F.col("right")).otherwise(F.coalesce("after", F.lit(""))).alias("after"))
+    others = rows.where(text.rlike(rf"(?<!\S)[{INNER}]*+[^\s{INNER}]\S*?[{ALNUM}]"))  # texts with a word of another build
+    more = said(others).where(some & ~headed).select("row", "word", "before", "near", "after", F.inline(match_spans(text, UNIT, around=True)))
     joined = F.col("left") != ""
     near = F.when(joined, _joined(F.col("left"))).otherwise(F.col("near"))
     before = F.when(joined, F.col("near")).otherwise(F.col("before"))
     after = F.when(F.col("right") != "", _joined_after(F.col("right"))).otherwise(F.coalesce("after", F.lit("")))
-    both = both.select("row", "word", "start", "end", "token", before.alias("before"), near.alias("near"), after.alias("after"))
+    more = more.select("row", "word", "start", "end", "token", before.alias("before"), near.alias("near"), after.alias("after"))
     slots = _patterns(F.col("before"), F.col("near"), F.col("after"))
+    both = one.unionByName(more)
     return both.select("row", "word", "start", "end", "token", F.explode(slots).alias("pattern")).where("pattern IS NOT NULL")
 
 
-def _word_starts(rows: DataFrame) -> DataFrame:
-    """(row, word, at): where each word of the texts starts."""
-    starts = F.transform(match_spans(F.col("text"), WORD), lambda m: m["start"])
-    return rows.select("row", F.posexplode(starts).alias("word", "at"))
+def _word_starts(text: Column) -> Column:
+    """Array of where each word of a text starts."""
+    return F.transform(match_spans(text, WORD), lambda m: m["start"])
 
 
 def _in_slots(said: DataFrame, seeded: DataFrame) -> DataFrame:
@@ -235,15 +250,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct(*[base_spans(text, k).alias(k) for k in KINDS]).alias("base"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pii")
-    spans = stored(rows.select("row", _instances(F.col("text"), "base").alias("instances")).where("size(instances) > 0"), "spans")
+    # Texts with instances take the places of their words along: what overlaps an instance is no unknown token.
+    spans = rows.select("row", "text", _instances(F.col("text"), "base").alias("instances")).where("size(instances) > 0")
+    spans = stored(spans.select("row", "instances", _word_starts(F.col("text")).alias("starts")), "spans")
     listed = spans.select("row", F.inline("instances")).select("row", "start", "end", "token", "kind", F.explode("patterns").alias("pattern"))
     seeded = seeded_patterns(listed.where("kind IS NOT NULL"), settings.get("pattern_seeds", PATTERN_SEEDS))
-    said = stored(_in_slots(_units(rows), seeded), "slots")
-    # What overlaps an instance is no unknown token; only texts with instances need their words' places for that.
-    both = spans.join(said.select("row").distinct(), "row", "left_semi")
-    starts = _word_starts(rows.join(both.select("row"), "row", "left_semi")).join(said.select("row", "word").distinct(), ["row", "word"], "left_semi")
-    taken = starts.join(both.select("row", _borders(F.col("instances")).alias("taken")), "row")
-    said = said.join(taken, ["row", "word"], "left").where(
+    taken = spans.select("row", "starts", _borders(F.col("instances")).alias("taken"))
+    said = _in_slots(_units(rows, seeded), seeded).join(taken, "row", "left").withColumn("at", F.get("starts", F.col("word"))).where(
         "taken IS NULL OR NOT exists(taken, b -> b.start < at + end AND at + start < b.end)")
     word = F.lit(None).cast("int").alias("word")  # instances have their places in the text already
     columns = ["row", "word", "start", "end", "token", "pattern"]
@@ -251,9 +264,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         listed.where("kind IS NULL").join(seeded.select("pattern"), "pattern", "left_semi").select("row", word, "start", "end", "token", "pattern")), "said")
     marks = bootstrap(seeded, said.select("token", "pattern"), **settings)
     marked = stored(said.join(marks, ["token", "pattern"]).select("row", "word", "start", "end", "kind").distinct(), "marked")
-    starts = _word_starts(rows.join(marked.where("word IS NOT NULL").select("row").distinct(), "row", "left_semi"))
-    at = F.coalesce("at", F.lit(0).cast("long"))
-    added = (marked.join(starts, ["row", "word"], "left").groupBy("row", "kind").agg(
+    held = stored(marked.where("word IS NOT NULL").select("row").distinct(), "held")
+    if held.count() <= BROADCAST_PATTERNS:
+        held = F.broadcast(held)
+    starts = rows.join(held, "row", "left_semi").select("row", _word_starts(F.col("text")).alias("starts"))
+    at = F.coalesce(F.get("starts", F.col("word")), F.lit(0).cast("long"))
+    added = (marked.join(starts, "row", "left").groupBy("row", "kind").agg(
         F.collect_set(F.struct((at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"))).alias("spans")))  # of one document and kind
     added = added.groupBy("row").agg(*[F.first(F.when(F.col("kind") == k, F.col("spans")), ignorenulls=True).alias(f"a_{k}") for k in KINDS])
     out = rows.select("row", "doc_id", "base").join(added, "row", "left")

@@ -327,7 +327,8 @@ def test_pii_instances_and_units_see_the_same_slots(spark):
     assert seeds[2, "e@f.gh"].patterns[0] == "L 00002x " + "w" * 200 and seeds[2, "10.0.0.1"].kind == "ip"
     assert seeds[1, "a.b@example.org"].patterns == ["L say mailto:", "B mailto: _ ;"] and seeds[1, "c.d@example.org"].patterns == ["L and (", "B ( _ )"]
     units = {}
-    for r in pii._units(rows).join(pii._word_starts(rows), ["row", "word"]).collect():
+    starts = rows.select("row", F.posexplode(pii._word_starts(F.col("text"))).alias("word", "at"))
+    for r in pii._units(rows).join(starts, ["row", "word"]).collect():
         assert texts[r.row][r["at"] + r.start:r["at"] + r.end] == r.token
         units.setdefault((r.row, r["at"] + r.start, r.token), []).append(r.pattern)
     for (row, token), s in seeds.items():
