@@ -40,6 +40,8 @@ UNIT = (rf"(?<![{INNER}])[{INNER}]*[{ALNUM}]"
 WORD = r"\S+"
 #: Up to so many patterns, or rows with a mark, go to every task as 64-bit numbers, 8 bytes each, so that no word outside their slots and no text is shuffled.
 BROADCAST_PATTERNS = 2_000_000
+#: Marks go to every task while their tokens and patterns have so many bytes, so that no unknown token is shuffled for them.
+BROADCAST_BYTES = 16 << 20
 #: Rounds of scoring at most; share of a kind that a pattern needs, different seeds it needs, and score that a token needs.
 ROUNDS, PATTERN_SCORE, PATTERN_SEEDS, TOKEN_SCORE = 30, 0.9, 5, 0.9
 
@@ -262,7 +264,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     columns = ["row", "word", "start", "end", "token", "pattern"]
     said = stored(said.select(columns).unionByName(
         listed.where("kind IS NULL").join(seeded.select("pattern"), "pattern", "left_semi").select("row", word, "start", "end", "token", "pattern")), "said")
-    marks = bootstrap(seeded, said.select("token", "pattern"), **settings)
+    marks = stored(bootstrap(seeded, said.select("token", "pattern"), **settings), "marks")
+    if (marks.agg(F.sum(F.octet_length("token") + F.octet_length("pattern"))).first()[0] or 0) <= BROADCAST_BYTES:
+        marks = F.broadcast(marks)
     marked = stored(said.join(marks, ["token", "pattern"]).select("row", "word", "start", "end", "kind").distinct(), "marked")
     held = stored(marked.where("word IS NOT NULL").select("row").distinct(), "held")
     if held.count() <= BROADCAST_PATTERNS:
