@@ -23,12 +23,13 @@ from corpuslens.streaming.tracker import legal_pairs
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A parquet table directory as a file stream (new files are picked up as they land)."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A parquet table, one file or a folder of them, as a file stream (new files are picked up as they land)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    r = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return r.parquet(f"{sf_dir}/{name}.parquet") if folder else r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:

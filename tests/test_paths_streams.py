@@ -171,3 +171,17 @@ def test_run_trackers_allow_repeated_completion(spark, tmp_path):
     jobs.stream_run_state_tables(stream, str(tmp_path / "state")).awaitTermination()
     tables = jobs.latest_state_table(spark, str(tmp_path / "state"))
     assert {r.run_id: r.illegal_transitions for r in tables.collect()} == {1: 0, 2: 1}
+
+
+def test_a_table_that_is_a_folder_streams_whole(spark, tmp_path):
+    from corpuslens.plans import catalog_stream as S
+    from corpuslens.streaming import jobs
+    rows = spark.createDataFrame([(c, t, "user", f"{c} {t}") for c in range(5) for t in range(3)], "conv_id long, turn int, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    got = S.q_stream_message_delta(spark, str(tmp_path / "folder")).collect()
+    assert sorted((r.run_id, r.idx) for r in got) == [(c, t) for c in range(5) for t in range(3)]
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))  # and one that is a file, with others beside it
+    part, = (tmp_path / "one").glob("*.parquet")
+    part.rename(tmp_path / "one" / "conversations.parquet")
+    spark.range(3).write.parquet(str(tmp_path / "one" / "other.parquet"))
+    assert jobs.run_to_table(jobs.table_stream(spark, str(tmp_path / "one"), "conversations"), "one_file").count() == 15
