@@ -9,7 +9,11 @@ expressions, joins and aggregations.
 from __future__ import annotations
 
 import ast
+import gc
+import os
+import pickle
 import sys
+import traceback
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -59,11 +63,20 @@ def _kw(k: ast.keyword) -> dict:
 
 
 def _preorder(tree: ast.AST) -> Iterator[ast.AST]:
+    """A tree's nodes, parents first and from left to right, but for the leaves: names, constants, operators and contexts."""
+    leaves = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
     stack = [tree]
     while stack:
         node = stack.pop()
         yield node
-        stack.extend(reversed(list(ast.iter_child_nodes(node))))
+        below = []
+        for field in node._fields:
+            value = getattr(node, field, None)
+            if isinstance(value, list):
+                below += [v for v in value if isinstance(v, ast.AST) and not isinstance(v, leaves)]
+            elif isinstance(value, ast.AST) and not isinstance(value, leaves):
+                below.append(value)
+        stack += reversed(below)
 
 
 def file_facts(content: str | None, callees: frozenset | None = None, targets: tuple | None = None) -> Iterator[tuple]:
@@ -115,17 +128,64 @@ def _arrow_schema():
     return pa.schema([(c, types[c]) for c in _FACT_COLS])
 
 
+def _in_child(rows, *args) -> list:
+    """The list of `rows(*args)`, made by a forked process that ends with it.
+
+    The parser keeps every name that it has seen until its process ends (CPython 3.12 and later never free them), and
+    Spark's Python workers live on from task to task: parsing in them, memory would grow with the files.
+    """
+    out, into = os.pipe()
+    pid = os.fork()
+    if not pid:
+        try:
+            os.close(out)
+            gc.disable()  # syntax trees hold no cycles
+            try:
+                told = (True, list(rows(*args)))
+            except BaseException:  # noqa: BLE001  (raised anew by the parent)
+                told = (False, traceback.format_exc())
+            with os.fdopen(into, "wb") as f:
+                pickle.dump(told, f, pickle.HIGHEST_PROTOCOL)
+            os._exit(0)
+        finally:
+            os._exit(1)
+    try:
+        os.close(into)
+        with os.fdopen(out, "rb") as f:
+            data = f.read()
+    finally:
+        status = os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1])
+    if status:
+        raise RuntimeError(f"parsing process ended with {status}")
+    done, found = pickle.loads(data)
+    if not done:
+        raise RuntimeError(found)
+    return found
+
+
+def facts_batch(files, callees: frozenset | None = None, targets: tuple | None = None):
+    """One Arrow batch of (repo, path, content) -> one of their facts, or None where there are none."""
+    import pyarrow as pa
+
+    def facts():
+        for repo, path, content in zip(*[files.column(c).to_pylist() for c in ("repo", "path", "content")], strict=True):
+            for f in file_facts(content, callees, targets):
+                yield (repo, path, *f)
+
+    rows = _in_child(facts) if files.num_rows else []
+    if not rows:
+        return None
+    schema = _arrow_schema()
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _facts_arrow(callees: frozenset | None, targets: tuple | None):
     """Arrow batches of (repo, path, content) -> Arrow batches of facts."""
     def run(batches):
-        import pyarrow as pa
-        schema = _arrow_schema()
         for rb in batches:
-            files = zip(*[rb.column(c).to_pylist() for c in ("repo", "path", "content")], strict=True)
-            rows = [(repo, path, *f) for repo, path, content in files for f in file_facts(content, callees, targets)]
-            if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            found = facts_batch(rb, callees, targets)
+            if found is not None:
+                yield found
     return run
 
 
