@@ -58,3 +58,11 @@ def test_slices_of_many_requests_equal_readlines(spark):
         assert (r.start_line, r.end_line, r.total_lines, r.status) == (s, e, n, "RANGE_ERROR" if s > e else "OK")
         if s <= e:
             assert r.text == f"=== File: {path} (Lines {s} to {e} of {n}) ===\n" + "".join(lines[path][s - 1:e])
+
+
+def test_table_function_over_a_table_of_files(spark):
+    df = spark.createDataFrame([("r", "a.py", "eval(x)\ny = 1\n"), (None, "b.py", "def (:\n"), ("r", None, None)], "repo string, path string, content string")
+    df.createOrReplaceTempView("files_of_table_test")
+    sql.register_fact_function(spark, "facts_of_table")
+    got = spark.sql("SELECT * FROM facts_of_table_of(TABLE(SELECT repo, path, content FROM files_of_table_test))")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, vuln.python_facts(df).collect())) and got.count() == 3
