@@ -65,6 +65,7 @@ def list_tree(spark: SparkSession, root: str, skip_dirs: Sequence[str] = ()) ->
 
     def listing(batches):
         import os
+        from itertools import islice
 
         import pyarrow as pa
         from pyarrow import fs
@@ -72,6 +73,26 @@ def list_tree(spark: SparkSession, root: str, skip_dirs: Sequence[str] = ()) ->
         store, own = open_store()
         local = isinstance(store, fs.LocalFileSystem)
 
+        def entries(at):
+            """(name, type, size, whether a link) of a directory's entries; local ones one by one, as there may be millions."""
+            if not local:
+                for info in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+                    yield info.base_name, info.type, info.size, False
+                return
+            try:
+                found = os.scandir(at)
+            except FileNotFoundError:
+                return
+            with found:
+                for e in found:
+                    try:
+                        if e.is_dir():
+                            yield e.name, fs.FileType.Directory, None, e.is_symlink()
+                        elif e.is_file():
+                            yield e.name, fs.FileType.File, e.stat().st_size, False
+                    except FileNotFoundError:  # gone since
+                        pass
+
         def below(base, path):
             at = own(base if not path else f"{base.rstrip('/')}/{path}")
             if not path:  # a root may be a file
@@ -80,20 +101,20 @@ def list_tree(spark: SparkSession, root: str, skip_dirs: Sequence[str] = ()) ->
                     parent, _, name = base.rstrip("/").rpartition("/")
                     yield parent or "/", name, info.size, False
                     return
-            for info in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
-                name = f"{path}/{info.base_name}" if path else info.base_name
-                if info.type == fs.FileType.File:
-                    yield base, name, info.size, False
-                elif info.type == fs.FileType.Directory and info.base_name not in skipped and not (local and os.path.islink(info.path)):
+            for base_name, kind, size, link in entries(at):
+                name = f"{path}/{base_name}" if path else base_name
+                if kind == fs.FileType.File:
+                    yield base, name, size, False
+                elif kind == fs.FileType.Directory and base_name not in skipped and not link:
                     yield base, name, 0, True
 
         names = ["base", "path", "size_bytes", "is_dir"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_()]
         for b in batches:
             for base, path in zip(b.column("base").to_pylist(), b.column("path").to_pylist(), strict=True):
-                found = list(below(base, path))
-                for i in range(0, len(found), 10_000):
-                    columns = zip(*found[i:i + 10_000], strict=True)
+                found = below(base, path)
+                while some := list(islice(found, 10_000)):
+                    columns = zip(*some, strict=True)
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     out = shared_dir(spark, f"listing-{uuid.uuid4().hex}")
