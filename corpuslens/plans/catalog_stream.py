@@ -303,7 +303,10 @@ SELECT run_id, arg_max(state, seq) AS final_state, CAST(count(*) FILTER (WHERE s
 FROM j GROUP BY run_id
 """)
 def q_stream_run_tracker(spark, sf_dir):
-    """Events in three files that overlap by up to an hour, so that some come late, over two starts of one tracker."""
+    """Events in three deliveries that overlap by up to an hour, so that some come late, over two starts of one tracker.
+
+    A delivery is one trigger: none has more files than the first, and a trigger takes as many as that.
+    """
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
                                               F.expr(R._case("event_type", R.STATE_BY_EVENT)).alias("state"))
     base = shared_dir(spark, f"tracker-{uuid.uuid4().hex[:8]}")
@@ -312,9 +315,12 @@ def q_stream_run_tracker(spark, sf_dir):
     arrives = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3600))
     slot = F.least(F.floor((arrives - (low or 0)) / third), F.lit(2))
     for i, stop in ((0, False), (1, True), (2, True)):
-        e.where(slot == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows = e.where(slot == i)
+        (rows.coalesce(n) if i else rows).write.mode("append").parquet(f"{base}/in")
+        if i == 0:
+            n = max(len(spark.read.schema(e.schema).parquet(f"{base}/in").inputFiles()), 1)
         if stop:
-            source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", n).parquet(f"{base}/in")
             tracker.start_tracker(tracker.stream_run_tracker(source, delay="1 hour"), base).awaitTermination()
     return jobs.latest_run_state(spark.read.parquet(f"{base}/rows"))
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -54,20 +54,18 @@ class RunTracker(StatefulProcessor):
         self.totals = handle.getValueState("totals", _TOTALS)
         self.waiting = handle.getListState("waiting", _WAITING)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = []
-        for f in rows:
-            fresh += zip(f["us"].tolist(), f["event_id"].tolist(), f["state"], strict=True)
-        yield self._advance(key, fresh, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield self._advance(key, [(r.us, r.event_id, r.state) for r in rows], timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield self._advance(key, [], timerValues.getCurrentWatermarkInMs())
 
-    def _advance(self, key, fresh: list, watermark_ms: int) -> pd.DataFrame:
+    def _advance(self, key, fresh: list, watermark_ms: int) -> Row:
         """Fold what the watermark has passed, keep the rest waiting, and show the totals behind both."""
-        totals = tuple(self.totals.get()) if self.totals.exists() else self.NONE
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        events = sorted([*held, *fresh], key=lambda e: (e[0], e[1]))
+        kept = self.totals.get()  # None where there is none; every question to the state store is a message to the JVM
+        totals = self.NONE if kept is None else tuple(kept)
+        held = [tuple(r) for r in self.waiting.get()]
+        events = sorted([*held, *fresh], key=lambda e: (e[0], e[1] is not None, e[1]))
         cut = sum(e[0] <= watermark_ms * 1000 for e in events)
         if cut:
             totals = fold(totals, events[:cut], self.legal)
@@ -77,8 +75,9 @@ class RunTracker(StatefulProcessor):
             self.waiting.put(rest)
         elif held:
             self.waiting.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        if held or kept is not None:  # a run without state has no timer
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         shown = fold(totals, rest, self.legal)
         ended = not rest and shown[3] in self.terminal
         if rest:  # the next event to be passed
@@ -89,7 +88,7 @@ class RunTracker(StatefulProcessor):
                 self.totals.clear()  # evicted: its row has been shown
             else:
                 self.handle.registerTimer(until)
-        return pd.DataFrame([(key[0], *shown, shown[3] in self.terminal)], columns=self.columns)
+        return Row(**dict(zip(self.columns, (key[0], *shown, shown[3] in self.terminal), strict=True)))
 
     def close(self) -> None:
         pass
@@ -120,7 +119,7 @@ def stream_run_tracker(events: DataFrame, delay: str = "10 minutes", linger: str
     linger_ms = None if linger is None else int(pd.Timedelta(linger).value // 1_000_000)
     tracker = RunTracker(legal_pairs(), tuple(terminal), linger_ms, columns)
     told = events.select("run_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "state").where("ts IS NOT NULL").withWatermark("ts", delay)
-    rows = told.groupBy("run_id").transformWithStateInPandas(tracker, shape, "Append", "EventTime")
+    rows = told.groupBy("run_id").transformWithState(tracker, shape, "Append", "EventTime")
     return rows.select("run_id", "n_events", F.timestamp_micros("last_us").alias("last_ts"), *columns[3:])
 
 

@@ -201,3 +201,29 @@ def test_tracker_gives_up_ended_runs(spark, tmp_path):
         tracker.start_tracker(stream, str(tmp_path / "t")).awaitTermination()
     last = {(r.run_id, r.last_event_id): r.n_events for r in spark.read.parquet(str(tmp_path / "t" / "rows")).collect()}
     assert last[1, 6] == 1 and last[2, 7] == 2  # run 1 had ended and begins anew, run 2 had not
+
+
+def test_tracker_query_takes_deliveries_of_several_files(spark, tmp_path):
+    from corpuslens.plans import catalog_stream as S
+    folder = tmp_path / "data" / "events.parquet"
+    rnd = random.Random(8)
+    kinds = ["view", "click", "purchase", "error", "signup"]
+    rows = [(i, rnd.randint(1, 20), i * 300 + rnd.randint(0, 200), rnd.choice(kinds)) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string").withColumn("ts", F.timestamp_seconds("ts"))
+    df.repartition(5).write.parquet(str(folder))
+    got = S.q_stream_run_tracker(spark, str(tmp_path / "data")).collect()
+    wanted = {u: sum(r[1] == u for r in rows) for u in {r[1] for r in rows}}
+    assert {r.run_id: r.n_events for r in got} == wanted  # no event came too late
+
+
+def test_listing_sees_what_is_in_a_folder_one_entry_at_a_time(spark, tmp_path):
+    from corpuslens.sources import tree
+    root = tmp_path / "tree"
+    (root / "a" / ".b").mkdir(parents=True)
+    for name, size in (("one.py", 3), ("a/two.py", 0), ("a/.b/_three", 5)):
+        (root / name).write_bytes(b"x" * size)
+    (root / "to_folder").symlink_to(root / "a")
+    (root / "to_file").symlink_to(root / "one.py")
+    (root / "to_nothing").symlink_to(root / "gone")
+    got = {(r.path, r.size_bytes) for r in tree.list_tree(spark, str(root)).collect()}
+    assert got == {("one.py", 3), ("to_file", 3), ("a/two.py", 0), ("a/.b/_three", 5)}
