@@ -201,6 +201,19 @@ def seeded_patterns(seeds: DataFrame, pattern_seeds: int = PATTERN_SEEDS) -> Dat
     return stored(counts.where(F.greatest(*[F.col(f"n_{k}") for k in KINDS]) >= pattern_seeds), "patterns")
 
 
+def able_patterns(seeded: DataFrame, pattern_score: float = PATTERN_SCORE, token_score: float = TOKEN_SCORE, **_) -> DataFrame:
+    """`seeded`, or none of them while no kind makes up enough of the seeds of any.
+
+    A pattern's score is the mean of its seeds (1 or 0 for a kind) and of its unknown tokens, a token's the mean of its patterns.
+    So no score of a kind, in any round, is above the largest share that the kind has in the seeds of one pattern, and with all
+    shares below a threshold `bootstrap` marks nothing, whatever stands in the slots.  One able pattern keeps them all, as
+    patterns that share tokens with it count in its tokens' means.
+    """
+    most = F.greatest(*[F.col(f"n_{k}") for k in KINDS]) / F.col("seeds")
+    able = seeded.where(most >= max(pattern_score, token_score) - 1e-6)  # sums of fractions may be off by so much
+    return seeded.limit(0) if able.isEmpty() else seeded
+
+
 def bootstrap(seeds: DataFrame, unknown: DataFrame, rounds: int = ROUNDS, pattern_score: float = PATTERN_SCORE,
               pattern_seeds: int = PATTERN_SEEDS, token_score: float = TOKEN_SCORE) -> DataFrame:
     """(token, pattern, kind): unknown tokens and the patterns that mark them as a kind.
@@ -256,7 +269,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     spans = rows.select("row", "text", _instances(F.col("text"), "base").alias("instances")).where("size(instances) > 0")
     spans = stored(spans.select("row", "instances", _word_starts(F.col("text")).alias("starts")), "spans")
     listed = spans.select("row", F.inline("instances")).select("row", "start", "end", "token", "kind", F.explode("patterns").alias("pattern"))
-    seeded = seeded_patterns(listed.where("kind IS NOT NULL"), settings.get("pattern_seeds", PATTERN_SEEDS))
+    seeded = able_patterns(seeded_patterns(listed.where("kind IS NOT NULL"), settings.get("pattern_seeds", PATTERN_SEEDS)), **settings)
     taken = spans.select("row", "starts", _borders(F.col("instances")).alias("taken"))
     said = _in_slots(_units(rows, seeded), seeded).join(taken, "row", "left").withColumn("at", F.get("starts", F.col("word"))).where(
         "taken IS NULL OR NOT exists(taken, b -> b.start < at + end AND at + start < b.end)")
